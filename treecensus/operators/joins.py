@@ -1,26 +1,27 @@
 """Joins that hold when one key owns a large share of the rows.
 
 Inventories are skewed by nature: one owner, one directory or one file size may
-hold a third of all objects.  Lookups here are unique on their key.
+hold a third of all objects.
 
 * ``lookup_join`` is for dimensions (identities, mappings).  It broadcasts the
   dimension only after measuring it, and falls back to ``spread_join``.
 * ``spread_join`` is for lookups derived from the data.  The most frequent keys
-  (at most ``HOT_KEYS`` by construction) are answered from a broadcast; all
-  other keys are shuffled, and the already answered rows are salted over the
-  partitions, so no task receives a whole hot key.
+  (``HOT_KEYS`` at most) are salted in proportion to their frequency, so that a
+  slice of a hot key is about one partition; all other keys are shuffled as
+  usual.  The lookup rows repeated for the salts number at most the shuffle
+  partitions plus ``HOT_KEYS``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treecensus.functions import paths
 
 HOT_KEYS = 1000
-SALTS = 4096
 MOST_ROWS = 500_000
 MOST_BYTES = 32 << 20
+KINDS = {"left": "left", "inner": "inner", "semi": "left_semi", "anti": "left_anti"}
 
 
 def fits_broadcast(table: DataFrame) -> bool:
@@ -31,53 +32,38 @@ def fits_broadcast(table: DataFrame) -> bool:
     return seen["n"] <= MOST_ROWS and (seen["b"] or 0) <= MOST_BYTES
 
 
-def _finish(joined: DataFrame, keep: list[str], values: list[str], how: str) -> DataFrame:
-    if how == "semi":
-        return joined.where("_v.hit").select(*keep)
-    if how == "anti":
-        return joined.where("_v.hit IS NULL").select(*keep)
-    if how == "inner":
-        joined = joined.where("_v.hit")
-    return joined.select(*keep, *[F.col("_v")[c].alias(c) for c in values])
-
-
-def _packed(lookup: DataFrame, key: str, how: str) -> tuple[DataFrame, list[str]]:
-    values = [] if how in ("semi", "anti") else [c for c in lookup.columns if c != key]
-    packed = lookup.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("_k"), F.struct(F.lit(True).alias("hit"), *values).alias("_v"))
-    return packed, values
+def _values(lookup: DataFrame, key: str, how: str) -> list[str]:
+    return [] if how in ("semi", "anti") else [c for c in lookup.columns if c != key]
 
 
 def spread_join(rows: DataFrame, lookup: DataFrame, on: Column, key: str, how: str = "left",
                 spread: str = "path", counts: DataFrame | None = None) -> DataFrame:
-    """Join rows to a lookup that is unique on ``key``; ``how`` is left, inner, semi or anti.
+    """Join rows to a lookup on ``on = key``; ``how`` is left, inner, semi or anti.
 
-    ``counts`` may pass the frequency of the keys as (key, n) where the caller
-    has it already; otherwise it is a pre-aggregated pass over one column.
+    ``spread`` is a column that differs between the rows of one key.  ``counts``
+    may pass the frequency of the keys as (key, n) where the caller has it
+    already; otherwise it is a pre-aggregated pass over the key.
     """
-    keep = list(rows.columns)
-    packed, values = _packed(lookup, key, how)
+    values = _values(lookup, key, how)
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = rows.withColumn("_on", on)
     if counts is None:
-        seen = keyed.groupBy(F.col("_on").alias("_k")).agg(F.count("*").alias("n"))
-    else:
-        seen = counts.toDF("_k", "n")
-    hot = (seen.where("_k IS NOT NULL AND n > 1").orderBy(F.desc("n"), "_k")
-           .limit(HOT_KEYS).select("_k"))
-    answers = F.broadcast(packed.join(F.broadcast(hot), "_k"))
-    flagged = (keyed.join(F.broadcast(hot.select(F.col("_k").alias("_h"))),
-                          F.col("_on") == F.col("_h"), "left")
-               .join(answers.select(F.col("_k").alias("_hk"), F.col("_v").alias("_hv")),
-                     F.col("_on") == F.col("_hk"), "left"))
-    done = F.col("_h").isNotNull() | F.col("_on").isNull()
-    routed = (flagged
-              .withColumn("_ck", F.when(~done, F.col("_on")))
-              .withColumn("_salt", F.when(done, F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)) + 1)
-                          .otherwise(F.lit(0).cast("bigint"))))
-    cold = packed.withColumn("_zero", F.lit(0).cast("bigint"))
-    joined = routed.join(cold, (F.col("_ck") == F.col("_k")) & (F.col("_salt") == F.col("_zero")), "left")
-    joined = joined.withColumn("_v", F.coalesce("_hv", "_v"))
-    return _finish(joined, keep, values, how)
+        counts = keyed.groupBy("_on").agg(F.count("*"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())
+    hot = (counts.toDF("_k", "n").where("_k IS NOT NULL AND n > 1")
+           .orderBy(F.desc("n"), "_k").limit(HOT_KEYS)
+           .select("_k", F.ceil(share * slices).alias("_w")))
+    dealt = F.xxhash64(spread)
+    salt = (F.when(F.col("_on").isNull(), F.pmod(dealt, F.lit(slices)))
+            .when(F.col("_w").isNotNull(), F.pmod(dealt, F.col("_w"))).otherwise(F.lit(0)))
+    left = (keyed.join(F.broadcast(hot), F.col("_on") == F.col("_k"), "left")
+            .withColumn("_salt", salt.cast("bigint")).drop("_k", "_w"))
+    right = (lookup.select(F.col(key).alias("_key"), *values)
+             .join(F.broadcast(hot), F.col("_key") == F.col("_k"), "left")
+             .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_w", F.lit(1)) - 1)))
+             .drop("_k", "_w"))
+    joined = left.join(right, (F.col("_on") == F.col("_key")) & (F.col("_salt") == F.col("_copy")), KINDS[how])
+    return joined.select(*rows.columns, *values)
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: Column, key: str, how: str = "left",
@@ -85,10 +71,9 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: Column, key: str, how: s
     """Join rows to a dimension that is unique on ``key``."""
     if not fits_broadcast(lookup):
         return spread_join(rows, lookup, on, key, how, spread)
-    values = [] if how in ("semi", "anti") else [c for c in lookup.columns if c != key]
-    kind = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)
+    values = _values(lookup, key, how)
     small = F.broadcast(lookup.select(F.col(key).alias("_k"), *values))
-    joined = rows.withColumn("_on", on).join(small, F.col("_on") == F.col("_k"), kind)
+    joined = rows.withColumn("_on", on).join(small, F.col("_on") == F.col("_k"), KINDS[how])
     return joined.select(*rows.columns, *values)
 
 
@@ -104,8 +89,8 @@ def above(rows: DataFrame, table: DataFrame, key: str, measure: Column, name: st
     # one pass over the paths serves both as the list of directories and as key counts
     homes = rows.groupBy(home.alias("_dir")).agg(F.count("*").alias("n"))
     chain = homes.select("_dir", F.explode(
-        F.concat(F.array(F.lit("/")), paths.ancestors_or_self(F.col("_dir")))).alias("_up"))
-    found = (spread_join(chain, table, F.col("_up"), key, "inner", spread="_dir")
+        F.concat(F.array(F.lit("/")), paths.ancestors_or_self(F.col("_dir")))).alias("_over"))
+    found = (spread_join(chain, table, F.col("_over"), key, "inner", spread="_dir")
              .groupBy("_dir").agg(measure.alias(name)))
     return spread_join(rows, found, home, "_dir", "left", spread=path, counts=homes)
 

@@ -13,14 +13,22 @@ from treecensus.operators.joins import beneath, nearest_above, spread_join
 Renamer = Callable[[Column], Column]
 
 
+def _target_counts(rows: DataFrame, target: str) -> DataFrame:
+    return rows.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("_t")).agg(F.count("*").alias("n"))
+
+
+def _there(live: DataFrame) -> DataFrame:
+    return live.select(F.col("path").alias("_t"), F.col("type").alias("dest_type"),
+                       F.col("size").alias("dest_size"), F.col("modification_time").alias("dest_mtime"))
+
+
 def duplicate_targets(rows: DataFrame, target: str = "target") -> DataFrame:
     """Mark rows that share their target with another row as ``shared``.
 
     Counts are aggregated before they are joined back: one target may draw a
     large share of all rows, which a window would put into one task.
     """
-    counts = rows.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("_t")).agg(
-        F.count("*").alias("n"))
+    counts = _target_counts(rows, target)
     many = counts.where("n > 1").select("_t", F.lit(True).alias("_many"))
     marked = spread_join(rows, many, F.col(target), "_t", "left", counts=counts)
     return marked.withColumn("shared", F.coalesce("_many", F.lit(False))).drop("_many")
@@ -28,9 +36,15 @@ def duplicate_targets(rows: DataFrame, target: str = "target") -> DataFrame:
 
 def destination(rows: DataFrame, live: DataFrame, target: str = "target") -> DataFrame:
     """Add what already lies at the target: ``dest_type``, ``dest_size``, ``dest_mtime``."""
-    there = live.select(F.col("path").alias("_p"), F.col("type").alias("dest_type"),
-                        F.col("size").alias("dest_size"), F.col("modification_time").alias("dest_mtime"))
-    return spread_join(rows, there, F.col(target), "_p", "left")
+    return spread_join(rows, _there(live), F.col(target), "_t", "left")
+
+
+def target_facts(rows: DataFrame, live: DataFrame, target: str = "target") -> DataFrame:
+    """Both of the above with one join of the rows: facts are gathered per distinct target first."""
+    counts = _target_counts(rows, target)
+    facts = counts.join(_there(live), "_t", "left").select(
+        "_t", (F.col("n") > 1).alias("shared"), "dest_type", "dest_size", "dest_mtime")
+    return spread_join(rows, facts, F.col(target), "_t", "left", counts=counts)
 
 
 def _existing(clobber: bool) -> Column:
@@ -49,7 +63,7 @@ def rename_plan(matches: DataFrame, rename: Renamer, live: DataFrame, clobber: b
                .when((F.col("new_name") == "") | F.col("new_name").contains("/"), "invalid_name"))
     rows = rows.withColumn("_problem", problem).withColumn("target", F.when(
         F.col("_problem").isNull(), paths.join_path(paths.parent(path), F.col("new_name"))))
-    rows = destination(duplicate_targets(rows), live)
+    rows = target_facts(rows, live)
     action = (F.when(F.col("_problem").isNotNull(), F.col("_problem"))
               .when(F.col("shared"), "skip_multi_source")
               .when(F.col("dest_type").isNotNull(), _existing(clobber)).otherwise("rename"))
@@ -91,7 +105,7 @@ def transfer_plan(matches: DataFrame, dest: str, live: DataFrame, verb: str = "m
     rows = rows.withColumn("_problem", F.coalesce(
         "_problem", F.when(target == F.col("path"), "skip_noop")))
     rows = rows.withColumn("target", F.when(F.col("_problem").isNull(), target))
-    rows = destination(duplicate_targets(rows), live)
+    rows = target_facts(rows, live)
     there = F.col("dest_type").isNotNull()
     same = (F.col("dest_size") == F.col("size")) & (F.col("dest_mtime") == F.col("modification_time"))
     action = F.when(F.col("_problem").isNotNull(), F.col("_problem")).when(F.col("shared"), "skip_multi_source")
