@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from treecensus.catalog import columns, history, planning, searches, summaries  # noqa: F401
+from treecensus.catalog import columns, history, permissions, planning, searches, summaries  # noqa: F401

@@ -91,7 +91,8 @@ def tree_diff(d: Data) -> DataFrame:
 @query("expand_diff", "SELECT op, path || CASE WHEN dir THEN '/' ELSE '' END AS path FROM fx_diff")
 def expand_diff(d: Data) -> DataFrame:
     older, newer = d.snapshot(2), d.snapshot(4)
-    return S.expand_diff(S.tree_diff(older, newer), older, newer)
+    changes = d.stored("diff", S.tree_diff(older, newer))
+    return S.expand_diff(changes, older, newer)
 
 
 @query("changed_only", """

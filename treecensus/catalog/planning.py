@@ -115,7 +115,8 @@ WITH {_COPY}, e AS (SELECT u.entry AS path, u.path AS top, u.type FROM fx_entry_
 SELECT e.path, e.type, p.target || substring(e.path, length(p.path) + 1) AS target
 FROM e JOIN p ON p.path = e.top WHERE p.action = 'copy'""")
 def copy_plan_tree(d: Data) -> DataFrame:
-    plan = transfer.transfer_plan(_chosen(d), "/copies", d.live, "copy", include_directories=True)
+    plan = d.stored("copies", transfer.transfer_plan(
+        _chosen(d), "/copies", d.live, "copy", include_directories=True))
     return transfer.expand_directories(plan, d.entries)
 
 

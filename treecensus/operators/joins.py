@@ -110,10 +110,15 @@ def beneath(rows: DataFrame, directories: DataFrame, key: str = "path", how: str
 
 def nearest_above(rows: DataFrame, directories: DataFrame, key: str = "path",
                   path: str = "path") -> DataFrame:
-    """Rows below (or equal to) a directory, with the topmost such directory as ``top``."""
-    wanted = _bare(directories, key).withColumn("_up", F.col("_wanted"))
-    marked = above(rows, wanted, "_wanted", F.min_by("_up", F.length("_up")), "_top", path)
-    own = spread_join(marked, wanted.select("_wanted", F.col("_wanted").alias("_self")),
-                      paths.clean(F.col(path)), "_wanted", "left", spread=path)
-    return (own.withColumn("top", F.coalesce("_top", "_self"))
-            .where("top IS NOT NULL").drop("_top", "_self"))
+    """Rows below (or equal to) a directory, with the topmost such directory as ``top``.
+
+    Further columns of the directory table come along. It is unique on its key.
+    """
+    values = [c for c in directories.columns if c != key]
+    bare = paths.clean(F.col(key))
+    wanted = directories.select(bare.alias("_wanted"), F.struct(bare.alias("top"), *values).alias("_found"))
+    marked = above(rows, wanted, "_wanted", F.min_by("_found", F.length("_found.top")), "_top", path)
+    # a path meets its own directory row at most once, so this join has no hot key
+    own = marked.join(wanted, paths.clean(F.col(path)) == F.col("_wanted"), "left")
+    return (own.withColumn("_at", F.coalesce("_top", "_found")).where("_at IS NOT NULL")
+            .select(*rows.columns, "_at.*"))

@@ -112,14 +112,19 @@ def tree_diff(older: DataFrame, newer: DataFrame, token: Sequence[str] = ("size"
 
 def expand_diff(changes: DataFrame, older: DataFrame, newer: DataFrame) -> DataFrame:
     """Undo the collapse: one row for every created, deleted or modified object."""
-    def members(op: str, tree: DataFrame) -> DataFrame:
-        roots = changes.where((F.col("op") == op) & F.col("path").endswith("/"))
-        inside = nearest_above(tree.select("path", "type"), roots)
-        return inside.select(F.lit(op).alias("op"), F.when(
-            F.col("type") == C.DIRECTORY, F.concat("path", F.lit("/"))).otherwise(F.col("path")).alias("path"))
-    single = changes.where(~F.col("path").endswith("/") | (F.col("op") == "MODIFY"))
-    return (single.select("op", "path").unionByName(members("CREATE", newer))
-            .unionByName(members("DELETE", older)))
+    # both trees go through one join, kept apart by the kind of change as a top directory
+    def marked(tree: DataFrame, op: str) -> DataFrame:
+        return tree.select(F.concat(F.lit(f"/{op}"), "path").alias("path"), "type")
+
+    trees = marked(newer, "CREATE").unionByName(marked(older, "DELETE"))
+    whole = F.col("path").endswith("/") & (F.col("op") != "MODIFY")
+    roots = changes.where(whole).select(F.concat(F.lit("/"), "op", "path").alias("path"))
+    inside = nearest_above(trees, roots)
+    path = F.substr(F.col("path"), F.lit(len("/CREATE") + 1))
+    members = inside.select(
+        F.substring("path", 2, len("CREATE")).alias("op"),
+        F.when(F.col("type") == C.DIRECTORY, F.concat(path, F.lit("/"))).otherwise(path).alias("path"))
+    return changes.where(~whole).select("op", "path").unionByName(members)
 
 
 def asof_versions(history: DataFrame, moments: DataFrame) -> DataFrame:

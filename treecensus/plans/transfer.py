@@ -122,8 +122,7 @@ def expand_directories(plan: DataFrame, entries: DataFrame, verb: str = "copy")
     """Every object that travels with a copied directory, with its own target."""
     tops = plan.where(F.col("action") == verb).select("path", "target")
     inside = nearest_above(entries.select("path", "type"), tops)
-    return spread_join(inside, tops.select(F.col("path").alias("_src"), "target"), F.col("top"), "_src",
-                       "inner").select(
+    return inside.select(
         "path", "type", F.concat("target", F.substr(F.col("path"), F.length("top") + 1)).alias("target"))
 
 
