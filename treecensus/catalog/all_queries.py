@@ -1,3 +1,13 @@
 """Imports every module that registers queries."""
 
-from treecensus.catalog import columns, history, permissions, planning, searches, summaries  # noqa: F401
+from treecensus.catalog import (  # noqa: F401
+    columns,
+    contents,
+    exchange,
+    history,
+    permissions,
+    planning,
+    searches,
+    streams,
+    summaries,
+)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treecensus import constants as C
 from treecensus.operators.joins import spread_join
-from treecensus.workspace import folder
+from treecensus.workspace import folder, settle
 
 
 def candidates(files: DataFrame) -> DataFrame:
@@ -70,11 +70,12 @@ def fingerprint(content: Column, size: Column, sample: int = C.SAMPLE_BYTES,
 def sampled(files: DataFrame, sample: int = C.SAMPLE_BYTES, points: int | None = None) -> DataFrame:
     """Files with equal size and equal samples. Advisory: samples are not whole contents.
 
-    Content is only read for files that share their size with another file.
+    Contents are hashed where they are read and never shuffled; the hashes are
+    written once, so that counting and joining them does not read contents again.
     """
-    same = by_size(files, ("size",)).drop("group_id", "files")
-    printed = same.withColumn("fingerprint", fingerprint(F.col("content"), F.col("size"), sample, points))
-    return members(printed.drop("content").withColumn("group_id", _key("size", "fingerprint")))
+    printed = candidates(files).withColumn("fingerprint", fingerprint(F.col("content"), F.col("size"), sample, points))
+    hashes = printed.drop("content").withColumn("group_id", _key("size", "fingerprint"))
+    return members(settle(hashes, "fingerprints"))
 
 
 def estimate(files: DataFrame, sample: int = C.SAMPLE_BYTES, points: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from treecensus import constants as C
 from treecensus.functions import paths, times
 from treecensus.operators.joins import fits_broadcast, lookup_join, nearest_above, spread_join
 from treecensus.options import duration
+from treecensus.workspace import settle
 
 
 def eligible(snapshots: DataFrame, include_replication: bool = False, path: str | None = None,
@@ -102,6 +103,8 @@ def tree_diff(older: DataFrame, newer: DataFrame, token: Sequence[str] = ("size"
     kind = F.when(F.col("op") == "DELETE", F.col("_old")).otherwise(F.col("_new"))
     changes = changes.select("path", "op", (kind == C.DIRECTORY).alias("_dir"))
     if collapse:
+        # the differences are few beside the trees, and are read three times from here on
+        changes = settle(changes, "diff")
         whole = changes.where(F.col("_dir") & (F.col("op") != "MODIFY")).select(
             F.concat_ws(":", "op", "path").alias("_key"))
         changes = spread_join(changes, whole, F.concat_ws(":", F.col("op"), paths.parent(F.col("path"))),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def base(spark: SparkSession) -> str:
@@ -23,3 +23,14 @@ def base(spark: SparkSession) -> str:
 def folder(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{base(spark)}/treecensus/{label}-{uuid.uuid4().hex}"
+
+
+def settle(rows: DataFrame, label: str) -> DataFrame:
+    """Write rows once and go on from the written table.
+
+    For results that are costly to make, much smaller than their input, and read
+    several times by what follows.
+    """
+    where = folder(rows.sparkSession, label)
+    rows.write.parquet(where)
+    return rows.sparkSession.read.schema(rows.schema).parquet(where)
