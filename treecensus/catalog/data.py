@@ -39,18 +39,22 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def stored(self, name: str, rows: DataFrame, partition: str | None = None) -> DataFrame:
-        """An inventory that many steps of a query read is written once, like an ingested export."""
+    def stored(self, name: str, make, *partition: str) -> DataFrame:
+        """A table that is written once per application and folder, like an ingested export.
+
+        Rows are laid out in path order: a search below a directory skips row
+        groups, and the rows of a directory meet in one task before any shuffle.
+        """
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _STORED:
             where = workspace.folder(self.spark, name)
-            writer = rows.write
-            (writer.partitionBy(partition) if partition else writer).parquet(where)
+            rows = make()
+            (rows.repartitionByRange(*partition, "path").sortWithinPartitions(*partition, "path")
+             .write.partitionBy(*partition).parquet(where))
             _STORED[key] = where
         return self.spark.read.parquet(_STORED[key])
 
-    @cached_property
-    def base(self) -> DataFrame:
+    def _base(self) -> DataFrame:
         """One row per order with the numbers all other columns are made from."""
         nations = self.table("nation").join(
             self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -70,9 +74,8 @@ class Data:
             created.alias("creation_time"),
             F.coalesce(F.col("m").cast("timestamp"), created).alias("modification_time"))
 
-    @cached_property
-    def files_k(self) -> DataFrame:
-        """Files and symlinks, with the columns they were made from."""
+    def _files(self) -> DataFrame:
+        """Files and symlinks with their access-control list and tags."""
         k, size, day = F.col("k"), F.col("size"), F.col("modification_time").cast("date")
         link = k % 50 == 0
         blocks = F.when(k % 10 == 0, F.lit(1)).otherwise(F.ceil(size / F.lit(4096.0))).cast("bigint")
@@ -86,7 +89,7 @@ class Data:
                  .when(who == 2, F.concat(F.lit("S-1-5-21-"), owner))
                  .when(who == 3, F.col("c_name")))
         group = F.concat(F.lit("g"), F.col("c_nationkey").cast("string"))
-        return self.base.withColumns({
+        return self._base().withColumns({
             "snapshot_id": F.lit(0),
             "type": F.when(link, C.SYMLINK).otherwise(C.FILE),
             "id": k.cast("string"),
@@ -113,14 +116,36 @@ class Data:
                "owner_details", "group", "group_details", *C.TIME_FIELDS, "child_count",
                "extended_attributes", "symlink_target")
 
+    def _inventory(self) -> DataFrame:
+        files = self._files().select(*self.COLUMNS, self._acl().alias("acl"), self._tags().alias("tags"))
+        return files.unionByName(self._dirs(), allowMissingColumns=True)
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        """All objects with everything known about them."""
+        return self.stored("inventory", self._inventory)
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return self.inventory.select(*self.COLUMNS)
+
     @cached_property
     def files(self) -> DataFrame:
-        return self.files_k.select(*self.COLUMNS)
+        """Files and symlinks."""
+        return self.entries.where(F.col("type") != C.DIRECTORY)
+
+    @cached_property
+    def files_k(self) -> DataFrame:
+        """The same with the order key as a number."""
+        return self.files.withColumn("k", F.col("id").cast("bigint"))
 
     @cached_property
     def dirs(self) -> DataFrame:
+        return self.entries.where(F.col("type") == C.DIRECTORY)
+
+    def _dirs(self) -> DataFrame:
         """All directories that contain a file, at every level."""
-        homes = self.base.groupBy(paths.parent(F.col("path")).alias("home")).agg(
+        homes = self._base().groupBy(paths.parent(F.col("path")).alias("home")).agg(
             F.count("*").alias("n"), F.min("creation_time").alias("born"),
             F.max("modification_time").alias("touched"))
         own = F.col("path") == F.col("home")
@@ -148,17 +173,12 @@ class Data:
             F.struct(*[F.lit(None).cast("boolean").alias(a) for a in C.ATTRIBUTES]).alias("extended_attributes"),
             nothing.alias("symlink_target"))
 
-    @cached_property
-    def entries(self) -> DataFrame:
-        return self.stored("entries", self.files.unionByName(self.dirs))
-
     @cached_property
     def snapshots(self) -> DataFrame:
         rows = ", ".join(f"({i}, timestamp'{t}', '{n}', '{s}', false)" for i, t, n, s in SNAPSHOTS)
         return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, ts, name, source, in_deletion)")
 
-    @cached_property
-    def snap_files(self) -> DataFrame:
+    def _snap_files(self) -> DataFrame:
         """Files of every snapshot; each file is repeated for the snapshots that hold it."""
         k, path = F.col("k"), F.col("path")
         born, changed = F.col("creation_time"), F.col("modification_time")
@@ -173,22 +193,26 @@ class Data:
                 (F.col("size") + F.when(changed <= ts, 4096).otherwise(0)).alias("size"),
                 F.when(changed <= ts, changed).otherwise(born).alias("modification_time"))))
         kept = F.filter(F.array(*versions), lambda v: v.isNotNull())
-        return self.base.select(
-            "path", F.when(k % 50 == 0, C.SYMLINK).otherwise(C.FILE).alias("type"),
-            k.cast("string").alias("id"), F.col("c_custkey").cast("string").alias("owner"),
-            "creation_time", F.explode(kept).alias("v")).select(
+        return self.files_k.select(
+            "path", "type", "id", "owner", "creation_time", F.explode(kept).alias("v")).select(
             "v.snapshot_id", "path", "type", "id", "owner", "v.size", "creation_time", "v.modification_time")
 
-    @cached_property
-    def snap_entries(self) -> DataFrame:
-        """Files of every snapshot and the directories that contain them."""
-        homes = self.snap_files.select("snapshot_id", paths.parent(F.col("path")).alias("home")).distinct()
+    def _snap_entries(self) -> DataFrame:
+        files = self._snap_files()
+        homes = files.select("snapshot_id", paths.parent(F.col("path")).alias("home")).distinct()
         dirs = homes.select("snapshot_id", F.explode(paths.ancestors_or_self(F.col("home"))).alias("path")).distinct()
-        return self.stored("snapshots", self.snap_files.unionByName(dirs.select(
+        return files.unionByName(dirs.select(
             "snapshot_id", "path", F.lit(C.DIRECTORY).alias("type"), F.concat(F.lit("d:"), "path").alias("id"),
-            F.lit("root").alias("owner"), F.lit(0).cast("bigint").alias("size"),
-            F.lit(None).cast("timestamp").alias("creation_time"),
-            F.lit(None).cast("timestamp").alias("modification_time"))), "snapshot_id")
+            F.lit("root").alias("owner"), F.lit(0).cast("bigint").alias("size")), allowMissingColumns=True)
+
+    @cached_property
+    def snap_entries(self) -> DataFrame:
+        """Files of every snapshot and the directories that contain them, one partition a snapshot."""
+        return self.stored("snapshots", self._snap_entries, "snapshot_id")
+
+    @cached_property
+    def snap_files(self) -> DataFrame:
+        return self.snap_entries.where(F.col("type") != C.DIRECTORY)
 
     def snapshot(self, number: int, directories: bool = True) -> DataFrame:
         rows = self.snap_entries if directories else self.snap_files
@@ -252,18 +276,22 @@ class Data:
     @cached_property
     def objects(self) -> DataFrame:
         """Files with their access-control list."""
-        return self.files_k.select(*self.COLUMNS, self._acl().alias("acl"))
+        return self.inventory.where(F.col("type") != C.DIRECTORY).select(*self.COLUMNS, "acl")
 
-    @cached_property
-    def tagged(self) -> DataFrame:
-        """Files with their tags."""
+    @staticmethod
+    def _tags() -> Column:
         k = F.col("k")
         pairs = F.array(
             F.when(k % 4 == 0, F.struct(F.lit("reviewed").alias("key"), F.lit("yes").alias("value")))
             .when(k % 4 == 1, F.struct(F.lit("reviewed").alias("key"), F.lit("no").alias("value"))),
             F.when(k % 3 == 0, F.struct(F.lit("project").alias("key"), F.col("c_mktsegment").alias("value"))))
-        tags = F.map_from_entries(F.filter(pairs, lambda p: p.isNotNull()))
-        return self.files_k.select("path", "type", "id", "size", "owner", "modification_time", tags.alias("tags"))
+        return F.map_from_entries(F.filter(pairs, lambda p: p.isNotNull()))
+
+    @cached_property
+    def tagged(self) -> DataFrame:
+        """Files with their tags."""
+        return self.inventory.where(F.col("type") != C.DIRECTORY).select(
+            "path", "type", "id", "size", "owner", "modification_time", "tags")
 
     @cached_property
     def archive(self) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from treecensus import workspace
 from treecensus.catalog.data import AS_OF, Data
 from treecensus.catalog.registry import query
 from treecensus.functions import patterns, paths
@@ -91,7 +92,7 @@ def tree_diff(d: Data) -> DataFrame:
 @query("expand_diff", "SELECT op, path || CASE WHEN dir THEN '/' ELSE '' END AS path FROM fx_diff")
 def expand_diff(d: Data) -> DataFrame:
     older, newer = d.snapshot(2), d.snapshot(4)
-    changes = d.stored("diff", S.tree_diff(older, newer))
+    changes = workspace.settle(S.tree_diff(older, newer), "diff")
     return S.expand_diff(changes, older, newer)
 
 

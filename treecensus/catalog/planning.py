@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from treecensus import constants as C
+from treecensus import constants as C, workspace
 from treecensus.catalog.data import AS_OF, Data
 from treecensus.catalog.registry import query
 from treecensus.functions import paths, rename
@@ -115,8 +115,8 @@ WITH {_COPY}, e AS (SELECT u.entry AS path, u.path AS top, u.type FROM fx_entry_
 SELECT e.path, e.type, p.target || substring(e.path, length(p.path) + 1) AS target
 FROM e JOIN p ON p.path = e.top WHERE p.action = 'copy'""")
 def copy_plan_tree(d: Data) -> DataFrame:
-    plan = d.stored("copies", transfer.transfer_plan(
-        _chosen(d), "/copies", d.live, "copy", include_directories=True))
+    plan = workspace.settle(transfer.transfer_plan(
+        _chosen(d), "/copies", d.live, "copy", include_directories=True), "plan")
     return transfer.expand_directories(plan, d.entries)
 
 

@@ -164,7 +164,8 @@ def skip_big_dirs(d: Data) -> DataFrame:
 
 @query("skip_summary", f"""
 WITH big AS (SELECT d.path FROM fx_dirs d WHERE d.path IN ({_BIG_SQL.replace('130', '1500')}))
-SELECT (SELECT count(*) FROM big) AS skipped_roots,
+SELECT (SELECT count(*) FROM big WHERE NOT EXISTS (SELECT 1 FROM fx_entry_up v WHERE v.entry = big.path
+    AND v.path IN (SELECT path FROM big))) AS skipped_roots,
   coalesce(sum(CASE WHEN u.type = 'FS_FILE_TYPE_FILE' THEN 1 ELSE 0 END), 0)::BIGINT AS skipped_files,
   coalesce(sum(CASE WHEN u.type = 'FS_FILE_TYPE_DIRECTORY' THEN 1 ELSE 0 END), 0)::BIGINT AS skipped_directories
 FROM fx_entry_up u JOIN big USING (path)

@@ -13,7 +13,7 @@ from treecensus.operators.search import Search
 from treecensus.sources import tables
 from treecensus.streaming import jobs
 
-PAGES = 8
+PAGES = 48
 
 
 def _pages(d: Data) -> DataFrame:
