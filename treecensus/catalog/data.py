@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treecensus import constants as C, workspace
-from treecensus.functions import aces as A, paths
+from treecensus.functions import paths
 
 AS_OF = "2002-01-01T00:00:00"
 
@@ -39,18 +40,12 @@ class Data:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def stored(self, name: str, make, *partition: str) -> DataFrame:
-        """A table that is written once per application and folder, like an ingested export.
-
-        Rows are laid out in path order: a search below a directory skips row
-        groups, and the rows of a directory meet in one task before any shuffle.
-        """
+    def stored(self, name: str, write: Callable[[str], None]) -> DataFrame:
+        """A table that is written once per application and folder, like an ingested export."""
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _STORED:
             where = workspace.folder(self.spark, name)
-            rows = make()
-            (rows.repartitionByRange(*partition, "path").sortWithinPartitions(*partition, "path")
-             .write.partitionBy(*partition).parquet(where))
+            write(where)
             _STORED[key] = where
         return self.spark.read.parquet(_STORED[key])
 
@@ -75,7 +70,10 @@ class Data:
             F.coalesce(F.col("m").cast("timestamp"), created).alias("modification_time"))
 
     def _files(self) -> DataFrame:
-        """Files and symlinks with their access-control list and tags."""
+        """Files and symlinks with their access-control list and tags, in path order.
+
+        The narrow rows are brought into order before the wide columns are made.
+        """
         k, size, day = F.col("k"), F.col("size"), F.col("modification_time").cast("date")
         link = k % 50 == 0
         blocks = F.when(k % 10 == 0, F.lit(1)).otherwise(F.ceil(size / F.lit(4096.0))).cast("bigint")
@@ -89,7 +87,8 @@ class Data:
                  .when(who == 2, F.concat(F.lit("S-1-5-21-"), owner))
                  .when(who == 3, F.col("c_name")))
         group = F.concat(F.lit("g"), F.col("c_nationkey").cast("string"))
-        return self._base().withColumns({
+        rows = self._base().repartitionByRange("path").sortWithinPartitions("path")
+        return rows.withColumns({
             "snapshot_id": F.lit(0),
             "type": F.when(link, C.SYMLINK).otherwise(C.FILE),
             "id": k.cast("string"),
@@ -116,14 +115,18 @@ class Data:
                "owner_details", "group", "group_details", *C.TIME_FIELDS, "child_count",
                "extended_attributes", "symlink_target")
 
-    def _inventory(self) -> DataFrame:
-        files = self._files().select(*self.COLUMNS, self._acl().alias("acl"), self._tags().alias("tags"))
-        return files.unionByName(self._dirs(), allowMissingColumns=True)
+    def _write_inventory(self, where: str) -> None:
+        """Ingest: rows in path order, so that a search below a directory skips row groups."""
+        self._files().select(*self.COLUMNS, self._acl().alias("acl"), self._tags().alias("tags")).write.parquet(where)
+        files = self.spark.read.parquet(where)
+        self._dirs(files).select(*[
+            F.col(c) if c in self.COLUMNS else F.lit(None).cast(files.schema[c].dataType).alias(c)
+            for c in files.columns]).write.mode("append").parquet(where)
 
     @cached_property
     def inventory(self) -> DataFrame:
         """All objects with everything known about them."""
-        return self.stored("inventory", self._inventory)
+        return self.stored("inventory", self._write_inventory)
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -143,9 +146,10 @@ class Data:
     def dirs(self) -> DataFrame:
         return self.entries.where(F.col("type") == C.DIRECTORY)
 
-    def _dirs(self) -> DataFrame:
+    @staticmethod
+    def _dirs(files: DataFrame) -> DataFrame:
         """All directories that contain a file, at every level."""
-        homes = self._base().groupBy(paths.parent(F.col("path")).alias("home")).agg(
+        homes = files.groupBy(paths.parent(F.col("path")).alias("home")).agg(
             F.count("*").alias("n"), F.min("creation_time").alias("born"),
             F.max("modification_time").alias("touched"))
         own = F.col("path") == F.col("home")
@@ -197,18 +201,24 @@ class Data:
             "path", "type", "id", "owner", "creation_time", F.explode(kept).alias("v")).select(
             "v.snapshot_id", "path", "type", "id", "owner", "v.size", "creation_time", "v.modification_time")
 
-    def _snap_entries(self) -> DataFrame:
-        files = self._snap_files()
-        homes = files.select("snapshot_id", paths.parent(F.col("path")).alias("home")).distinct()
+    def _write_snapshots(self, where: str) -> None:
+        """One partition a snapshot; the inventory is in path order already, so nothing is shuffled."""
+        rows = self._snap_files().sortWithinPartitions("snapshot_id", "path")
+        rows.write.partitionBy("snapshot_id").parquet(where)
+        homes = self.spark.read.parquet(where).select(
+            "snapshot_id", paths.parent(F.col("path")).alias("home")).distinct()
         dirs = homes.select("snapshot_id", F.explode(paths.ancestors_or_self(F.col("home"))).alias("path")).distinct()
-        return files.unionByName(dirs.select(
+        dirs = dirs.select(
             "snapshot_id", "path", F.lit(C.DIRECTORY).alias("type"), F.concat(F.lit("d:"), "path").alias("id"),
-            F.lit("root").alias("owner"), F.lit(0).cast("bigint").alias("size")), allowMissingColumns=True)
+            F.lit("root").alias("owner"), F.lit(0).cast("bigint").alias("size"),
+            *[F.lit(None).cast("timestamp").alias(c) for c in ("creation_time", "modification_time")])
+        (dirs.sortWithinPartitions("snapshot_id", "path").write.mode("append")
+         .partitionBy("snapshot_id").parquet(where))
 
     @cached_property
     def snap_entries(self) -> DataFrame:
-        """Files of every snapshot and the directories that contain them, one partition a snapshot."""
-        return self.stored("snapshots", self._snap_entries, "snapshot_id")
+        """Files of every snapshot and the directories that contain them."""
+        return self.stored("snapshots", self._write_snapshots)
 
     @cached_property
     def snap_files(self) -> DataFrame:
@@ -257,19 +267,23 @@ class Data:
     def _acl() -> Column:
         k = F.col("k")
 
-        def ace(kind: str, who: Column, flags: str, rights: str, inherited: Column) -> Column:
-            marked = F.concat(A.letters(F.lit(flags)), F.when(inherited, F.array(F.lit(C.INHERITED)))
-                              .otherwise(F.array().cast("array<string>")))
-            return F.struct(F.lit(kind).alias("type"), who.alias("trustee"), marked.alias("flags"),
-                            A.letters(F.lit(rights)).alias("rights"))
+        none = F.array().cast("array<string>")
+
+        def ace(kind: str, who: Column, flags: str, rights: str, inherited: bool = False) -> Column:
+            marks = [*flags, C.INHERITED] if inherited else [*flags]
+            return F.struct(F.lit(kind).alias("type"), who.alias("trustee"),
+                            (F.array(*[F.lit(m) for m in marks]) if marks else none).alias("flags"),
+                            F.array(*[F.lit(r) for r in rights]).alias("rights"))
 
-        everyone, never = F.lit("Everyone"), F.lit(False)
+        def either(test: Column, kind: str, who: Column, flags: str, rights: str) -> Column:
+            return F.when(test, ace(kind, who, flags, rights, True)).otherwise(ace(kind, who, flags, rights))
+
+        everyone = F.lit("Everyone")
         listed = F.array(
-            ace(C.ALLOW, F.col("owner"), "", C.RIGHTS, never),
-            ace(C.ALLOW, F.col("group"), "fd", "rx", k % 2 == 0),
-            F.when(k % 7 == 0, ace(C.ALLOW, everyone, "", "rw", k % 14 == 0)),
-            F.when(k % 11 == 0, ace(C.DENY, everyone, "", "w", never)))
-        none = F.array().cast("array<string>")
+            ace(C.ALLOW, F.col("owner"), "", C.RIGHTS),
+            either(k % 2 == 0, C.ALLOW, F.col("group"), "fd", "rx"),
+            F.when(k % 7 == 0, either(k % 14 == 0, C.ALLOW, everyone, "", "rw")),
+            F.when(k % 11 == 0, ace(C.DENY, everyone, "", "w")))
         return F.struct(none.alias("control"), none.alias("posix_special"),
                         F.filter(listed, lambda a: a.isNotNull()).alias("aces"))
 

@@ -22,13 +22,10 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
-def _ace(kind: Column, who: Column, flags: Column, rights: Column) -> Column:
-    return F.struct(kind.alias("type"), who.alias("trustee"), flags.alias("flags"),
-                    ordered(rights).alias("rights"))
-
-
 def new_ace(kind: str, flags: Sequence[str], who: str, rights: Sequence[str]) -> Column:
-    return _ace(F.lit(kind), F.lit(who), _strings(flags), _strings(rights))
+    """An entry of literals, folded into a constant when the plan is made."""
+    return F.struct(F.lit(kind).alias("type"), F.lit(who).alias("trustee"), _strings(flags).alias("flags"),
+                    _strings([r for r in C.RIGHTS if r in rights]).alias("rights"))
 
 
 def ordered(rights: Column) -> Column:
@@ -36,11 +33,6 @@ def ordered(rights: Column) -> Column:
     return F.filter(_strings(C.RIGHTS), lambda letter: F.array_contains(rights, letter))
 
 
-def letters(text: Column) -> Column:
-    """``rwx`` -> [r, w, x]."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
 def is_inherited(ace: Column) -> Column:
     return F.array_contains(ace["flags"], C.INHERITED)
 
@@ -85,8 +77,8 @@ def add(kind: str, flags: Sequence[str], who: str, rights: Sequence[str]) -> Edi
         place = _first(aces, matches(kind, who))
         merged = F.transform(aces, lambda a, i: F.when(
             i == place,
-            _ace(a["type"], a["trustee"], F.array_union(a["flags"], _strings(flags)),
-                 F.array_union(a["rights"], _strings(rights)))).otherwise(a))
+            a.withField("flags", F.array_union(a["flags"], _strings(flags))).withField(
+                "rights", ordered(F.array_union(a["rights"], _strings(rights))))).otherwise(a))
         return F.when(place >= 0, merged).otherwise(
             F.concat(aces, F.array(new_ace(kind, flags, who, rights))))
     return edit
@@ -96,7 +88,8 @@ def replace(kind: str, flags: Sequence[str], who: str, rights: Sequence[str]) ->
     """New flags and rights in place; the mark of an inherited entry stays."""
     def swap(a: Column) -> Column:
         kept = F.array_intersect(a["flags"], _strings([C.INHERITED]))
-        return _ace(a["type"], a["trustee"], F.array_union(_strings(flags), kept), _strings(rights))
+        return a.withField("flags", F.array_union(_strings(flags), kept)).withField(
+            "rights", new_ace(kind, flags, who, rights)["rights"])
     return lambda aces: F.transform(
         aces, lambda a: F.when(matches(kind, who)(a), swap(a)).otherwise(a))
 
@@ -133,23 +126,22 @@ def clone(source: Column | str, target: Column | str, sync: bool = False) -> Edi
     A type the target already has is left alone, or takes the source's rights
     when syncing.
     """
-    source = F.lit(source) if isinstance(source, str) else source
-    target = F.lit(target) if isinstance(target, str) else target
-
     def edit(aces: Column) -> Column:
+        giver, taker = (F.lit(t) if isinstance(t, str) else t for t in (source, target))
+
         def of(who: Column, kind: Column) -> Column:
             return F.filter(aces, lambda x: (x["trustee"] == who) & (x["type"] == kind))
 
-        given = F.filter(aces, lambda a: (a["trustee"] == source)
-                         & (F.size(of(target, a["type"])) == 0))
-        copies = F.transform(given, lambda a: a.withField("trustee", target))
+        given = F.filter(aces, lambda a: (a["trustee"] == giver)
+                         & (F.size(of(taker, a["type"])) == 0))
+        copies = F.transform(given, lambda a: a.withField("trustee", taker))
         kept = aces
         if sync:
             kept = F.transform(aces, lambda a: F.when(
-                (a["trustee"] == target) & (F.size(of(source, a["type"])) > 0),
-                a.withField("rights", F.try_element_at(of(source, a["type"]), F.lit(1))["rights"]),
+                (a["trustee"] == taker) & (F.size(of(giver, a["type"])) > 0),
+                a.withField("rights", F.try_element_at(of(giver, a["type"]), F.lit(1))["rights"]),
             ).otherwise(a))
-        return F.when(target.isNull() | (source == target), aces).otherwise(F.concat(kept, copies))
+        return F.when(taker.isNull() | (giver == taker), aces).otherwise(F.concat(kept, copies))
     return edit
 
 

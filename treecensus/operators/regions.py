@@ -11,6 +11,10 @@ from treecensus import constants as C
 SPAN = 1 << 16
 
 
+def _is_binary(files: DataFrame, column: str) -> bool:
+    return files.schema[column].dataType.typeName() == "binary"
+
+
 def pieces(content: Column, chunk: int = C.CHUNK, binary: bool = False) -> Column:
     """Fixed-size pieces of the whole content.
 
@@ -25,10 +29,9 @@ def pieces(content: Column, chunk: int = C.CHUNK, binary: bool = False) -> Colum
     ).otherwise(F.array().cast("array<binary>"))
 
 
-def chunk_hashes(files: DataFrame, content: str = "content", chunk: int = C.CHUNK,
-                 binary: bool = False) -> DataFrame:
+def chunk_hashes(files: DataFrame, content: str = "content", chunk: int = C.CHUNK) -> DataFrame:
     """(path, chunk, bytes, hash) of every piece, the form in which versions of large files are kept."""
-    cut = F.transform(pieces(F.col(content), chunk, binary), lambda p: F.struct(
+    cut = F.transform(pieces(F.col(content), chunk, _is_binary(files, content)), lambda p: F.struct(
         F.length(p).cast("bigint").alias("bytes"), F.sha2(p, 256).alias("hash")))
     return files.select("path", F.posexplode(cut).alias("chunk", "p")).select(
         "path", F.col("chunk").cast("bigint").alias("chunk"), "p.bytes", "p.hash")
@@ -69,7 +72,7 @@ def merge_regions(changed: DataFrame, keys: Sequence[str] = ("path",), span: int
 
 
 def byte_diff(files: DataFrame, good: str, live: str, chunk: int = C.CHUNK,
-              threshold: int = C.WHOLE_FILE_BELOW, binary: bool = False) -> DataFrame:
+              threshold: int = C.WHOLE_FILE_BELOW) -> DataFrame:
     """What must be written to turn the live content back into the good one.
 
     ``data`` rows are changed ranges of the part both versions have, ``tail``
@@ -90,7 +93,8 @@ def byte_diff(files: DataFrame, good: str, live: str, chunk: int = C.CHUNK,
 
     zero = F.lit(0)
     # both versions cut to the part they share, so that the last chunk compares like with like
-    parts = [pieces(F.substr(F.col(c), F.lit(1), F.col("_o").cast("int")), chunk, binary) for c in (good, live)]
+    parts = [pieces(F.substr(F.col(c), F.lit(1), F.col("_o").cast("int")), chunk, _is_binary(files, c))
+             for c in (good, live)]
     differs = F.zip_with(*parts, lambda a, b: a != b)
     data = F.filter(F.transform(differs, lambda d, i: F.when(d, step(
         "data", i, i * chunk, F.least(F.lit(chunk).cast("bigint"), F.col("_o") - i * chunk)))),

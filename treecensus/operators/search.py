@@ -120,7 +120,9 @@ def predicate(entries: DataFrame, opts: Search) -> Column:
     tests: list[Column] = []
     root = paths.root_text(opts.root)
     if root != "/":
-        # a root that is itself a file or a symlink is the only match
+        # a root that is itself a file or a symlink is the only match; the plain
+        # prefix test is implied by the other one, and is the part a scan can use
+        tests.append(path.startswith(root))
         tests.append(paths.below(path, root) | ((path == root) & (kind != C.DIRECTORY)))
     if opts.type:
         tests.append(kind == C.TYPE_WORDS[opts.type])
