@@ -154,7 +154,7 @@ def acl_report(d: Data) -> DataFrame:
 WITH t AS (SELECT path, string_agg(x, ',' ORDER BY x) AS acl_text FROM (
   SELECT path, type || ':' || flags || ':' || trustee || ':' || rights || CASE WHEN inh THEN ':I' ELSE '' END AS x FROM fx_aces)
   GROUP BY path)
-SELECT acl_text, count(*) AS objects, min(path) AS example, sha256(acl_text) AS acl_id FROM t GROUP BY acl_text""")
+SELECT acl_text, count(*) AS objects, sha256(acl_text) AS acl_id FROM t GROUP BY acl_text""")
 def acl_unique(d: Data) -> DataFrame:
     return reports.acl_unique(d.objects)
 

@@ -18,41 +18,33 @@ def capacity() -> Column:
     return sizes.entry_capacity(F.col("datablocks"), F.col("metablocks"), F.col("size"))
 
 
-def _zero_sum(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name)
-
-
-def _with_total(per: DataFrame, parts: DataFrame, root: str) -> DataFrame:
-    total = parts.agg(_zero_sum("files"), _zero_sum("capacity")).select(
-        F.lit(root).alias("path"), "files", "capacity", F.lit(0).alias("depth"))
-    return per.select("path", "files", "capacity", "depth").unionByName(total)
-
-
 def per_directory(matches: DataFrame, root: str = "/", every_level: bool = False) -> DataFrame:
     """Matches and capacity per directory below the root, and a depth-0 total.
 
     A match counts for the directories that contain it, never for itself.  One
-    that lies directly in the root or outside it only counts in the total.
+    that lies directly in the root or outside it only counts in the total.  The
+    matches are read once: the total is one more directory of every partial sum.
     """
     root = paths.root_text(root)
     base = paths.root_depth(root)
-    rows = matches.where(F.length("path") > 0)
-    measures = (F.count("*").alias("files"), F.sum("_cap").alias("capacity"))
-    inside = paths.below(F.col("path"), root)
-    home = paths.parent(F.col("path"))
-    if not every_level:
-        bucket = F.when(inside & (paths.depth(F.col("path")) > base + 1),
-                        paths.prefix(paths.clean(F.col("path")), F.lit(base + 1)))
-        parts = rows.select(bucket.alias("path"), capacity().alias("_cap")).groupBy("path").agg(*measures)
-        per = parts.where("path IS NOT NULL").withColumn("depth", F.lit(1))
-        return _with_total(per, parts, root)
-    parts = (rows.select(F.when(inside, home).alias("_home"), capacity().alias("_cap"))
-             .groupBy("_home").agg(*measures))
-    per = (parts.select("files", "capacity",
-                        F.explode(paths.ancestors_or_self(F.col("_home"), root)).alias("path"))
-           .groupBy("path").agg(F.sum("files").alias("files"), F.sum("capacity").alias("capacity"))
-           .withColumn("depth", paths.depth(F.col("path")) - base))
-    return _with_total(per, parts, root)
+    path = F.col("path")
+    inside = paths.below(path, root)
+    if every_level:
+        home = F.when(inside, paths.parent(path))
+        holders = F.coalesce(paths.ancestors_or_self(F.col("_home"), root), F.array().cast("array<string>"))
+    else:
+        # only the directory right below the root is reported, so nothing deeper is kept
+        home = F.when(inside & (paths.depth(path) > base + 1), paths.prefix(paths.clean(path), F.lit(base + 1)))
+        holders = F.filter(F.array("_home"), lambda h: h.isNotNull())
+    parts = (matches.where(F.length("path") > 0)
+             .select(home.alias("_home"), capacity().alias("_cap"))
+             .groupBy("_home").agg(F.count("*").alias("files"), F.sum("_cap").alias("capacity")))
+    credited = parts.select(F.explode(F.concat(F.array(F.lit(root)), holders)).alias("path"), "files", "capacity")
+    nothing = matches.sparkSession.range(1).select(
+        F.lit(root).alias("path"), F.lit(0).cast("bigint").alias("files"), F.lit(0).cast("bigint").alias("capacity"))
+    return (credited.unionByName(nothing).groupBy("path")
+            .agg(F.sum("files").alias("files"), F.sum("capacity").alias("capacity"))
+            .withColumn("depth", F.when(path == root, F.lit(0)).otherwise(paths.depth(path) - base)))
 
 
 def directory_aggregates(entries: DataFrame, root: str = "/") -> DataFrame:

@@ -78,14 +78,14 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, on: Column, key: str, how: s
 
 
 def above(rows: DataFrame, table: DataFrame, key: str, measure: Column, name: str,
-          path: str = "path", inclusive: bool = False) -> DataFrame:
+          path: str = "path", home: Column | None = None) -> DataFrame:
     """Add an aggregate over the table rows whose directory (``key``) contains the object.
 
     A prefix join as equi joins: the distinct containing directories are tested,
-    not the rows.  ``inclusive`` also counts the object's own path.  The table
-    is unique on its key.
+    not the rows.  ``home`` is the innermost directory that counts, the parent
+    if not given.  The table is unique on its key.
     """
-    home = paths.clean(F.col(path)) if inclusive else paths.parent(F.col(path))
+    home = paths.parent(F.col(path)) if home is None else home
     # one pass over the paths serves both as the list of directories and as key counts
     homes = rows.groupBy(home.alias("_dir")).agg(F.count("*").alias("n"))
     chain = homes.select("_dir", F.explode(
@@ -101,9 +101,9 @@ def _bare(directories: DataFrame, key: str) -> DataFrame:
 
 
 def beneath(rows: DataFrame, directories: DataFrame, key: str = "path", how: str = "semi",
-            path: str = "path") -> DataFrame:
+            path: str = "path", home: Column | None = None) -> DataFrame:
     """Rows that lie below one of the directories (semi) or below none (anti)."""
-    marked = above(rows, _bare(directories, key), "_wanted", F.lit(True), "_below", path)
+    marked = above(rows, _bare(directories, key), "_wanted", F.lit(True), "_below", path, home)
     hit = F.col("_below").isNotNull()
     return marked.where(hit if how == "semi" else ~hit).drop("_below")
 

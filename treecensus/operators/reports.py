@@ -110,13 +110,16 @@ def acl_report(objects: DataFrame, group=None) -> DataFrame:
         A.trustee_texts(aces, group).alias("trustees"))
 
 
-def acl_unique(objects: DataFrame) -> DataFrame:
-    """Distinct ACLs, regardless of the order of their entries, with object counts."""
+def acl_unique(objects: DataFrame, example: bool = False) -> DataFrame:
+    """Distinct ACLs, regardless of the order of their entries, with object counts.
+
+    Counting alone hashes; an example path per list costs a sort of the objects.
+    """
     marked = F.transform(F.col("acl.aces"), lambda a: F.concat(
         A.ace_text(a), F.when(A.is_inherited(a), F.lit(":I")).otherwise(F.lit(""))))
     text = F.array_join(F.array_sort(marked), ",")
-    return (objects.select("path", text.alias("acl_text"))
-            .groupBy("acl_text").agg(F.count("*").alias("objects"), F.min("path").alias("example"))
+    return (objects.select("path", text.alias("acl_text")).groupBy("acl_text")
+            .agg(F.count("*").alias("objects"), *([F.min("path").alias("example")] if example else []))
             .withColumn("acl_id", F.sha2("acl_text", 256)))
 
 

@@ -14,6 +14,7 @@ from treecensus.functions.fields import pick
 from treecensus.operators import joins
 from treecensus.operators.hierarchy import directory_aggregates
 from treecensus.options import OptionError, size_bytes
+from treecensus.workspace import settle
 
 
 @dataclass(frozen=True)
@@ -169,10 +170,9 @@ def owner_semi_join(entries: DataFrame, ids: DataFrame, key: str = "auth_id") ->
 
 def omit_anti_join(entries: DataFrame, directories: DataFrame) -> DataFrame:
     """Drop listed directories with everything beneath; for lists too long for ``omit_paths``."""
-    kept = joins.beneath(entries, directories, how="anti")
-    wanted = directories.select(F.col("path").alias("_gone")).distinct()
-    own = F.when(F.col("type") == C.DIRECTORY, F.col("path"))
-    return joins.spread_join(kept, wanted, own, "_gone", "anti")
+    # a listed directory counts as lying in itself, so one join finds it and its content
+    home = F.when(F.col("type") == C.DIRECTORY, paths.clean(F.col("path"))).otherwise(paths.parent(F.col("path")))
+    return joins.beneath(entries, settle(directories.select("path"), "omitted"), how="anti", home=home)
 
 
 def big_directories(entries: DataFrame, limit: int, root: str = "/",
@@ -183,6 +183,7 @@ def big_directories(entries: DataFrame, limit: int, root: str = "/",
     big = totals.where(F.col("total_files") + F.col("total_directories") > limit)
     if root_exempt:
         big = big.where(F.col("path") != root)
+    big = settle(big, "big")
     return joins.beneath(big, big.select(F.col("path").alias("_b")), key="_b", how="anti")
 
 

@@ -66,13 +66,10 @@ def search_all(entries: DataFrame, snapshots: DataFrame, test: Column) -> DataFr
 def latest_per_path(matches: DataFrame) -> DataFrame:
     """Only the newest snapshot's row of each path.
 
-    A path has at most one row per snapshot, and ``max_by`` drops the older ones
-    before the shuffle where they meet in one task.
+    A path has at most one row per snapshot, so no window grows large.
     """
-    order = F.struct("snapshot_time", "snapshot_id")
-    row = F.struct(*[c for c in matches.columns if c != "path"])
-    return (matches.groupBy("path").agg(F.max_by(row, order).alias("_row"))
-            .select("path", "_row.*"))
+    newest = Window.partitionBy("path").orderBy(F.desc("snapshot_time"), F.desc("snapshot_id"))
+    return matches.withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_place")
 
 
 def _change(older_hit: Column, newer_hit: Column, changed: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from treecensus import constants as C
 from treecensus.functions import paths
-from treecensus.operators.joins import beneath, nearest_above, spread_join
+from treecensus.operators.joins import above, nearest_above, spread_join
+from treecensus.workspace import settle
 
 Renamer = Callable[[Column], Column]
 
@@ -75,12 +76,10 @@ def _selected(matches: DataFrame, dest: str, include_directories: bool) -> DataF
     folder = F.col("type") == C.DIRECTORY
     if not include_directories:
         return matches.withColumn("_problem", F.when(folder, "skip_directory"))
-    dirs = matches.where(folder).select(F.col("path").alias("_d"))
-    inside = beneath(matches.select("path"), dirs, key="_d", how="semi").select(
-        "path", F.lit(True).alias("_inside"))
+    dirs = settle(matches.where(folder).select(F.col("path").alias("_d")), "selected")
     dest = paths.root_text(dest)
     cycle = folder & (F.lit(dest).startswith(F.concat("path", F.lit("/"))) | (F.col("path") == dest))
-    return (matches.join(inside, "path", "left")
+    return (above(matches, dirs, "_d", F.lit(True), "_inside")
             .withColumn("_problem", F.when(F.col("_inside"), "pruned").when(cycle, "refused_cycle"))
             .drop("_inside"))
 
