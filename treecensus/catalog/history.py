@@ -43,7 +43,7 @@ def snapshot_age_window(d: Data) -> DataFrame:
 
 
 @query("recent_snapshots", """
-SELECT id, rank, files FROM (SELECT id, row_number() OVER (ORDER BY ts DESC, id DESC) AS rank FROM fx_snapshots
+SELECT id, CAST(rank AS INTEGER) AS rank, files FROM (SELECT id, row_number() OVER (ORDER BY ts DESC, id DESC) AS rank FROM fx_snapshots
   WHERE name NOT LIKE 'replication_%') JOIN (SELECT snapshot_id AS id, count(*) AS files FROM fx_snap GROUP BY 1) USING (id)
 WHERE rank <= 3""")
 def recent_snapshots(d: Data) -> DataFrame:

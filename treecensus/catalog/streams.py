@@ -94,10 +94,14 @@ def stream_apply_directory_deletes(d: Data) -> DataFrame:
     return jobs.without_deleted(state).select("path", "seq")
 
 
-@query("stream_limit")
+@query("stream_limit", """
+SELECT least(500, count(*)) AS written, least(500, count(*)) AS known FROM fx_files WHERE type = 'FS_FILE_TYPE_FILE'""")
 def stream_limit(d: Data) -> DataFrame:
+    # which rows a limit keeps is arbitrary: their number is compared, and that they are rows of the inventory
     found = jobs.filtered(_pages(d), Search(type="file")).select("path", "size")
-    return jobs.limited(d.spark, found, 500)
+    kept = jobs.limited(d.spark, found, 500)
+    same = kept.join(d.files.select("path", F.col("size").alias("_size")), "path", "left")
+    return same.agg(F.count("*").alias("written"), F.count_if(F.col("size") == F.col("_size")).alias("known"))
 
 
 @query("stream_growth", """

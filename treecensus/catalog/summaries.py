@@ -36,7 +36,7 @@ def per_directory_matches(d: Data) -> DataFrame:
 
 
 @query("per_directory_matches_all", """
-SELECT path, count(*) AS files, CAST(sum(capacity) AS BIGINT) AS capacity, depth FROM fx_up
+SELECT path, count(*) AS files, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(depth AS INTEGER) AS depth FROM fx_up
 WHERE type = 'FS_FILE_TYPE_FILE' GROUP BY path, depth
 UNION ALL SELECT '/', count(*), CAST(sum(capacity) AS BIGINT), 0 FROM fx_files WHERE type = 'FS_FILE_TYPE_FILE'""")
 def per_directory_matches_all(d: Data) -> DataFrame:
@@ -44,7 +44,7 @@ def per_directory_matches_all(d: Data) -> DataFrame:
 
 
 @query("grand_total", """
-SELECT path, count(*) AS files, CAST(sum(capacity) AS BIGINT) AS capacity, depth - 1 AS depth FROM fx_up
+SELECT path, count(*) AS files, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(depth - 1 AS INTEGER) AS depth FROM fx_up
 WHERE starts_with(path, '/EUROPE/') AND depth <= 3 GROUP BY path, depth
 UNION ALL SELECT '/EUROPE', count(*), CAST(sum(capacity) AS BIGINT), 0 FROM fx_files WHERE starts_with(path, '/EUROPE/')""")
 def grand_total(d: Data) -> DataFrame:
@@ -76,7 +76,7 @@ def dir_aggregates(d: Data) -> DataFrame:
 
 @query("dir_stats", f"""
 WITH a AS ({_AGGREGATES})
-SELECT path, CASE WHEN path = '/' THEN 0 ELSE len(string_split(path, '/')) - 1 END AS depth, total_files AS files,
+SELECT path, CAST(CASE WHEN path = '/' THEN 0 ELSE len(string_split(path, '/')) - 1 END AS INTEGER) AS depth, total_files AS files,
   total_directories AS subdirectories, total_capacity AS total_size, total_capacity // total_files AS average_size,
   oldest, newest
 FROM a WHERE path = '/' OR (len(string_split(path, '/')) - 1 <= 3 AND NOT starts_with(path, '/ASIA')
@@ -109,7 +109,7 @@ def owner_report(d: Data) -> DataFrame:
 
 
 @query("owner_report_logical", """
-SELECT owner, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files, 0 AS dirs FROM fx_files
+SELECT owner, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files, CAST(0 AS BIGINT) AS dirs FROM fx_files
 WHERE creation_time > TIMESTAMP '2002-01-01' - INTERVAL 900 DAY GROUP BY owner
 UNION ALL SELECT NULL, CAST(sum(size) AS BIGINT), count(*), 0 FROM fx_files
 WHERE creation_time > TIMESTAMP '2002-01-01' - INTERVAL 900 DAY""")
@@ -141,8 +141,8 @@ def completeness_check(d: Data) -> DataFrame:
 
 
 @query("acl_report", """
-SELECT path, any_value(owner) AS owner, any_value(grp) AS grp, count(*) AS ace_count,
-  count(*) FILTER (inh) AS inherited_count, count(*) FILTER (NOT inh) AS explicit_count,
+SELECT path, any_value(owner) AS owner, any_value(grp) AS grp, CAST(count(*) AS INTEGER) AS ace_count,
+  CAST(count(*) FILTER (inh) AS INTEGER) AS inherited_count, CAST(count(*) FILTER (NOT inh) AS INTEGER) AS explicit_count,
   string_agg(type || ':' || flags || ':' || trustee || ':' || rights, '|' ORDER BY pos) AS trustees
 FROM fx_aces JOIN (SELECT path, owner, grp FROM fx_files) USING (path) GROUP BY path""")
 def acl_report(d: Data) -> DataFrame:
@@ -245,7 +245,7 @@ def best_identity_name(d: Data) -> DataFrame:
 
 
 @query("identity_rank", """
-SELECT auth_id, name, domain, place FROM (SELECT auth_id, name, domain,
+SELECT auth_id, name, domain, CAST(place AS INTEGER) AS place FROM (SELECT auth_id, name, domain,
   row_number() OVER (PARTITION BY auth_id ORDER BY rank, position) AS place FROM fx_ranked)""")
 def identity_rank(d: Data) -> DataFrame:
     from pyspark.sql import Window
