@@ -50,27 +50,28 @@ def per_directory(matches: DataFrame, root: str = "/", every_level: bool = False
 def directory_aggregates(entries: DataFrame, root: str = "/") -> DataFrame:
     """Recursive totals of every directory at or below the root, empty ones included."""
     root = paths.root_text(root)
-    plain = F.col("type") != C.DIRECTORY
+    kind = F.col("type")
     counts = {
-        "total_files": F.col("type") == C.FILE,
-        "total_directories": F.col("type") == C.DIRECTORY,
-        "total_symlinks": F.col("type") == C.SYMLINK,
-        "total_other": ~F.col("type").isin(C.FILE, C.DIRECTORY, C.SYMLINK),
+        "total_files": kind == C.FILE,
+        "total_directories": kind == C.DIRECTORY,
+        "total_symlinks": kind == C.SYMLINK,
+        "total_other": ~kind.isin(C.FILE, C.DIRECTORY, C.SYMLINK),
     }
-    inside = entries.where(paths.below(F.col("path"), root))
-    parts = inside.groupBy(paths.parent(F.col("path")).alias("_home")).agg(
-        *[F.count_if(test).alias(name) for name, test in counts.items()],
-        F.sum(capacity()).alias("total_capacity"),
-        F.min(F.when(plain, F.col("modification_time"))).alias("oldest"),
-        F.max(F.when(plain, F.col("modification_time"))).alias("newest"))
+    # a directory counts in its parent, and is listed in itself without counting
+    up = F.struct(paths.parent(F.col("path")).alias("home"), F.lit(True).alias("counts"))
+    own = F.struct(paths.clean(F.col("path")).alias("home"), F.lit(False).alias("counts"))
+    places = F.when(kind == C.DIRECTORY, F.array(up, own)).otherwise(F.array(up))
+    rows = entries.where(paths.below(F.col("path"), root)).select(
+        F.explode(places).alias("_at"), "type", capacity().alias("_cap"), "modification_time")
+    hit = F.col("_at.counts")
+    moment = F.when(hit & (kind != C.DIRECTORY), F.col("modification_time"))
+    parts = rows.groupBy(F.col("_at.home").alias("_home")).agg(
+        *[F.count_if(hit & test).alias(name) for name, test in counts.items()],
+        F.sum(F.when(hit, F.col("_cap")).otherwise(0)).alias("total_capacity"),
+        F.min(moment).alias("oldest"), F.max(moment).alias("newest"))
     sums = [*counts, "total_capacity"]
     chain = F.concat(F.array(F.lit(root)), paths.ancestors_or_self(F.col("_home"), root))
-    credited = parts.select(*sums, "oldest", "newest", F.explode(chain).alias("path"))
-    empty = (inside.where(~plain).select("path")
-             .select(*[F.lit(0).cast("bigint").alias(s) for s in sums],
-                     F.lit(None).cast("timestamp").alias("oldest"),
-                     F.lit(None).cast("timestamp").alias("newest"), "path"))
-    return (credited.unionByName(empty).groupBy("path")
+    return (parts.select(*sums, "oldest", "newest", F.explode(chain).alias("path")).groupBy("path")
             .agg(*[F.sum(s).alias(s) for s in sums],
                  F.min("oldest").alias("oldest"), F.max("newest").alias("newest")))
 

@@ -42,7 +42,7 @@ def ranked_equivalents(ids: DataFrame, equivalents: DataFrame) -> DataFrame:
     """Named equivalents of every identity as (auth_id, rank, position, name, domain)."""
     named = ids.where(F.length("name") > 0).select(
         F.col("auth_id").alias("other_id"), "name", "domain")
-    return (equivalents.join(named, "other_id")
+    return (lookup_join(equivalents, named, F.col("other_id"), "other_id", "inner", spread="auth_id")
             .select("auth_id", domain_rank(F.col("domain")).alias("rank"), "position", "name", "domain"))
 
 
@@ -59,12 +59,9 @@ def best_names(ids: DataFrame, equivalents: DataFrame) -> DataFrame:
 
 def expand(ids: DataFrame, equivalents: DataFrame) -> DataFrame:
     """One hop of equivalents as (auth_id, member): itself, equivalents, NFS and SMB id."""
-    listed = equivalents.groupBy("auth_id").agg(F.collect_set("other_id").alias("others"))
-    members = F.array_distinct(F.concat(
-        F.array("auth_id"), F.coalesce("others", F.array().cast("array<string>")),
-        F.array("nfs_id", "smb_id")))
-    return (ids.join(listed, "auth_id", "left")
-            .select("auth_id", F.explode(members).alias("member")).where("member IS NOT NULL"))
+    own = ids.select("auth_id", F.explode(F.array("auth_id", "nfs_id", "smb_id")).alias("member"))
+    others = equivalents.select("auth_id", F.col("other_id").alias("member"))
+    return own.unionByName(others).where("member IS NOT NULL").distinct()
 
 
 def resolve_owners(ids: DataFrame, owners: Sequence[str], kind: str = "auto") -> DataFrame:
@@ -96,5 +93,5 @@ def resolve_owners(ids: DataFrame, owners: Sequence[str], kind: str = "auto") ->
 
 def expand_owners(found: DataFrame, ids: DataFrame, equivalents: DataFrame) -> DataFrame:
     """Union of the members of several owners, without repeats."""
-    return (expand(ids, equivalents).join(found, "auth_id", "left_semi")
-            .select(F.col("member").alias("auth_id")).distinct())
+    members = lookup_join(expand(ids, equivalents), found, F.col("auth_id"), "auth_id", "semi", spread="member")
+    return members.select(F.col("member").alias("auth_id")).distinct()

@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treecensus import constants as C
 from treecensus.functions import paths, times
-from treecensus.operators.joins import fits_broadcast, lookup_join, nearest_above, spread_join
+from treecensus.operators.joins import lookup_join, nearest_above, spread_join
 from treecensus.options import duration
 from treecensus.workspace import settle
 
 
+MOST_LISTED = 10_000
+
+
 def eligible(snapshots: DataFrame, include_replication: bool = False, path: str | None = None,
              newer_than: str | None = None, older_than: str | None = None,
              as_of: datetime | str | None = None) -> DataFrame:
@@ -44,9 +47,7 @@ def coverage(objects: DataFrame, snapshots: DataFrame) -> DataFrame:
     chain = objects.select("path", F.explode(
         F.concat(F.array(F.lit("/")), paths.ancestors_or_self(F.col("path")))).alias("source"))
     dimension = snapshots.select("source", F.col("id").alias("snapshot_id"))
-    if fits_broadcast(dimension):
-        dimension = F.broadcast(dimension)
-    return chain.join(dimension, "source").select("path", "snapshot_id")
+    return lookup_join(chain, dimension, F.col("source"), "source", "inner").select("path", "snapshot_id")
 
 
 def recent(snapshots: DataFrame, n: int) -> DataFrame:
@@ -57,7 +58,14 @@ def recent(snapshots: DataFrame, n: int) -> DataFrame:
 
 
 def search_all(entries: DataFrame, snapshots: DataFrame, test: Column) -> DataFrame:
-    """The same search in many snapshots, one scan; every match names its snapshot."""
+    """The same search in many snapshots, one scan; every match names its snapshot.
+
+    A list of snapshots of the usual length becomes a literal, so that a table
+    partitioned by snapshot only reads the partitions it needs.
+    """
+    wanted = [r[0] for r in snapshots.select("id").distinct().limit(MOST_LISTED + 1).collect()]
+    if len(wanted) <= MOST_LISTED:
+        test = F.col("snapshot_id").isin(*wanted) & test if wanted else F.lit(False)
     dimension = snapshots.select(F.col("id").alias("snapshot_id"), F.col("name").alias("snapshot_name"),
                                  F.col("ts").alias("snapshot_time"))
     return lookup_join(entries.where(test), dimension, F.col("snapshot_id"), "snapshot_id", "inner")
