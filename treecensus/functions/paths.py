@@ -15,10 +15,12 @@ def basename(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    """Containing directory; ``/`` for a top-level object."""
+    """Containing directory of an absolute path; ``/`` for a top-level object.
+
+    ``greatest`` puts ``/`` in place of an empty text and evaluates its argument once.
+    """
     bare = clean(path)
-    up = F.left(bare, F.length(bare) - F.length(basename(path)) - 1)
-    return F.when(F.length(up) > 0, up).otherwise(F.lit("/"))
+    return F.greatest(F.left(bare, F.length(bare) - F.length(basename(path)) - 1), F.lit("/"))
 
 
 def depth(path: Column) -> Column:
@@ -85,4 +87,4 @@ def link_target(path: Column, target: Column) -> Column:
 
 
 def join_path(directory: Column, name: Column) -> Column:
-    return F.concat(F.when(directory == "/", F.lit("")).otherwise(directory), F.lit("/"), name)
+    return F.concat(clean(directory), F.lit("/"), name)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treecensus.functions import paths
+from treecensus.workspace import settle
 
 HOT_KEYS = 1000
 MOST_ROWS = 500_000
@@ -50,7 +51,8 @@ def spread_join(rows: DataFrame, lookup: DataFrame, on: Column, key: str, how: s
     if counts is None:
         counts = keyed.groupBy("_on").agg(F.count("*"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy())
-    hot = (counts.toDF("_k", "n").where("_k IS NOT NULL AND n > 1")
+    # a plain test of the key would be pushed below the count, and evaluate a costly key twice
+    hot = (counts.toDF("_k", "n").where("IF(_k IS NULL, 0, n) > 1")
            .orderBy(F.desc("n"), "_k").limit(HOT_KEYS)
            .select("_k", F.ceil(share * slices).alias("_w")))
     dealt = F.xxhash64(spread)
@@ -67,10 +69,10 @@ def spread_join(rows: DataFrame, lookup: DataFrame, on: Column, key: str, how: s
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: Column, key: str, how: str = "left",
-                spread: str = "path") -> DataFrame:
-    """Join rows to a dimension that is unique on ``key``."""
+                spread: str = "path", counts: DataFrame | None = None) -> DataFrame:
+    """Join rows to a dimension: without moving the rows if it measures small."""
     if not fits_broadcast(lookup):
-        return spread_join(rows, lookup, on, key, how, spread)
+        return spread_join(rows, lookup, on, key, how, spread, counts)
     values = _values(lookup, key, how)
     small = F.broadcast(lookup.select(F.col(key).alias("_k"), *values))
     joined = rows.withColumn("_on", on).join(small, F.col("_on") == F.col("_k"), KINDS[how])
@@ -84,15 +86,20 @@ def above(rows: DataFrame, table: DataFrame, key: str, measure: Column, name: st
     A prefix join as equi joins: the distinct containing directories are tested,
     not the rows.  ``home`` is the innermost directory that counts, the parent
     if not given.  The table is unique on its key.
+
+    The directories asked for and the answers are small beside the rows; they
+    are written, so that their size is known and the rows need not move at all
+    when it is small.
     """
+    table = settle(table, "directories")
     home = paths.parent(F.col(path)) if home is None else home
     # one pass over the paths serves both as the list of directories and as key counts
     homes = rows.groupBy(home.alias("_dir")).agg(F.count("*").alias("n"))
     chain = homes.select("_dir", F.explode(
         F.concat(F.array(F.lit("/")), paths.ancestors_or_self(F.col("_dir")))).alias("_over"))
-    found = (spread_join(chain, table, F.col("_over"), key, "inner", spread="_dir")
+    found = (lookup_join(chain, table, F.col("_over"), key, "inner", spread="_dir")
              .groupBy("_dir").agg(measure.alias(name)))
-    return spread_join(rows, found, home, "_dir", "left", spread=path, counts=homes)
+    return lookup_join(rows, settle(found, "answers"), home, "_dir", "left", spread=path, counts=homes)
 
 
 def _bare(directories: DataFrame, key: str) -> DataFrame:

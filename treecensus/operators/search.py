@@ -172,7 +172,7 @@ def omit_anti_join(entries: DataFrame, directories: DataFrame) -> DataFrame:
     """Drop listed directories with everything beneath; for lists too long for ``omit_paths``."""
     # a listed directory counts as lying in itself, so one join finds it and its content
     home = F.when(F.col("type") == C.DIRECTORY, paths.clean(F.col("path"))).otherwise(paths.parent(F.col("path")))
-    return joins.beneath(entries, settle(directories.select("path"), "omitted"), how="anti", home=home)
+    return joins.beneath(entries, directories, how="anti", home=home)
 
 
 def big_directories(entries: DataFrame, limit: int, root: str = "/",

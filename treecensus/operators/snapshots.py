@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treecensus import constants as C
 from treecensus.functions import paths, times
-from treecensus.operators.joins import lookup_join, nearest_above, spread_join
+from treecensus.operators.joins import lookup_join, nearest_above
 from treecensus.options import duration
 from treecensus.workspace import settle
 
@@ -112,7 +112,7 @@ def tree_diff(older: DataFrame, newer: DataFrame, token: Sequence[str] = ("size"
         changes = settle(changes, "diff")
         whole = changes.where(F.col("_dir") & (F.col("op") != "MODIFY")).select(
             F.concat_ws(":", "op", "path").alias("_key"))
-        changes = spread_join(changes, whole, F.concat_ws(":", F.col("op"), paths.parent(F.col("path"))),
+        changes = lookup_join(changes, whole, F.concat_ws(":", F.col("op"), paths.parent(F.col("path"))),
                               "_key", "anti")
     return changes.select("op", F.when(F.col("_dir"), F.concat("path", F.lit("/")))
                           .otherwise(F.col("path")).alias("path"))

@@ -41,11 +41,12 @@ def edit_aces(objects: DataFrame, edit: A.Edit, matched: Callable[[Column], Colu
         breaks = (F.col("path") == paths.root_text(root)) & F.exists(
             acl["aces"], lambda a: matched(a) & A.is_inherited(a))
     start = F.when(breaks, A.disable_inheritance(acl)).otherwise(acl)
-    rows = _scope(objects, root, propagate).withColumn("_start", start)
-    edited = edit(F.col("_start")["aces"])
+    # a column per step: array functions are dear, and each is then computed once
+    rows = (_scope(objects, root, propagate).withColumn("_start", start)
+            .withColumn("_aces", edit(F.col("_start")["aces"])))
     # an edit without effect must not reorder a list
-    result = F.when(edited.eqNullSafe(acl["aces"]), acl).otherwise(
-        F.col("_start").withField("aces", A.canonical(edited)))
+    result = F.when(F.col("_aces").eqNullSafe(acl["aces"]), acl).otherwise(
+        F.col("_start").withField("aces", A.canonical(F.col("_aces"))))
     return _plan(rows, result)
 
 

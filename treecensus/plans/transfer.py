@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from treecensus import constants as C
 from treecensus.functions import paths
 from treecensus.operators.joins import above, nearest_above, spread_join
-from treecensus.workspace import settle
 
 Renamer = Callable[[Column], Column]
 
 
 def _target_counts(rows: DataFrame, target: str) -> DataFrame:
-    return rows.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("_t")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.col(target).alias("_t")).agg(F.count("*").alias("n"))
 
 
 def _there(live: DataFrame) -> DataFrame:
@@ -76,7 +75,7 @@ def _selected(matches: DataFrame, dest: str, include_directories: bool) -> DataF
     folder = F.col("type") == C.DIRECTORY
     if not include_directories:
         return matches.withColumn("_problem", F.when(folder, "skip_directory"))
-    dirs = settle(matches.where(folder).select(F.col("path").alias("_d")), "selected")
+    dirs = matches.where(folder).select(F.col("path").alias("_d"))
     dest = paths.root_text(dest)
     cycle = folder & (F.lit(dest).startswith(F.concat("path", F.lit("/"))) | (F.col("path") == dest))
     return (above(matches, dirs, "_d", F.lit(True), "_inside")
