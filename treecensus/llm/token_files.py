@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from treecensus.llm.common import pieces_of
+from treecensus.llm.common import folder, pieces_of
 from treecensus.llm.tokens import encoder
 
 SHARD_IDS = 1 << 23
@@ -59,21 +59,34 @@ def expand(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def id_counts(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(id, n) over all whole texts with their end ids; a task sends a row per id at most."""
+def token_ids(documents: DataFrame, tokenizer: str, end_id: int, wide: str) -> DataFrame:
+    """(doc_id, ids) of whole texts with their end id, as bytes of numpy type ``wide``."""
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        for batch in pieces_of(batches):
+            ids = [np.frombuffer(coder.encode(text.as_py()) + end, "<u4").astype(wide).tobytes()
+                   for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(tokenise, f"doc_id {kind}, ids binary")
+
+
+def id_counts(coded: DataFrame, wide: str) -> DataFrame:
+    """(id, n) over all documents; a task sends a row per id at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, seen = encoder(tokenizer), np.zeros(0, np.int64)
+        seen = np.zeros(0, np.int64)
         for batch in pieces_of(batches):
-            ids = b"".join(coder.encode(text.as_py()) for text in batch.column(0))
-            new = np.bincount(np.frombuffer(ids, "<u4"), minlength=max(end_id + 1, len(seen)))
-            new[end_id] += batch.num_rows
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), wide)
+            new = np.bincount(ids, minlength=len(seen))
             new[:len(seen)] += seen
             seen = new
         ids = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seen[ids], pa.int64())], ["id", "n"])
 
-    return documents.select("text").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
@@ -83,23 +96,26 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, shar
     rows with the same doc_id follow each other by their ids.  An empty table writes no blocks.
     """
     spark, kind = documents.sparkSession, documents.schema["doc_id"].dataType.simpleString()
-    counted = id_counts(documents, tokenizer, end_id).orderBy(F.desc("n"), "id").collect()  # the vocabulary at most
+    wide = "<u2" if max(end_id + 1, encoder(tokenizer).library.get_vocab_size()) <= 1 << 16 else "<u4"
+    written = folder(spark, "token-ids")  # texts are tokenised once; counting and coding read these
+    token_ids(documents, tokenizer, end_id, wide).write.option("compression", "zstd").parquet(written)
+    ids = spark.read.schema(f"doc_id {kind}, ids binary").parquet(written)
+    counted = id_counts(ids, wide).orderBy(F.desc("n"), "id").collect()  # the vocabulary at most
     (spark.createDataFrame([(r, c.id) for r, c in enumerate(counted)], "rank int, id bigint").coalesce(1)
      .write.parquet(f"{path}/ranks"))
     shards = max(1, -(-sum(c.n for c in counted) // shard_ids))
-    edges = np.array(sorted(set(documents.approxQuantile(
+    edges = np.array(sorted(set(ids.approxQuantile(
         "doc_id", [k / shards for k in range(1, shards)], 0.1 / shards)))) if shards > 1 else np.zeros(0)
     rank_of = np.zeros(max([end_id, *(c.id for c in counted)]) + 1, np.uint32)
     rank_of[[c.id for c in counted]] = np.arange(len(counted))
     ranks = spark.sparkContext.broadcast(rank_of)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in pieces_of(batches):
             found = []
-            for text in batch.column("text"):
-                ids = coder.encode(text.as_py()) + end
-                found.append((zlib.crc32(ids), len(ids) // 4, *compress(ranks.value[np.frombuffer(ids, "<u4")])))
+            for text in batch.column("ids"):
+                own = np.frombuffer(text.as_py(), wide).astype("<u4")
+                found.append((zlib.crc32(own.tobytes()), len(own), *compress(ranks.value[own])))
             own = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(float)
             shard = np.searchsorted(edges, np.nan_to_num(own, nan=-np.inf), side="left").astype(np.int32)
             tie, n, control, data = zip(*found)
@@ -132,7 +148,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, shar
         if held:
             yield out()
 
-    coded = documents.select("doc_id", "text").mapInArrow(
+    coded = ids.mapInArrow(
         encode, f"shard int, doc_id {kind}, tie bigint, n bigint, control binary, data binary")
     (coded.repartitionById(shards, F.col("shard"))
      .sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "n")
