@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treecensus.llm import packing, token_counts, token_files
+from treecensus.llm import decontamination, language, near_duplicates, packing, pii, token_counts, token_files
 from treecensus.llm.common import folder, importable, settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"))
+    network = language.fit(documents, ~held)
+    rows = documents.select("doc_id", held.alias("held_out"), "text")
+    return language.predict(rows, network).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def packed(documents: DataFrame) -> DataFrame:
     pieces = packing.cut(documents, public_tokenizers.path("byte_bpe_50k.json"))
     kept = settle(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -46,3 +55,26 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     back = token_files.read(spark, path)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [k.name for k in pii.KINDS if k.base]
+    count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("bigint")
+    return found.select(
+        "doc_id", *(count(name).alias(f"n_{name}") for name in base),
+        F.sha2(pii.listed(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
