@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from treecensus.llm import decontamination, language, near_duplicates, packing, pii, token_counts, token_files
+from treecensus.llm import (
+    decontamination, language, licenses, near_duplicates, packing, pii, quality, token_counts, token_files, top_k,
+)
 from treecensus.llm.common import folder, importable, settle, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -37,6 +44,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, network).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def packed(documents: DataFrame) -> DataFrame:
     pieces = packing.cut(documents, public_tokenizers.path("byte_bpe_50k.json"))
     kept = settle(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -78,3 +91,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
