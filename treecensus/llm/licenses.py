@@ -114,11 +114,13 @@ def scan(documents: DataFrame, known: tuple[tuple[str, str], ...] = TEMPLATES) -
     held = F.broadcast(spark.createDataFrame(
         [(r.template, r.license, r["class"], r.own) for r in table], "template int, license string, class int, own array<bigint>"))
 
-    rows = (documents.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
-            .select("doc_id", "row", shingles_of("words").alias("all")))
+    # the row number comes last: no filter or generator is pushed below it, where it would read ``all`` anew at each place
+    rows = (documents.select("doc_id", words_of(F.col("text")).alias("words"))
+            .select("doc_id", shingles_of("words").alias("all"))
+            .select("doc_id", "all", F.monotonically_increasing_id().alias("row")))
     hit = lambda i: here(F.get("all", i), [b"\1", b"\3"]) & here(F.shiftright(F.get("all", i), 24), [b"\2", b"\3"])
-    rows = rows.where(F.size("all") > 0).withColumn(
-        "hits", F.filter(F.sequence(F.lit(0), F.size("all") - 1), hit)).where(F.size("hits") > 0)
+    rows = rows.withColumn("hits", F.when(F.size("all") > 0, F.filter(F.sequence(F.lit(0), F.size("all") - 1), hit))
+                           .otherwise(F.array().cast("array<int>")))
     sizes = sorted({r["class"] for r in table})
     starts = F.flatten(F.array(*(_windows(F.col("hits"), size) for size in sizes)))
     windows = (rows.select("doc_id", "row", "all", F.explode(starts).alias("w"))
