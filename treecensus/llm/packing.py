@@ -105,6 +105,10 @@ def fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[
     for length, n in histogram.items():
         left[length] += n
     patterns, plan = full_patterns(np.flatnonzero(left), capacity), []
+    sizes = np.arange(capacity + 1)
+    if 2 * left[sizes > capacity / 2].sum() > (left @ sizes) / capacity:
+        # long documents (one a sequence) take most sequences; patterns without one would use up what fits beside them
+        patterns = patterns[patterns[:, 0] > capacity / 2]
     if len(patterns):
         wanted = least_squares(patterns, left.astype(float))
         for k in np.argsort(-wanted, kind="stable"):

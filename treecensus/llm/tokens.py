@@ -19,8 +19,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ɏ]*")
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-įı-ſ]*")
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: The two pre-tokenizer patterns over plain characters: words alone, and words with the space before them.
 WORDS = re.compile(rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^\s{_L}{_N}]+")
 SPACED = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
