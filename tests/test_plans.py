@@ -1,10 +1,12 @@
 """Plans: outcomes, guards, and that a second run changes nothing."""
 
+from datetime import datetime
 from conftest import DIR, FILE, LINK, column, pairs
 from pyspark.sql import functions as F
 
 import pytest
 
+from treecensus.operators import identity, search, snapshots
 from treecensus.functions import aces as A
 from treecensus.options import OptionError, ace_full, ace_key, ace_rights
 from treecensus.plans import acl, marks, restore, transfer
@@ -107,13 +109,11 @@ def test_restore_guards_the_file_id(spark):
     assert ("/b", "restore") in pairs(acl.restore(saved, rows, force=True), "path", "action")
 
 
-def test_mappings_are_not_chained_and_both_ways_agree(spark, make, monkeypatch):
+def test_mappings_are_not_chained(spark, make):
     mapping = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
     rows = objects(spark, ("/1", ace("Allow::a:r"), ace("Deny:fd:b:w"), ace("Allow::z:r")), ("/2",))
     small = texts(acl.migrate_trustees(rows, mapping))
     assert small == {"/1": ("change", ["Allow::b:r", "Deny:fd:c:w", "Allow::z:r"]), "/2": ("unchanged", [])}
-    monkeypatch.setattr(acl, "MAP_ROWS", 1)
-    assert texts(acl.migrate_trustees(rows, mapping)) == small
     owners = make(("/x", {"owner": "a"}), ("/y", {"owner": "c"}))
     assert pairs(acl.change_ownership(owners, mapping), "path", "after") == {("/x", "b"), ("/y", "c")}
     assert column(acl.change_ownership(owners, mapping, root="/x", propagate=False)) == ["/x"]
@@ -204,3 +204,78 @@ def test_restore_and_revert(make, spark):
     assert restore.revert_plan(tree_diff(saved, saved), delete_new=True).count() == 0
     targets = restore.restore_plan(saved, live).where("action = 'recreate'")
     assert column(transfer.missing_directories(targets, live)) == ["/a/e"]
+
+
+def listed(spark, lists):
+    """Objects with lists of (type, trustee), as the ACL functions take them."""
+    rows = [(p, "FS_FILE_TYPE_FILE" if p != "/" else "FS_FILE_TYPE_DIRECTORY", p, "o", "g",
+             None if a is None else ([], [(t, [], who, ["READ"]) for t, who in a])) for p, a in lists.items()]
+    return spark.createDataFrame(rows, "path string, type string, id string, owner string, `group` string, acl struct<"
+                                 "control:array<string>,aces:array<struct<type:string,flags:array<string>,trustee:string,rights:array<string>>>>")
+
+
+def trustees(plan):
+    return {r.path: [(a.type, a.trustee) for a in r.after.aces] for r in plan.collect()}
+
+
+@pytest.mark.parametrize("extra", [0, 1500])
+def test_migration_has_one_plan_for_mappings_of_any_size(spark, extra):
+    objects = listed(spark, {"/a": [("Allow", "a"), ("Deny", "b"), ("Allow", "x")]})
+    more = [(f"s{i}", f"t{i}") for i in range(extra)]
+    table = spark.createDataFrame([("a", "b"), ("b", "c"), (None, "z"), ("x", None), ("a", "b"), *more], "source string, target string")
+    assert trustees(acl.migrate_trustees(objects, table)) == {"/a": [("Allow", "b"), ("Deny", "c"), ("Allow", "x")]}
+    twice = spark.createDataFrame([("a", "b"), ("a", "c"), *more], "source string, target string")
+    with pytest.raises(Exception, match="two targets"):
+        acl.migrate_trustees(objects, twice).collect()
+
+
+def test_cloning_never_chains(spark):
+    objects = listed(spark, {"/a": [("Allow", "a"), ("Deny", "b")]})
+    table = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
+    got = set(trustees(acl.clone_from_map(objects, table))["/a"])
+    assert got == {("Allow", "a"), ("Deny", "b"), ("Allow", "b"), ("Deny", "c")}
+
+
+def test_a_missing_source_of_a_list_is_an_error(spark):
+    objects = listed(spark, {"/": [], "/t": [("Allow", "a")]})
+    with pytest.raises(Exception, match="no object to copy"):
+        acl.copy_acl(objects, "/nowhere", "/t").collect()
+    assert trustees(acl.copy_acl(objects, "/t", "/t")) == {"/t": [("Allow", "a")]}
+
+
+def test_a_saved_tree_is_rebased(spark):
+    objects = listed(spark, {"/new": [], "/new/f": []})
+    saved = spark.createDataFrame([("/old", "1"), ("/old/f", "2")], "path string, file_id string").join(
+        listed(spark, {"/old": [("Allow", "a")], "/old/f": [("Deny", "b")]}).select("path", "acl"), "path")
+    assert trustees(acl.restore(saved, objects, force=True, target="/new")) == {
+        "/new": [("Allow", "a")], "/new/f": [("Deny", "b")]}
+
+
+def test_restore_does_not_merge_into_a_file(make):
+    plan = restore.restore_plan(make("/a/", "/a/f", "/b/", "/b/f", "/r"), make("/a", "/b/", "/r", "/r_restored"),
+                                "rename", include_directories=True)
+    assert {(r.path, r.action, r.target) for r in plan.collect()} == {
+        ("/a", "conflict", "/a"), ("/a/f", "conflict", "/a/f"), ("/b", "merge", "/b"), ("/b/f", "recreate", "/b/f"),
+        ("/r", "skip_exists", "/r")}
+    files = restore.restore_plan(make("/a/", "/a/f"), make("/a"), "clobber")
+    assert [(r.path, r.action) for r in files.collect()] == [("/a/f", "conflict")]
+
+
+def test_revert_folds_a_changed_type(spark, make):
+    when = {"modification_time": datetime(2002, 2, 2)}
+    diff = snapshots.tree_diff(make("/f", "/same"), make("/f/", "/f/x", ("/same", when)))
+    assert {(r.op, r.path) for r in diff.collect()} == {("DELETE", "/f"), ("CREATE", "/f/"), ("MODIFY", "/same")}
+    assert {(r.path, r.action) for r in restore.revert_plan(diff).collect()} == {("/f", "replace"), ("/same", "restore")}
+
+
+def test_owners_that_cannot_be_are_left_out(spark):
+    ids = spark.createDataFrame([("1", 7, None, "bob", "ACTIVE_DIRECTORY", "S-1-5"), ("2", 8, 9, "eve", "LOCAL", None)],
+                                "auth_id string, uid bigint, gid bigint, name string, domain string, sid string")
+    find = lambda *owners, **k: sorted(r[0] for r in identity.resolve_owners(ids, owners, **k).collect())
+    assert find("uid:abc") == [] == find("bob", kind="uid") and find("7") == ["1"]
+    assert find("S-1-5") == ["1"] == find("CORP\\bob") == find("bob@corp.example") and find("CORP\\eve") == []
+
+
+def test_ages_count_from_now(make):
+    assert search.search(make("/f"), search.Search(older_than=30)).count() == 1
+    assert search.search(make("/f"), search.Search(newer_than=30)).count() == 0

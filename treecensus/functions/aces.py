@@ -124,22 +124,23 @@ def clone(source: Column | str, target: Column | str, sync: bool = False) -> Edi
     """Copy the entries of one trustee to another, type by type.
 
     A type the target already has is left alone, or takes the source's rights
-    when syncing.
+    when syncing.  ``origin`` may name the list that copies are taken from.
     """
-    def edit(aces: Column) -> Column:
+    def edit(aces: Column, origin: Column | None = None) -> Column:
+        origin = aces if origin is None else origin
         giver, taker = (F.lit(t) if isinstance(t, str) else t for t in (source, target))
 
-        def of(who: Column, kind: Column) -> Column:
-            return F.filter(aces, lambda x: (x["trustee"] == who) & (x["type"] == kind))
+        def of(who: Column, kind: Column, inside: Column = aces) -> Column:
+            return F.filter(inside, lambda x: (x["trustee"] == who) & (x["type"] == kind))
 
-        given = F.filter(aces, lambda a: (a["trustee"] == giver)
+        given = F.filter(origin, lambda a: (a["trustee"] == giver)
                          & (F.size(of(taker, a["type"])) == 0))
         copies = F.transform(given, lambda a: a.withField("trustee", taker))
         kept = aces
         if sync:
             kept = F.transform(aces, lambda a: F.when(
-                (a["trustee"] == taker) & (F.size(of(giver, a["type"])) > 0),
-                a.withField("rights", F.try_element_at(of(giver, a["type"]), F.lit(1))["rights"]),
+                (a["trustee"] == taker) & (F.size(of(giver, a["type"], origin)) > 0),
+                a.withField("rights", F.try_element_at(of(giver, a["type"], origin), F.lit(1))["rights"]),
             ).otherwise(a))
         return F.when(taker.isNull() | (giver == taker), aces).otherwise(F.concat(kept, copies))
     return edit

@@ -65,10 +65,24 @@ def expand(ids: DataFrame, equivalents: DataFrame) -> DataFrame:
 
 
 def resolve_owners(ids: DataFrame, owners: Sequence[str], kind: str = "auto") -> DataFrame:
-    """Auth ids of owners typed by a user; an owner nobody has is left out."""
+    """Auth ids of owners typed by a user; an owner nobody has, or that can't be one, is left out.
+
+    Besides the kinds by name, ``auto`` knows numbers (uid), ``S-1-...`` (SID), ``DOMAIN\\user`` and
+    ``user@domain``; the last two are accounts of the directory, by the whole text or the bare name.
+    """
+    def number(column: str, typed: str) -> Column:
+        value = typed.removeprefix(f"{column}:")
+        return F.col(column) == int(value) if value.isdecimal() and len(value) < 19 else F.lit(False)
+
+    def directory(typed: str) -> Column:
+        bare = typed.rpartition("\\")[2] if "\\" in typed else typed.partition("@")[0]
+        return (F.col("name") == typed) | ((F.col("domain") == "ACTIVE_DIRECTORY") & (F.col("name") == bare))
+
     tests = {
-        "uid": lambda o: (F.col("uid") == o.removeprefix("uid:")),
-        "gid": lambda o: (F.col("gid") == o.removeprefix("gid:")),
+        "uid": lambda o: number("uid", o),
+        "gid": lambda o: number("gid", o),
+        "sid": lambda o: F.col("sid") == o.removeprefix("sid:") if "sid" in ids.columns else F.lit(False),
+        "domain": directory,
         "ad": lambda o: (F.col("domain") == "ACTIVE_DIRECTORY") & (F.col("name") == o),
         "local": lambda o: (F.col("domain") == "LOCAL") & (F.col("name") == o),
         "auth_id": lambda o: F.col("auth_id") == o.removeprefix("auth_id:"),
@@ -79,8 +93,9 @@ def resolve_owners(ids: DataFrame, owners: Sequence[str], kind: str = "auto") ->
         chosen = kind
         if kind == "auto":
             head = owner.partition(":")[0].lower()
-            chosen = head if head in ("uid", "gid", "ad", "local", "auth_id") else (
-                "uid" if owner.isdigit() else "name")
+            chosen = head if head in ("uid", "gid", "sid", "ad", "local", "auth_id") else (
+                "uid" if owner.isdecimal() else "sid" if owner.upper().startswith("S-1-")
+                else "domain" if "\\" in owner or "@" in owner else "name")
             if chosen in ("ad", "local"):
                 owner = owner.partition(":")[2]
         return tests[chosen](owner)

@@ -24,6 +24,12 @@ def match_totals(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count("*").alias("total_files"), _sum(capacity()).alias("total_capacity"))
 
 
+def owned_bytes(entries: DataFrame) -> Column:
+    """Allocated bytes of an object; zero where its block counts are unreadable."""
+    bad = F.coalesce(pick(entries, "bad_blocks").cast("boolean"), F.lit(False))
+    return F.when(bad, F.lit(0)).otherwise(sizes.owner_capacity(F.col("datablocks"), F.col("metablocks")))
+
+
 def owner_report(entries: DataFrame, ids: DataFrame | None = None, logical: bool = False) -> DataFrame:
     """Bytes, files and directories per owner and a total row (owner null).
 
@@ -33,8 +39,7 @@ def owner_report(entries: DataFrame, ids: DataFrame | None = None, logical: bool
     if logical:
         held = F.coalesce(F.col("size"), F.lit(0))
     else:
-        held = F.when(F.coalesce(pick(entries, "bad_blocks").cast("boolean"), F.lit(False)), F.lit(0)).otherwise(
-            sizes.owner_capacity(F.col("datablocks"), F.col("metablocks")))
+        held = owned_bytes(entries)
     per = (entries.select(owner_column(entries).alias("owner"), held.alias("_b"),
                           (F.col("type") == C.DIRECTORY).alias("_d"))
            .where("owner IS NOT NULL").groupBy("owner")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +21,7 @@ from treecensus.workspace import settle
 class Search:
     """All filters are ANDed; an absent or zero option filters nothing."""
 
+    #: The moment that ages count back from; the time of the search if empty.
     as_of: datetime | str = ""
     type: str | None = None
     file_only: bool = False
@@ -117,7 +118,8 @@ def omitted(opts: Search, path: Column, kind: Column) -> list[Column]:
 def predicate(entries: DataFrame, opts: Search) -> Column:
     """The search as one expression over an inventory table."""
     path, kind = F.col("path"), F.col("type")
-    as_of = times.utc(opts.as_of) if opts.as_of else None
+    # one moment for all ages of a search: now, if none is given
+    as_of = times.utc(opts.as_of or datetime.now(timezone.utc))
     tests: list[Column] = []
     root = paths.root_text(opts.root)
     if root != "/":

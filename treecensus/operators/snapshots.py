@@ -84,16 +84,27 @@ def _change(older_hit: Column, newer_hit: Column, changed: Column) -> Column:
     return (F.when(~older_hit, "CREATE").when(~newer_hit, "DELETE").when(changed, "MODIFY"))
 
 
-def tree_diff(older: DataFrame, newer: DataFrame, token: Sequence[str] = ("size",),
+def change_token(older: DataFrame, newer: DataFrame) -> list[str]:
+    """What tells versions of a file apart: its data revision, else its size and times, as far as both tables have them."""
+    both = set(older.columns) & set(newer.columns)
+    if "data_revision" in both:
+        return ["data_revision"]
+    return [c for c in ("size", "modification_time", "change_time") if c in both]
+
+
+def tree_diff(older: DataFrame, newer: DataFrame, token: Sequence[str] | None = None,
               collapse: bool = True) -> DataFrame:
     """(op, path) between two trees, as a net comparison of the end points.
 
+    A file is modified if its ``token`` columns differ (``change_token`` if none
+    are given), so an edit that keeps the size is seen.
+
     A directory's path ends in ``/``.  When collapsing, a created or deleted
     directory stands for its descendants.  In a tree every descendant of a new
     directory is new as well, so testing the immediate parent is enough.  A
     path that changes its type is deleted and created.
     """
-    columns = [F.col("path"), F.col("type"), F.struct(*token).alias("token")]
+    columns = [F.col("path"), F.col("type"), F.struct(*(token or change_token(older, newer))).alias("token")]
     old = older.select(*columns).withColumn("o", F.lit(True))
     new = newer.select(*columns).withColumn("n", F.lit(True))
     both = old.alias("a").join(new.alias("b"), "path", "full")

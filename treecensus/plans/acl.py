@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from treecensus import constants as C
 from treecensus.functions import aces as A, paths
-from treecensus.operators.joins import lookup_join, spread_join
+from treecensus.operators.joins import lookup_join
 from treecensus.operators.search import owner_column
+from treecensus.workspace import settle
 
 
 def _scope(objects: DataFrame, root: str, propagate: bool) -> DataFrame:
@@ -78,11 +79,13 @@ def copy_acl(objects: DataFrame, source: str, target: str, propagate: bool = Tru
              copy_owner: bool = False, copy_group: bool = False, only_ownership: bool = False) -> DataFrame:
     """Give a target (and its subtree) the list of one source object.
 
-    Objects below the target get every entry marked as inherited.
+    Objects below the target get every entry marked as inherited.  A source
+    that does not exist is an error: it has no list to give.
     """
     template = objects.where(F.col("path") == paths.root_text(source)).select(
         F.struct("acl", "owner", "group")).scalar()
-    rows = _scope(objects, target, propagate).withColumn("_tpl", template)
+    missing = F.raise_error(F.lit(f"no object to copy a list from: {source}"))
+    rows = _scope(objects, target, propagate).withColumn("_tpl", F.when(template.isNull(), missing).otherwise(template))
     given = F.col("_tpl.acl")
     own = F.col("path") == paths.root_text(target)
     marked = given.withField("aces", A.mark_inherited(given["aces"]))
@@ -97,33 +100,24 @@ def copy_acl(objects: DataFrame, source: str, target: str, propagate: bool = Tru
                        F.col("acl").alias("before"), "after", "new_owner", "new_group")
 
 
-MAP_ROWS = 256
-
-
-def _mapping(table: DataFrame) -> Column | None:
-    """A short mapping as one map value (its lookup is a linear scan); null for a longer one."""
-    if table.limit(MAP_ROWS + 1).count() > MAP_ROWS:
-        return None
-    pairs = F.map_from_entries(F.collect_list(F.struct("source", "target")))
-    return table.select("source", "target").agg(pairs).scalar()
+def _mapping(table: DataFrame) -> DataFrame:
+    """The rows of a mapping that map something, one a source; a source with two targets is an error."""
+    found = table.where("source IS NOT NULL AND target IS NOT NULL").groupBy("source").agg(
+        F.min("target").alias("target"), F.max("target").alias("_other"))
+    twice = F.raise_error(F.concat(F.lit("a source is mapped to two targets: "), "source"))
+    return found.select("source", F.when(F.col("target") == F.col("_other"), F.col("target")).otherwise(twice).alias("target"))
 
 
 def migrate_trustees(objects: DataFrame, mapping: DataFrame) -> DataFrame:
     """Replace trustees in place; type, flags, rights and order of entries stay.
 
-    A short mapping is looked up inside the row.  A larger one is joined per
-    entry and the entries are put back in their order; a list is bounded, so the
-    regrouping is as well.
+    A mapping of any size is joined per entry, and the entries are put back in
+    their order; a list is bounded, so the regrouping is as well.  Mapping rows
+    without a source or a target map nothing.
     """
-    lookup = _mapping(mapping)
     acl = F.col("acl")
-    if lookup is not None:
-        rows = objects.withColumn("_map", lookup)
-        moved = F.transform(acl["aces"], lambda a: a.withField(
-            "trustee", F.coalesce(F.try_element_at(F.col("_map"), a["trustee"]), a["trustee"])))
-        return _plan(rows, acl.withField("aces", moved))
     entries = objects.select("path", F.posexplode("acl.aces").alias("pos", "ace"))
-    renamed = spread_join(entries, mapping.select("source", "target"), F.col("ace.trustee"), "source")
+    renamed = lookup_join(entries, settle(_mapping(mapping), "mapping"), F.col("ace.trustee"), "source")
     aces = (renamed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(
         "pos", F.col("ace").withField("trustee", F.coalesce("target", F.col("ace.trustee"))).alias("ace"))))
         .alias("_all")).select("path", F.transform("_all", lambda x: x["ace"]).alias("_aces")))
@@ -135,7 +129,8 @@ def clone_from_map(objects: DataFrame, mapping: DataFrame, sync: bool = False) -
     """Bulk form of cloning: every (source, target) row whose source has an entry.
 
     The rows that matter for an object are found by joining its entries with the
-    mapping; a list is bounded, so they are too, and they are applied in order.
+    mapping.  Copies are taken from the list as it was, so mappings are never
+    chained; a type that a target has by then is left alone.
     """
     entries = objects.select("path", F.explode(F.array_distinct(
         F.transform("acl.aces", lambda a: a["trustee"]))).alias("trustee"))
@@ -147,7 +142,7 @@ def clone_from_map(objects: DataFrame, mapping: DataFrame, sync: bool = False) -
     aces = F.aggregate(
         F.coalesce("_pairs", F.array().cast("array<struct<source:string,target:string>>")),
         F.col("acl.aces"),
-        lambda done, pair: A.clone(pair["source"], pair["target"], sync)(done))
+        lambda done, pair: A.clone(pair["source"], pair["target"], sync)(done, F.col("acl.aces")))
     after = F.when(F.col("_pairs").isNull(), F.col("acl")).otherwise(
         F.col("acl").withField("aces", A.canonical(aces)))
     return _plan(rows, after)
@@ -161,9 +156,17 @@ def backup(plan: DataFrame, objects: DataFrame, stamp: str) -> DataFrame:
 
 
 def restore(saved: DataFrame, objects: DataFrame, force: bool = False, target: str | None = None) -> DataFrame:
-    """Put saved lists back where the file id still is the same, or anywhere when forced."""
+    """Put saved lists back where the file id still is the same, or anywhere when forced.
+
+    With a ``target`` the saved tree is put there: its root (the first path of
+    the backup) goes to the target, and what lies below it goes below the target.
+    """
     if target is not None:
-        saved = saved.withColumn("path", F.lit(paths.root_text(target)))
+        root, to = saved.agg(F.min("path")).scalar(), paths.root_text(target).rstrip("/")
+        below = F.col("path").startswith(F.concat(F.col("_root"), F.lit("/"))) | (F.col("_root") == "/")
+        rest = F.expr("substr(path, length(rtrim('/', _root)) + 1)")
+        moved = F.when(F.col("path") == F.col("_root"), F.lit(to or "/")).when(below, F.concat(F.lit(to), rest))
+        saved = saved.withColumn("_root", root).withColumn("path", moved).drop("_root")
     live = objects.select("path", F.col("id").alias("live_id"), F.col("acl").alias("before"))
     rows = saved.select("path", "file_id", F.col("acl").alias("after")).join(live, "path", "left")
     same = F.col("live_id") == F.col("file_id")

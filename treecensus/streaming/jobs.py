@@ -15,6 +15,7 @@ from treecensus import constants as C
 from treecensus.functions import paths
 from treecensus.operators.hierarchy import capacity
 from treecensus.operators.joins import above
+from treecensus.operators.reports import owned_bytes
 from treecensus.operators.search import Search, owner_column, predicate
 from treecensus.workspace import folder
 
@@ -63,7 +64,7 @@ def totals(stream: DataFrame) -> DataFrame:
 
 
 def owner_totals(stream: DataFrame) -> DataFrame:
-    held = (F.coalesce("datablocks", F.lit(0)) + F.coalesce("metablocks", F.lit(0))) * C.BLOCK
+    held = owned_bytes(stream)
     folder_row = F.col("type") == C.DIRECTORY
     return (stream.withColumn("_owner", owner_column(stream)).where("_owner IS NOT NULL")
             .groupBy(F.col("_owner").alias("owner"))
