@@ -24,7 +24,7 @@ _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 #: The two pre-tokenizer patterns over plain characters: words alone, and words with the space before them.
 WORDS = re.compile(rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^\s{_L}{_N}]+")
 SPACED = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-MOST_KEPT = 700_000
+MOST_KEPT = 1_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,9 +57,7 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self._letters = byte_letters()
-        self.kept = _Kept(lambda word: np.asarray(self.ids_of(word), "<u4").tobytes())
-        # a pattern that leaves out white space never crosses it, so whole runs between spaces can be kept as well
-        self.runs = _Kept(lambda run: b"".join(map(self.kept.__getitem__, self.pattern.findall(run.lower()))))
+        self.kept = _Kept(self)
 
     def ids_of(self, word: str) -> list[int]:
         mapped = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self._letters)
@@ -85,26 +83,25 @@ class Encoder:
             if i % 2:
                 out.append(np.uint32(self.special[part]).tobytes())
             elif PLAIN.fullmatch(part):
-                out.extend(map(self.runs.__getitem__, part.split()) if self.lower
-                           else map(self.kept.__getitem__, self.pattern.findall(part)))
+                out.extend(map(self.kept.__getitem__, self.pattern.findall(part.lower() if self.lower else part)))
             else:
                 out.append(np.asarray(self.library.encode(part, add_special_tokens=False).ids, "<u4").tobytes())
         return b"".join(out)
 
 
 class _Kept(dict):
-    """Ids of pieces of text met by this worker; emptied when it holds ``MOST_KEPT``."""
+    """Ids of pre-tokens met by this worker; emptied when it holds ``MOST_KEPT``."""
 
-    def __init__(self, make):
+    def __init__(self, encoder: Encoder):
         super().__init__()
-        self.make = make
+        self.encoder = encoder
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
-        if len(piece) <= 64:
+    def __missing__(self, word: str) -> bytes:
+        ids = np.asarray(self.encoder.ids_of(word), "<u4").tobytes()
+        if len(word) <= 64:
             if len(self) >= MOST_KEPT:
                 self.clear()
-            self[piece] = ids
+            self[word] = ids
         return ids
 
 
