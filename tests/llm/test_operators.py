@@ -113,6 +113,11 @@ def test_codes_round_trip():
     control, data = zip(*map(token_files.compress, lists))
     got = token_files.expand(b"".join(control), b"".join(data), np.array([len(x) for x in lists]))
     assert np.array_equal(got, np.concatenate(lists))
+    counts = np.array([len(x) for x in lists])
+    whole, control_ends, bytes_, data_ends = token_files.compress_all(np.concatenate(lists), counts)
+    assert whole.tobytes() == b"".join(control) and bytes_.tobytes() == b"".join(data)
+    assert control_ends.tolist() == np.cumsum([len(x) for x in control]).tolist()
+    assert data_ends.tolist() == np.cumsum([len(x) for x in data]).tolist()
 
 
 @pytest.mark.parametrize("shard", [1 << 23, 2000])

@@ -28,37 +28,61 @@ from treecensus.llm.tokens import encoder
 SHARD_IDS = 1 << 23
 BLOCK_IDS = 1 << 16
 #: Lengths in bytes of the four codes of each control byte.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 BLOCKS = ("shard int, block int, first bigint, doc_ids array<{kind}>, counts array<bigint>, "
           "control binary, data binary")
 
 
-def compress(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of ranks."""
+def padding(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents of so many ids: the ends of their slots (four to a control byte), and which slots are used."""
+    slots = -(-counts // 4) * 4
+    ends, used = np.cumsum(slots), np.ones(int(slots.sum()), bool)
+    for k in (1, 2, 3):
+        used[ends[slots - counts >= k] - k] = False
+    return ends, used
+
+
+def compress_all(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of documents after each other, each with the places where documents end."""
     sizes = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[:len(ranks)] = sizes - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = np.ascontiguousarray(ranks, "<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), data[np.arange(4) < sizes[:, None]].tobytes()
+    ends, used = padding(counts)
+    codes = np.zeros(len(used), np.uint8)
+    codes[used] = sizes - 1
+    codes = codes.reshape(-1, 4)
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    data = np.empty(at[-1], np.uint8)
+    data[at[:-1]] = ranks.astype(np.uint8)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(sizes > k)
+        data[at[more] + k] = (ranks[more] >> np.uint32(8 * k)).astype(np.uint8)
+    return control, ends // 4, data, at[np.cumsum(counts)]
+
+
+def compress(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """Control bytes and data bytes of one document."""
+    control, _, data, _ = compress_all(ranks, np.array([len(ranks)]))
+    return control.tobytes(), data.tobytes()
 
 
 def expand(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     """The ranks of a block, all documents after each other."""
-    sizes = LENGTHS[np.frombuffer(control, np.uint8)].ravel()
-    slots = -(-counts // 4) * 4
-    within = np.arange(len(sizes)) - np.repeat(np.cumsum(slots) - slots, slots)
-    sizes = sizes[within < np.repeat(counts, slots)]
-    ends = np.cumsum(sizes)
-    at = ends - sizes
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)])
+    sizes = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[padding(counts)[1]]
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
+    raw = np.frombuffer(data, np.uint8)
     ranks = raw[at].astype(np.uint32)
     for k in (1, 2, 3):
-        if (more := sizes > k).any():
-            ranks[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        more = np.flatnonzero(sizes > k)
+        ranks[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
 
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that follow each other in ``data`` and end at ``ends``."""
+    places = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(data)])
+
+
 def token_ids(documents: DataFrame, tokenizer: str, end_id: int, wide: str) -> DataFrame:
     """(doc_id, ids) of whole texts with their end id, as bytes of numpy type ``wide``."""
 
@@ -112,16 +136,17 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, shar
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
-            found = []
-            for text in batch.column("ids"):
-                own = np.frombuffer(text.as_py(), wide).astype("<u4")
-                found.append((zlib.crc32(own.tobytes()), len(own), *compress(ranks.value[own])))
+            texts = batch.column("ids").to_pylist()
+            plain = np.frombuffer(b"".join(texts), wide).astype("<u4")
+            counts = np.array([len(text) // np.dtype(wide).itemsize for text in texts], np.int64)
+            ends = np.cumsum(counts)
+            tie = [zlib.crc32(plain[e - n:e]) for e, n in zip(ends.tolist(), counts.tolist())]
+            control, control_ends, data, data_ends = compress_all(ranks.value[plain], counts)
             own = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(float)
             shard = np.searchsorted(edges, np.nan_to_num(own, nan=-np.inf), side="left").astype(np.int32)
-            tie, n, control, data = zip(*found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), batch.column("doc_id"), pa.array(tie, pa.int64()), pa.array(n, pa.int64()),
-                 pa.array(control, pa.binary()), pa.array(data, pa.binary())],
+                [pa.array(shard), batch.column("doc_id"), pa.array(tie, pa.int64()), pa.array(counts),
+                 binaries(control, control_ends), binaries(data, data_ends)],
                 ["shard", "doc_id", "tie", "n", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -97,7 +98,8 @@ class _Kept(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.encoder.ids_of(word), "<u4").tobytes()
+        ids = self.encoder.ids_of(word)
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self) >= MOST_KEPT:
                 self.clear()
