@@ -75,18 +75,21 @@ class Linear:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 1.0, decay: float = 1e-3, even: bool = True) -> Linear:
-    """Logistic regression by accelerated gradients; both classes weigh the same if ``even``."""
-    w, b = np.zeros(x.shape[1]), 0.0
+    """Logistic regression by accelerated gradients; both classes weigh the same if ``even``.
+
+    All in single precision: a product with a double vector would copy the whole matrix in every step.
+    """
+    x, w, b = np.ascontiguousarray(x, np.float32), np.zeros(x.shape[1], np.float32), 0.0
     weigh = np.where(y, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) if even else np.ones(len(y))
     step = rate / max(0.25 * float((x * x).sum(axis=1).mean() + 1), 1e-6)
     speed_w, speed_b = np.zeros_like(w), 0.0
     for _ in range(steps):
-        ahead_w, ahead_b = w + 0.9 * speed_w, b + 0.9 * speed_b
-        error = weigh * (1 / (1 + np.exp(-np.clip(x @ ahead_w + ahead_b, -30, 30))) - y) / len(y)
-        speed_w = 0.9 * speed_w - step * (x.T @ error + decay * ahead_w)
-        speed_b = 0.9 * speed_b - step * error.sum()
+        ahead_w, ahead_b = w + np.float32(0.9) * speed_w, b + 0.9 * speed_b
+        error = (weigh * (1 / (1 + np.exp(-np.clip(x @ ahead_w + ahead_b, -30, 30))) - y) / len(y)).astype(np.float32)
+        speed_w = np.float32(0.9) * speed_w - np.float32(step) * (error @ x + np.float32(decay) * ahead_w)
+        speed_b = 0.9 * speed_b - step * float(error.sum())
         w, b = w + speed_w, b + speed_b
-    return Linear(w.astype(np.float32), float(b))
+    return Linear(w, float(b))
 
 
 @dataclass
