@@ -68,6 +68,27 @@ def test_a_stopped_run_goes_on_where_it_ended(spark, make, tmp_path):
     assert column(spark.read.parquet(out)) == ["/a", "/b"]
 
 
+def test_aggregates_and_limits_go_on_where_they_ended(spark, make, tmp_path):
+    where, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    make().write.parquet(where)
+
+    def totals():
+        stream = spark.readStream.schema(ENTRY).parquet(where)
+        return jobs.latest_state(spark, jobs.owner_totals(stream), ["owner"], "t", out, mark)
+
+    def some():
+        stream = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).parquet(where).select("path")
+        return jobs.limited(spark, stream, 5, "path", out + "-limit", mark + "-limit")
+
+    assert totals().count() == 0 and some().count() == 0
+    for files, seen in (("abc", 3), ("", 3), ("defg", 7), ("h", 8)):
+        if files:
+            make(*[f"/{f}" for f in files]).write.mode("append").parquet(where)
+        assert pairs(totals(), "owner", "files") == {("o", seen)}
+        assert some().count() == min(seen, 5)
+    assert set("/" + c for c in "abc") <= set(column(some()))
+
+
 def test_the_shared_folder_is_the_sessions(spark):
     base = workspace.base(spark)
     assert workspace.folder(spark, "x").startswith(base + "/treecensus/x-") and base == workspace.base(spark)

@@ -157,9 +157,7 @@ SELECT e.path, e.size FROM fx_entries e WHERE NOT EXISTS (
   SELECT 1 FROM fx_entry_up u WHERE u.entry = e.path AND u.path IN ({_BIG_SQL}) AND len(string_split(u.path, '/')) > 3)""")
 def skip_big_dirs(d: Data) -> DataFrame:
     # the root and the two levels below it are entered, whatever their size
-    big = directory_aggregates(d.entries).where(
-        (F.col("total_files") + F.col("total_directories") > 130) & (paths.depth(F.col("path")) > 2))
-    return _found(S.joins.beneath(d.entries, big, how="anti"))
+    return _found(S.skip_big_directories(d.entries, 130, least_depth=3))
 
 
 @query("skip_summary", f"""

@@ -6,10 +6,11 @@ hold a third of all objects.
 * ``lookup_join`` is for dimensions (identities, mappings).  It broadcasts the
   dimension only after measuring it, and falls back to ``spread_join``.
 * ``spread_join`` is for lookups derived from the data.  The most frequent keys
-  (``HOT_KEYS`` at most) are salted in proportion to their frequency, so that a
-  slice of a hot key is about one partition; all other keys are shuffled as
-  usual.  The lookup rows repeated for the salts number at most the shuffle
-  partitions plus ``HOT_KEYS``.
+  are salted in proportion to their frequency, so that a slice of a hot key is
+  about one partition; all other keys are shuffled as usual.  At least as many
+  keys as there are shuffle partitions are looked at, so a key that is left out
+  has no more rows than a partition holds on average.  The lookup rows repeated
+  for the salts number at most the partitions plus those keys.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def spread_join(rows: DataFrame, lookup: DataFrame, on: Column, key: str, how: s
     share = F.col("n") / F.sum("n").over(Window.partitionBy())
     # a plain test of the key would be pushed below the count, and evaluate a costly key twice
     hot = (counts.toDF("_k", "n").where("IF(_k IS NULL, 0, n) > 1")
-           .orderBy(F.desc("n"), "_k").limit(HOT_KEYS)
+           .orderBy(F.desc("n"), "_k").limit(max(HOT_KEYS, slices))
            .select("_k", F.ceil(share * slices).alias("_w")))
     dealt = F.xxhash64(spread)
     salt = (F.when(F.col("_on").isNull(), F.pmod(dealt, F.lit(slices)))

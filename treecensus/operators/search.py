@@ -178,23 +178,28 @@ def omit_anti_join(entries: DataFrame, directories: DataFrame) -> DataFrame:
 
 
 def big_directories(entries: DataFrame, limit: int, root: str = "/",
-                    root_exempt: bool = False) -> DataFrame:
-    """Topmost directories with more than ``limit`` objects at any depth below."""
+                    root_exempt: bool = False, least_depth: int = 0) -> DataFrame:
+    """Topmost directories with more than ``limit`` objects at any depth below.
+
+    Directories less deep than ``least_depth`` (a path of one name has depth 1) are always entered.
+    """
     root = paths.root_text(root)
     totals = directory_aggregates(entries, root)
     big = totals.where(F.col("total_files") + F.col("total_directories") > limit)
     if root_exempt:
         big = big.where(F.col("path") != root)
+    if least_depth:
+        big = big.where(paths.depth(F.col("path")) >= least_depth)
     big = settle(big, "big")
     return joins.beneath(big, big.select(F.col("path").alias("_b")), key="_b", how="anti")
 
 
 def skip_big_directories(entries: DataFrame, limit: int, root: str = "/",
-                         root_exempt: bool = False) -> DataFrame:
+                         root_exempt: bool = False, least_depth: int = 0) -> DataFrame:
     """Rows that a walk reaches when it does not enter directories over the limit."""
     root = paths.root_text(root)
     inside = entries.where(paths.below(F.col("path"), root))
-    return joins.beneath(inside, big_directories(inside, limit, root, root_exempt), how="anti")
+    return joins.beneath(inside, big_directories(inside, limit, root, root_exempt, least_depth), how="anti")
 
 
 def skip_summary(skipped: DataFrame) -> DataFrame:

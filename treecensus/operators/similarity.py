@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treecensus import constants as C
-from treecensus.operators.joins import spread_join
+from treecensus.operators.joins import fits_broadcast, spread_join
 from treecensus.workspace import folder, settle
 
 
@@ -70,10 +70,15 @@ def fingerprint(content: Column, size: Column, sample: int = C.SAMPLE_BYTES,
 def sampled(files: DataFrame, sample: int = C.SAMPLE_BYTES, points: int | None = None) -> DataFrame:
     """Files with equal size and equal samples. Advisory: samples are not whole contents.
 
-    Contents are hashed where they are read and never shuffled; the hashes are
+    Only files that share their size are hashed, if the list of such sizes measures small; beyond that the sizes
+    are left to the grouping, as contents are hashed where they are read and never shuffled.  The hashes are
     written once, so that counting and joining them does not read contents again.
     """
-    printed = candidates(files).withColumn("fingerprint", fingerprint(F.col("content"), F.col("size"), sample, points))
+    files = candidates(files)
+    shared = settle(files.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size"), "sizes")
+    if fits_broadcast(shared):
+        files = files.join(F.broadcast(shared), "size", "left_semi")
+    printed = files.withColumn("fingerprint", fingerprint(F.col("content"), F.col("size"), sample, points))
     hashes = printed.drop("content").withColumn("group_id", _key("size", "fingerprint"))
     return members(settle(hashes, "fingerprints"))
 

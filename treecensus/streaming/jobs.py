@@ -2,14 +2,16 @@
 
 Stateless filters append; aggregates keep Spark's own aggregation state.  Runs
 end when the available input is read, so a scheduled run picks up where the
-last one stopped.  Checkpoints and tables go to the shared folder.
+last one stopped if it is given the same target and checkpoint.  Without them
+both are new folders below the shared one.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from treecensus import constants as C
 from treecensus.functions import paths
@@ -36,23 +38,45 @@ def run_batches(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, i
     query.awaitTermination()
 
 
-def latest_state(spark: SparkSession, stream: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Run an update-mode aggregate and return its final rows.
+def _stored(spark: SparkSession, schema: T.StructType, where: str) -> DataFrame:
+    """Rows written as ``batch=n`` folders, with their batch; an empty folder -1 keeps the table readable before the first."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{where}/batch=-1")
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(where)
 
-    Each batch is written under its number, so a repeated batch replaces itself;
-    the last batch that mentions a key holds its result.
+
+def latest_state(spark: SparkSession, stream: DataFrame, keys: list[str], label: str,
+                 target: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run an update-mode aggregate until the available input is read, and return its rows.
+
+    With the same ``target`` and ``checkpoint`` a later run goes on where this
+    one ended; without them the run is on its own.  Each batch is written under
+    its number, so a repeated batch replaces itself; the last batch that
+    mentions a key holds its result.  A run ends by folding the state into one
+    table, noted as good once it is written, so the next run reads that and the
+    batches after it.  Without any input the result is empty.
     """
-    where = folder(spark, label)
+    where = target or folder(spark, label)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{where}/batches/batch={number}")
 
-    run_batches(stream, folder(spark, label + "-state"), write)
+    run_batches(stream, checkpoint or folder(spark, label + "-state"), write)
     values = [c for c in stream.columns if c not in keys]
-    rows = spark.read.parquet(where)
-    last = F.max_by(F.struct(*values), "batch").alias("_v")
-    found = rows.groupBy(*keys).agg(last) if keys else rows.agg(last)
-    return found.select(*keys, "_v.*")
+    notes = _stored(spark, T.StructType().add("folded", "string"), f"{where}/notes")
+    note = notes.orderBy(F.desc("batch")).first()  # the newest of a few rows
+    rows = _stored(spark, stream.schema, f"{where}/batches")
+    if note is not None:
+        whole = spark.read.schema(stream.schema).parquet(note.folded).withColumn("batch", F.lit(note.batch))
+        rows = rows.where(F.col("batch") > note.batch).unionByName(whole)
+    newest = rows.agg(F.max("batch")).first()[0]
+    if newest is not None and (note is None or newest > note.batch):
+        last = F.max_by(F.struct(*values), "batch").alias("_v")
+        found = (rows.groupBy(*keys).agg(last) if keys else rows.agg(last)).select(*keys, "_v.*")
+        folded = folder(spark, label + "-folded")
+        found.write.parquet(folded)
+        spark.createDataFrame([(folded,)], "folded string").write.mode("overwrite").parquet(f"{where}/notes/batch={newest}")
+        return spark.read.schema(stream.schema).parquet(folded)
+    return rows.drop("batch")
 
 
 def filtered(stream: DataFrame, opts: Search) -> DataFrame:
@@ -98,20 +122,38 @@ def without_deleted(state: DataFrame) -> DataFrame:
     return alive.where("_last IS NULL OR seq > _last").drop("_last")
 
 
-def limited(spark: SparkSession, stream: DataFrame, n: int, order: str = "path") -> DataFrame:
-    """Stop writing after n rows over all batches."""
-    where = folder(spark, "limit")
+def limited(spark: SparkSession, stream: DataFrame, n: int, order: str = "path",
+            target: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """The first n rows over all batches; the stream is stopped once they are written.
 
-    def write(batch: DataFrame, number: int) -> None:
-        target = f"{where}/batch={number}"
-        done = 0
-        if number:
-            earlier = spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(where)
-            done = earlier.where(~F.col("_metadata.file_path").contains(f"/batch={number}/")).count()
-        batch.orderBy(order).limit(max(n - done, 0)).write.mode("overwrite").parquet(target)
+    With the same ``target`` and ``checkpoint`` a later run goes on where this
+    one ended, and reads nothing if the rows are all there.  Rows of earlier
+    runs are counted once, then each batch is counted as it is written.
+    """
+    where = target or folder(spark, "limit")
+    done: dict[int, int] = {}
+    full = threading.Event()
 
-    run_batches(stream, folder(spark, "limit-state"), write, mode="append")
-    return spark.read.schema(stream.schema).parquet(f"{where}/*")
+    def write(batch: DataFrame, number: int) -> None:
+        if full.is_set():
+            return
+        if not done:
+            done[-1] = _stored(spark, stream.schema, where).where(F.col("batch") < number).count()
+        here = f"{where}/batch={number}"
+        left = n - sum(done[k] for k in done if k < number)
+        batch.orderBy(order).limit(max(left, 0)).write.mode("overwrite").parquet(here)
+        done[number] = spark.read.schema(stream.schema).parquet(here).count()
+        if sum(done.values()) >= n:
+            full.set()
+
+    if _stored(spark, stream.schema, where).count() < n:
+        query = (stream.writeStream.foreachBatch(write).outputMode("append")
+                 .option("checkpointLocation", checkpoint or folder(spark, "limit-state"))
+                 .trigger(availableNow=True).start())
+        while not query.awaitTermination(1):
+            if full.is_set():
+                query.stop()
+    return _stored(spark, stream.schema, where).drop("batch")
 
 
 def growth(stream: DataFrame, days: int = 30, late: str = "30 days", time: str = "creation_time") -> DataFrame:
@@ -119,7 +161,3 @@ def growth(stream: DataFrame, days: int = 30, late: str = "30 days", time: str =
     return (stream.withWatermark(time, late).groupBy(F.window(time, f"{days} days").alias("_w"))
             .agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
             .select(F.unix_seconds("_w.start").alias("window_start"), "files", "bytes"))
-
-
-def custom(stream: DataFrame, test: Column | str) -> DataFrame:
-    return stream.where(F.expr(test) if isinstance(test, str) else test)
