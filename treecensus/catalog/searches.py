@@ -8,7 +8,6 @@ from treecensus.catalog.data import AS_OF, Data
 from treecensus.catalog.registry import query
 from treecensus.functions import aces, paths
 from treecensus.operators import identity, presets, reports, search as S
-from treecensus.operators.hierarchy import directory_aggregates
 from treecensus.operators.search import Search
 
 
