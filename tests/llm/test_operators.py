@@ -263,6 +263,17 @@ def test_pii(spark, documents, none):
     assert pii.find(none).count() == 0 and pii.find(documents).count() == len(TEXTS)
 
 
+def test_a_secret_is_found_whole_however_long(spark):
+    values = ["".join(random.Random(n).choices("abcXYZ019+/=._-", k=n)) for n in (7, 8, 200, 201, 330, 5000, 20000)]
+    texts = [f"before token={v} after" for v in values] + ["password: '" + "p" * 4000 + "', next", "token=" * 20000]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    got = {r.doc_id: r for r in pii.redact(rows.withColumn("found", F.transform("spans", lambda s: s["value"]))).collect()}
+    assert got[0].found == [] and got[0].text == texts[0]
+    for i, v in list(enumerate(values))[1:]:
+        assert got[i].found == [f"token={v}"] and got[i].text == "before <secret> after"
+    assert got[len(values)].text == "<secret>', next" and got[len(values) + 1].text == "<secret>"
+
+
 def test_decontamination(spark, documents, none):
     draw = random.Random(8)
     vocabulary = [f"W{i}" for i in range(30)] + ["the", "Ünï", "of"]

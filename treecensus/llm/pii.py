@@ -87,7 +87,7 @@ KINDS = (
          "[A-Z]{2}[0-9]{2}", mod97, 0.8, "iban|account|bank"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]",
          lambda v: ~v.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, "ssn|social|security"),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?[^\s\"',;]{8,200})",
+    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?[^\s\"',;]{8,}+)",
          "AKIA|(?i)(?:pass|secret|token|key)[a-z]{0,4} ?[=:]", lambda v: F.lit(True), 0.6, "key|login|user"),
 )
 
