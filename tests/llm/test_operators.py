@@ -348,6 +348,25 @@ def test_quality(spark, documents, none):
     assert quality.fit(none, marks) is None and quality.score(none, None).count() == 0
 
 
+def test_quality_sees_every_character_of_a_text_without_spaces():
+    draw = random.Random(12)
+    for letters in ("日本語文字列試験東京都市", "abcXYZ019+/="):
+        text = "".join(draw.choices(letters, k=400))
+        whole = quality.text_view(text)
+        assert all(quality.text_view(text[:i] + "ß" + text[i + 1:]) != whole for i in range(400))
+        seen = quality.counted(text)
+        assert seen.total() == 398 and all(g in text for g in seen)
+    assert quality.counted("so it is, it is") == {"so": 1, "it": 2, "is,": 1, "is": 1}
+
+    start, rows = "始" * 40, []
+    for i in range(80):
+        letters = "良文章読書明快" if i % 2 else "買安賣錢速得今"
+        rows.append((start + "".join(draw.choices(letters, k=300)) + "終終終終", i % 2 == 1))
+    x, y = quality.dense([quality.text_view(t) for t, _ in rows], quality.TEXT), np.array([g for _, g in rows])
+    model = quality.logistic(x[:40], y[:40])
+    assert ((model.odds(x[40:]) > 0) == y[40:]).all()
+
+
 @pytest.mark.parametrize("size,spread", [(4, 0.05), (16, 1.0)])
 def test_top_k(spark, size, spread):
     draw = np.random.default_rng(3)

@@ -26,6 +26,7 @@ from treecensus.llm.common import pieces_of
 
 LABELLED, POOL = 4000, 4000
 TEXT, META = 2048, 512
+LONG, GRAM = 32, 3
 ROUNDS, SHARE = 4, 0.05
 SHAPE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "0" * 10)
 
@@ -34,18 +35,31 @@ def place(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
+def counted(text: str) -> Counter[str]:
+    """The words of a text with their counts; of a run over ``LONG`` characters all its overlapping ``GRAM``-grams.
+
+    Scripts without spaces, minified code and encoded lines are such runs, and every character of them counts.
+    """
+    seen = Counter(text.split())
+    for run in [w for w in seen if len(w) > LONG]:
+        n = seen.pop(run)
+        for gram, m in Counter(map("".join, zip(*(run[k:] for k in range(GRAM))))).items():
+            seen[gram] += n * m
+    return seen
+
+
 def text_view(text: str | None) -> dict[int, float]:
     """Hashed counts of words and of word shapes, as square roots of their shares; repetition in tenths."""
-    words = (text or "").split()
-    if not words:
+    seen, found = counted(text or ""), Counter()
+    if not seen:
         return {place("empty", TEXT): 1.0}
-    seen, found = Counter(words), Counter()
+    total = seen.total()
     for word, n in seen.items():
-        found[place(word[:32].lower(), TEXT)] += n
+        found[place(word.lower(), TEXT)] += n
         shape = word[-4:].translate(SHAPE)
         found[place("shape " + shape, TEXT)] += n
-    view = {k: (n / len(words)) ** 0.5 for k, n in found.items()}
-    for name in (f"distinct {int(10 * len(seen) / len(words))}", f"most {int(10 * max(seen.values()) / len(words))}"):
+    view = {k: (n / total) ** 0.5 for k, n in found.items()}
+    for name in (f"distinct {int(10 * len(seen) / total)}", f"most {int(10 * max(seen.values()) / total)}"):
         view[place(name, TEXT)] = view.get(place(name, TEXT), 0.0) + 1.0
     return view
 
