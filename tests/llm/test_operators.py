@@ -348,6 +348,20 @@ def test_quality(spark, documents, none):
     assert quality.fit(none, marks) is None and quality.score(none, None).count() == 0
 
 
+def test_quality_learns_from_ids_and_not_from_their_copies(spark, monkeypatch):
+    importable(spark)
+    rows = [(i, f"text {i}", "en", "s", 6) for i in range(40)] + [(0, f"copy {i % 3}", "en", "s", 6) for i in range(500)]
+    rows += [(None, "no id", "en", "s", 5)] * 30
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    marks = spark.createDataFrame([(i, int(i % 4 > 1)) for i in range(20)], "doc_id bigint, quality int")
+    taken = []
+    monkeypatch.setattr(quality, "co_train", lambda *parts: taken.append(parts))
+    for labelled, pool in ((20, 20), (16, 7), (16, 7)):
+        quality.fit(table, marks, labelled, pool)
+        assert (len(taken[-1][0]), len(taken[-1][3])) == (labelled, pool)
+    assert all(np.array_equal(a, b) for a, b in zip(*taken[-2:]))
+
+
 def test_quality_sees_every_character_of_a_text_without_spaces():
     draw = random.Random(12)
     for letters in ("日本語文字列試験東京都市", "abcXYZ019+/="):

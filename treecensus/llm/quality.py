@@ -7,7 +7,8 @@ of, and those pseudo-labels go to the other view.  Then both are calibrated on l
 neither has learnt from (a logistic scale for each), and their log-odds are combined by a logistic
 regression on the same rows.
 
-Fitting uses a bounded sample, taken by hash: ``labelled`` labelled and ``pool`` unlabelled rows.
+Fitting uses a bounded sample, taken by hash: ``labelled`` labelled and ``pool`` unlabelled ids, and
+of the rows of a repeated id the one with the smallest hash.
 Every document is scored, on its whole text.
 """
 
@@ -152,11 +153,15 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
     """A model from bounded samples; None if there are not labels of both kinds."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids = documents.select("doc_id").join(known, "doc_id", "left").withColumn("h", F.xxhash64("doc_id"))
+    ids = (documents.where("doc_id IS NOT NULL").select("doc_id").distinct().join(known, "doc_id", "left")
+           .withColumn("h", F.xxhash64("doc_id")))
     first = lambda rows, n: rows.orderBy("h", "doc_id").limit(n).select("doc_id", "quality")
-    chosen = first(ids.where("quality IS NOT NULL"), labelled).unionByName(first(ids.where("quality IS NULL"), pool)).distinct()
-    rows = (documents.select("doc_id", "text", "source", "lang", "n_chars")
+    chosen = first(ids.where("quality IS NOT NULL"), labelled).unionByName(first(ids.where("quality IS NULL"), pool))
+    page = ("text", "source", "lang", "n_chars")
+    rows = (documents.select("doc_id", *page)
             .join(F.broadcast(chosen), "doc_id")  # labelled and pool rows at most
+            .groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64(*page).alias("h"), *page)).alias("r"))
+            .select("doc_id", "quality", *(f"r.{c}" for c in page))
             .mapInArrow(_views, "quality int, h bigint, text_at array<int>, text_value array<float>, meta_at array<int>"))
     table = rows.orderBy("h").toArrow().to_pylist()
     text = dense([dict(zip(r["text_at"], r["text_value"])) for r in table], TEXT)
