@@ -31,11 +31,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, once. Rows without a doc_id stay."""
-    found = near_duplicates.near_duplicates(docs)
-    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group of similar texts: the one with the smallest doc_id, then by hash.
+
+    Groups are found on a key of id and text, so different texts under one doc_id are told apart, and rows
+    without a doc_id are in groups like all others (after those with one). Texts without words are
+    alike only under the same doc_id.
+    """
+    named = docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_hash", F.xxhash64(*(f"`{c}`" for c in docs.columns)))
+    found = near_duplicates.near_duplicates(named.select(F.col("_key").alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_hash")
+    first = named.groupBy("_key").agg(F.min(order).alias("least"))
+    kept = groups.join(first, "_key").groupBy("component_id").agg(F.min("least").alias("least")).select("least._key", "least._hash")
+    return named.join(kept, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

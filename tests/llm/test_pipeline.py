@@ -41,3 +41,17 @@ def test_stage_on_nothing_and_on_odd_rows(spark, name):
     got = stage(spark, odd, FOLDER)
     rows = got.select("doc_id").collect()
     assert len(rows) == {"language_id": 3, "near_dedup": 3, "decontaminate": 4, "remove_pii": 4, "pack": 4}[name]
+
+
+def test_near_dedup_keeps_each_text_of_a_repeated_id_and_one_of_copies_without_id(spark):
+    like = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    say = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(1, say("a"), "en", "s", 1), (1, say("b"), "en", "s", 1), (1, say("b"), "de", "s", 1), (2, say("b") + " more", "en", "s", 1),
+            (None, say("a"), "en", "s", 1), (None, say("c"), "en", "s", 1), (None, say("c"), "en", "s", 1), (3, None, None, None, None)]
+    runs = []
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, like).repartition(3)
+        runs.append(sorted(map(tuple, corpus_pipeline.near_dedup(spark, table, FOLDER).collect()), key=repr))
+    assert runs[0] == runs[1]
+    want = [(1, say("a")), (1, say("b")), (3, None), (None, say("c"))]
+    assert sorted(((r[0], r[1]) for r in runs[0]), key=repr) == sorted(want, key=repr)
