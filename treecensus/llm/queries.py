@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treecensus.llm import (
-    decontamination, language, licenses, near_duplicates, packing, pii, quality, token_counts, token_files, top_k,
+    decontamination, language, licenses, manifest, near_duplicates, packing, pii, quality, token_counts, token_files,
+    top_k,
 )
 from treecensus.llm.common import folder, importable, settle, table
 
@@ -96,3 +97,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = manifest.leaves(table(spark, sf_dir, "documents"), tampered, text=F.translate("text", upper, upper.lower()))
+    return manifest.verify(manifest.build(found))
