@@ -6,12 +6,14 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from treecensus.operators.joins import fits_broadcast
 from treecensus.workspace import folder, settle
 
-__all__ = ["folder", "settle", "table", "importable", "pieces_of", "slices_for"]
+__all__ = ["folder", "settle", "table", "importable", "pieces_of", "slices_for", "numbered", "matrix"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +48,35 @@ def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4
 def slices_for(rows: int, each: int, least: int = 64) -> int:
     """How many salts split ``rows`` so that a slice has about ``each`` rows, even if one key has them all."""
     return max(least, -(-rows // each))
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Rows with their place (``idx``, from 0) in their group and the group's ``size``.
+
+    Only counts per partition and group are brought together, so a group may hold any share of the rows.
+    """
+    spread = rows.withColumn("_spread", F.monotonically_increasing_id())  # equal rows need not stay together
+    keys = [group, *order, "_spread"]
+    placed = settle(spread.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                    .withColumn("_at", F.monotonically_increasing_id()).drop("_spread"), "numbered")
+    part = F.shiftright("_at", 33)  # the partition
+    counts = placed.groupBy(F.col(group).alias("_group"), part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    own = Window.partitionBy("_group")
+    before = own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = settle(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+                    .withColumn("size", F.sum("_n").over(own)).drop("_n"), "counts")
+    if fits_broadcast(counts):
+        counts = F.broadcast(counts)
+    return (placed.join(counts, (part == F.col("_part")) & F.col(group).eqNullSafe(F.col("_group")))
+            .withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before"))
+            .drop("_at", "_group", "_part", "_first", "_before"))
+
+
+def matrix(column: pa.Array, size: int) -> np.ndarray:
+    """Rows of an Arrow list column without nulls as a matrix of doubles; short rows are followed by zeros."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths := column.value_lengths().to_numpy())
+    out = np.zeros((len(column), size))
+    row = np.repeat(np.arange(len(column)), lengths)
+    out[row, np.arange(len(flat)) - np.repeat(ends - lengths, lengths)] = flat
+    return out

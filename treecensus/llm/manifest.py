@@ -24,9 +24,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from treecensus.llm.common import settle
+from treecensus.llm.common import numbered, settle
 from treecensus.operators.joins import fits_broadcast
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -67,28 +67,6 @@ def leaves(documents: DataFrame, tampered: Column | None = None, **changed: Colu
     return documents.select("doc_id", "source", own.alias("leaf"), offered.alias("offered"))
 
 
-def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Rows with their place (``idx``, from 0) in their group and the group's ``size``.
-
-    Only counts per partition and group are brought together, so a group may hold any share of the rows.
-    """
-    spread = rows.withColumn("_spread", F.monotonically_increasing_id())  # equal rows need not stay together
-    keys = [group, *order, "_spread"]
-    placed = settle(spread.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                    .withColumn("_at", F.monotonically_increasing_id()).drop("_spread"), "numbered")
-    part = F.shiftright("_at", 33)  # the partition
-    counts = placed.groupBy(F.col(group).alias("_group"), part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    own = Window.partitionBy("_group")
-    before = own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = settle(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                    .withColumn("size", F.sum("_n").over(own)).drop("_n"), "counts")
-    if fits_broadcast(counts):
-        counts = F.broadcast(counts)
-    return (placed.join(counts, (part == F.col("_part")) & F.col(group).eqNullSafe(F.col("_group")))
-            .withColumn("idx", F.col("_at") - F.col("_first") + F.col("_before"))
-            .drop("_at", "_group", "_part", "_first", "_before"))
-
-
 @dataclass
 class Manifest:
     """``runs``: the leaves, 16 to a row. ``nodes``: all inner nodes with their parents. ``root``: binary, None without leaves."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treecensus.llm import (
     decontamination, language, licenses, manifest, near_duplicates, packing, pii, quality, token_counts, token_files,
-    top_k,
+    top_k, vantage,
 )
 from treecensus.llm.common import folder, importable, settle, table
 
@@ -105,3 +105,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     found = manifest.leaves(table(spark, sf_dir, "documents"), tampered, text=F.translate("text", upper, upper.lower()))
     return manifest.verify(manifest.build(found))
+
+
+@query
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"))
