@@ -92,7 +92,7 @@ def parents(level: DataFrame, extra: list[str] = []) -> DataFrame:
 
 def build(found: DataFrame) -> Manifest:
     """The trees over (doc_id, source, leaf, offered), level by level; as many passes as the highest tree has levels."""
-    spark = found.sparkSession
+    found = settle(found, "leaves")  # hashing reads the whole texts: once, not again to find ranges and counts
     sources = settle(found.groupBy("source").agg(F.count("*").alias("n")).withColumn("one", F.lit(0)), "sources")
     trees = settle(numbered(sources, "one", ["source"]).select(F.col("source").alias("_source"), F.col("idx").alias("tree"), "n"), "trees")
     many, largest = trees.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
