@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from treecensus.llm import (
-    decontamination, language, licenses, manifest, near_duplicates, packing, pii, quality, token_counts, token_files,
-    top_k, vantage,
+    alignment, decontamination, language, licenses, manifest, near_duplicates, packing, pii, quality, token_counts,
+    token_files, top_k, vantage,
 )
 from treecensus.llm.common import folder, importable, settle, table
 
@@ -110,3 +110,9 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
