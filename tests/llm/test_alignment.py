@@ -92,20 +92,27 @@ def test_parts_are_encoded_like_whole_texts():
     bits = [" ", "  ", "\n", "\t", " ", "　", "a", "the", "'s", "12", "é", "日", "🙂", "-", "_", ".", "́", "\x85", " ", "<s>"]
     for n in range(400):
         text = "".join(draw.choices(bits, k=draw.randrange(1, 40)))
-        assert "".join(" " + p for p in alignment.parts(text)) == " " + text
-        found, sizes = own.documents([text])
+        found = own.documents([text])
         a, raw_a, b, raw_b = both(text)
-        want = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups(a, raw_a, b, raw_b))
-        assert ";".join(own.groups[i] for i in found) == want, text
+        assert (found.a.tolist(), found.b.tolist()) == (a, b), text
+        assert list(zip(found.x.tolist(), found.y.tolist())) == [(len(x), len(y)) for x, y in groups(a, raw_a, b, raw_b)]
 
 
 def test_a_worker_forgets(monkeypatch):
     monkeypatch.setattr(alignment, "MOST_KEPT", 3)
     own = alignment.Aligner(A, B)
     for _ in range(3):
-        found, sizes = own.documents(["one two three four five", "one six"])
-        assert sizes.tolist() == [5, 2] and len(own.groups) == 6
-        assert own.pairs(found, sizes)[0].tolist() == sorted(own.pairs(found, sizes)[0].tolist())
+        assert own.documents(["one two three four five", None, "one six"]).n_b.tolist()[1:] == [0, 2]
+        assert len(own.index) == 6
+
+
+@pytest.mark.parametrize("large", [0, 2])
+def test_large_groups_are_counted_by_their_distinct_tokens(monkeypatch, large):
+    own = alignment.Aligner(A, B)
+    found = own.documents([t for _, t in TEXTS])
+    want = [x.tolist() for x in found.pairs()]
+    monkeypatch.setattr(alignment, "LARGE", large)
+    assert [x.tolist() for x in found.pairs()] == want
 
 
 def test_a_perfect_hash_has_no_gaps():

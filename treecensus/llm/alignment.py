@@ -7,10 +7,9 @@ of bounded size; counts are dense vectors, one number for each place of a slice.
 become such vectors, which are summed in a tree.  The keys are stored by place as well, so a lookup is
 verified.  The second pass aligns the documents again and looks their pairs up.
 
-Texts are cut before a space that stands between other characters than spaces: no token of either
-tokenizer crosses such a place, as no piece of B has a space behind another character and A takes a
-space with what follows it.  Each distinct part is encoded once by a worker, which forgets all it
-knows when that is more than ``MOST_KEPT`` parts or pairs.
+B takes most time where it encodes what it has met before.  Texts without odd white space are cut for
+it before spaces and line ends, which no piece crosses, and each distinct part is encoded once by a
+worker, which forgets them when they are more than ``MOST_KEPT``.  Other texts are encoded whole.
 
 A text that is null or empty, or that either tokenizer does not give back byte for byte (one with
 U+2581, which B takes for a space), has no tokens: zeros and an empty digest.  Repeated rows, and rows
@@ -20,9 +19,7 @@ table has no rows.
 
 from __future__ import annotations
 
-import json
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -35,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from treecensus.llm.common import pieces_of, settle
 from treecensus.llm.hashing import PerfectHash
-from treecensus.llm.tokens import byte_letters
+from treecensus.llm.tokens import PLAIN, SPACED, Encoder, byte_letters
 
 #: Keys of a slice, about.
 SLICE = 1 << 16
@@ -43,129 +40,173 @@ SLICE = 1 << 16
 BRANCH, FAN = 1 << 18, 8
 #: With up to so many pairs, every worker is sent all of them (16 bytes each); else documents' pairs are sent to the slices.
 KNOWN = 2_000_000
-MOST_KEPT = 400_000
+MOST_KEPT = 1_000_000
 #: Counts a task holds before it hands them on.
 HELD = 1 << 20
-#: A place where a space does not begin a part: it is followed by another space, white space or nothing.
-_ODD = re.compile(r" (?![!-~\w])")
-_PLAIN_START = re.compile(r"[!-~\w]")
+#: White space after a space or a line end; a text of plain characters with one of these is odd.
+_ODD = [x + y for x in " \n" for y in " \n\t\r\xa0"]
+#: A group with more links than these is counted by its distinct tokens.
+LARGE = 4096
 RESULT = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-def parts(text: str) -> list[str]:
-    """The parts of space + text, without the space that each of them begins with."""
-    found = text.split(" ")
-    if not _ODD.search(" " + text):
-        return found
-    out = [found[0]]
-    for part in found[1:]:
-        # a part that begins oddly, or follows more than one space, stays with what is before it
-        if _PLAIN_START.match(part) and out[-1] and not out[-1].endswith(" "):
-            out.append(part)
-        else:
-            out[-1] += " " + part
-    return out
+class Table:
+    """The bytes of each token id."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        n = self.sizes[ids]
+        return self.flat[np.arange(n.sum()) + np.repeat(self.starts[ids] - (np.cumsum(n) - n), n)]
+
+
+class Aligned:
+    """Some documents' tokens, one document after the other: ids, the tokens of each group, and where documents begin."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
+        """``ends`` are byte offsets over all documents, whose tokens end where the document ends."""
+        self.a, self.b, self.n_a, self.n_b = a, b, n_a, n_b
+        marked = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, bool)
+        marked[ends_b] = True
+        last_a = marked[ends_a]
+        marked[ends_b] = False
+        marked[ends_a] = True
+        last_b = marked[ends_b]
+        self.last_a, self.last_b = last_a, last_b
+        stops_a, stops_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        self.x, self.y = np.diff(stops_a, prepend=0), np.diff(stops_b, prepend=0)
+        self.stops_a, self.stops_b = stops_a, stops_b
+        self.groups = _per(last_a, n_a)
+        self.links = summed(self.x * self.y, self.groups)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs of each document: document, key, times linked."""
+        doc = np.repeat(np.arange(len(self.groups)), self.groups)
+        few = self.x * self.y <= LARGE
+        of_a = np.repeat(np.arange(len(self.x)), self.x)  # the group of each token of A
+        at = np.flatnonzero(few[of_a])
+        group = of_a[at]
+        n = self.y[group]
+        other = np.arange(n.sum()) + np.repeat(self.stops_b[group] - self.y[group] - (np.cumsum(n) - n), n)
+        both = [doc[np.repeat(group, n)] << 32 | self.a[np.repeat(at, n)] << 16 | self.b[other]]
+        times = [np.ones(len(other), np.int64)]
+        for g in np.flatnonzero(~few):
+            i, p = np.unique(self.a[self.stops_a[g] - self.x[g]:self.stops_a[g]], return_counts=True)
+            j, q = np.unique(self.b[self.stops_b[g] - self.y[g]:self.stops_b[g]], return_counts=True)
+            both.append((doc[g] << 32 | i[:, None] << 16 | j).ravel())
+            times.append((p[:, None] * q).ravel())
+        each, counts = merged(np.concatenate(both), np.concatenate(times))
+        return each >> 32, each & 0xFFFFFFFF, counts
+
+    def digests(self, shown: list[str]) -> list[str]:
+        """The digest of each document's groups; ``shown`` has the text of each id with the sign after it."""
+        before_b, before_a = np.repeat(self.stops_b - self.y, self.x), np.repeat(self.stops_a, self.y)
+        codes = np.empty(len(self.a) + len(self.b), np.int64)
+        codes[np.arange(len(self.a)) + before_b] = self.a | self.last_a << 16  # , and |
+        codes[np.arange(len(self.b)) + before_a] = self.b | np.where(self.last_b, 2 << 16, 0)  # , and ;
+        ends, out = np.cumsum(self.n_a + self.n_b).tolist(), []
+        for end, n in zip(ends, (self.n_a + self.n_b).tolist()):
+            text = "".join(map(shown.__getitem__, codes[end - n:end].tolist()))
+            out.append(sha256(text[:-1].encode()).hexdigest() if n else "")
+        return out
+
+
+def odd(text: str) -> bool:
+    """Whether a text has to be encoded whole."""
+    return not PLAIN.fullmatch(text) or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD)
+
+
+def _per(marks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many of each stretch are marked."""
+    return summed(marks.astype(np.int64), sizes)
 
 
 class Aligner:
-    """Both tokenizers, and the parts met so far: their index, numbers, pairs (flat, from ``start`` on) and groups."""
+    """Both tokenizers, and the ids of B of the parts met so far."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
+        self.a, self.b = Encoder(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        if self.a.lower or self.a.pattern is not SPACED:
+            raise ValueError(f"{path_a} is not a byte-level vocabulary")
+        self.a.library.encode_special_tokens = True
         letters = {c: b for b, c in byte_letters().items()}
-        with open(path_a, encoding="utf-8") as file:
-            added = {t["id"] for t in json.load(file)["added_tokens"]}
-        self.bytes_a = {i: b"" if i in added else bytes(letters[c] for c in piece) for piece, i in self.a.get_vocab().items()}
+        vocabulary = self.a.library.get_vocab()
+        raw_a = [b""] * (max(vocabulary.values()) + 1)
+        for piece, i in vocabulary.items():
+            raw_a[i] = b"" if piece in self.a.special else bytes(letters[c] for c in piece)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        if any(re.search("[^▁]▁", piece) for piece in pieces) or len(pieces) > 1 << 16:
-            raise ValueError(f"{path_b} has pieces over a space, or too many")
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        if any(re.search("[^▁]▁|\n", piece) for piece in pieces) or max(len(pieces), len(raw_a)) > 1 << 16:
+            raise ValueError(f"{path_b} has pieces over a space or a line end, or too many")
+        self.raw_a = Table(raw_a)
+        self.raw_b = Table([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.shown = [f"{i}{sign}" for sign in ",|;" for i in range(1 << 16)]
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.numbers = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, whether the bytes differ
-        self.start = np.zeros(1, np.int64)
-        self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, new: list[str]) -> None:
-        numbers, sizes, keys, times = [], [], [], []
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + part for part in new], add_special_tokens=False)]
-        ids_b = self.b.encode(new, num_threads=1)
-        for part, a, b in zip(new, ids_a, ids_b):
-            raw = (" " + part).encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            groups = self.cut(a, b) if same else []
-            pairs: Counter[int] = Counter()
-            for x, y in groups:
-                if len(x) == 1 or len(y) == 1:
-                    pairs.update(i << 16 | j for i in x for j in y)
-                else:
-                    right = Counter(y).items()
-                    for i, n in Counter(x).items():
-                        for j, m in right:
-                            pairs[i << 16 | j] += n * m
-            self.index[part] = len(self.groups)
-            self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-            numbers.append((len(a), len(b), len(groups), sum(len(x) * len(y) for x, y in groups), not same))
-            sizes.append(len(pairs))
-            keys.extend(pairs.keys())
-            times.extend(pairs.values())
-        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64).reshape(-1, 5)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes, dtype=np.int64)])
-        self.keys = np.concatenate([self.keys, np.array(keys, np.int64)])
-        self.times = np.concatenate([self.times, np.array(times, np.int64)])
-
-    def cut(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """The groups of two token sequences of the same bytes."""
-        out, i, j, at_a, at_b = [], 0, 0, 0, 0
-        first_a, first_b = 0, 0
-        while i < len(a):
-            if at_a <= at_b:
-                at_a += len(self.bytes_a[a[i]])
-                i += 1
-            while at_b < at_a:
-                at_b += len(self.bytes_b[b[j]])
-                j += 1
-            if at_a == at_b:
-                out.append((a[first_a:i], b[first_b:j]))
-                first_a, first_b = i, j
-        return out
-
-    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The parts of all texts after each other, as indexes, and the number of parts of each text."""
-        if len(self.groups) > MOST_KEPT or len(self.keys) > 4 * MOST_KEPT:
+        #: The ids of all parts after each other, and where the parts begin.
+        self.flat = [np.zeros(0, np.uint16), np.zeros(0, np.uint16)]
+        self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+
+    def ids_a(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text):
+            return b"".join(map(self.a.kept.__getitem__, SPACED.findall(text)))
+        return np.asarray(self.a.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, parts: list[str], whole: bool = False) -> int:
+        """Add parts, or whole texts; gives the number of the first one."""
+        first = len(self.starts[0]) - 1
+        # a part after a line end has no space before it; the one that B's library adds is a piece of its own
+        bare = [part.startswith("\n") and not whole for part in parts]
+        left = [self.ids_a(part if b else " " + part) for part, b in zip(parts, bare)]
+        right = [ids[1:] if b else ids for ids, b in zip(self.b.encode(parts, num_threads=1), bare)]
+        sizes = [len(ids) // 4 for ids in left], [len(ids) for ids in right]
+        added = np.frombuffer(b"".join(left), "<u4"), np.fromiter(chain.from_iterable(right), np.uint16, sum(sizes[1]))
+        for i in range(2):
+            self.flat[i] = np.concatenate([self.flat[i], added[i].astype(np.uint16)])
+            self.starts[i] = np.concatenate([self.starts[i], self.starts[i][-1] + np.cumsum(sizes[i], dtype=np.int64)])
+        return first
+
+    def tokens(self, i: int, parts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the i-th tokenizer of so many parts a text, and their number for each text."""
+        n = self.starts[i][parts + 1] - self.starts[i][parts]
+        at = np.arange(n.sum()) + np.repeat(self.starts[i][parts] - (np.cumsum(n) - n), n)
+        return self.flat[i][at].astype(np.int64), summed(n, sizes)
+
+    def documents(self, texts: list[str | None]) -> Aligned:
+        """All texts; those that are not given back byte for byte have no tokens."""
+        if len(self.index) > MOST_KEPT or len(self.flat[0]) > 8 * MOST_KEPT:
             self.forget()
-        cut = [parts(text) if text else [] for text in texts]
-        new = set(chain.from_iterable(cut)) - self.index.keys()
+        given = [text or "" for text in texts]
+        whole = {i for i, text in enumerate(given) if text and odd(text)}
+        cut = [[] if not text or i in whole else text.replace("\n", " \n").split(" ") for i, text in enumerate(given)]
+        new = list(set(chain.from_iterable(cut)) - self.index.keys())
         if new:
-            self.learn(list(new))
-        sizes = np.array([len(c) for c in cut], np.int64)
-        found = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-        broken = self.numbers[found, 4] > 0
-        if broken.any():  # those texts have no tokens at all
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            bad = np.zeros(len(sizes), bool)
-            bad[owner[broken]] = True
-            found, sizes = found[~bad[owner]], np.where(bad, 0, sizes)
-        return found, sizes
-
-    def pairs(self, found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct pairs of each document: document, key, times linked."""
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        each, many = np.unique(owner * len(self.groups) + found, return_counts=True)
-        doc, part = np.divmod(each, max(1, len(self.groups)))
-        n = self.start[part + 1] - self.start[part]
-        at = np.arange(n.sum()) + np.repeat(self.start[part] - (np.cumsum(n) - n), n)
-        both, back = np.unique(np.repeat(doc, n) << 32 | self.keys[at], return_inverse=True)
-        times = np.zeros(len(both), np.int64)
-        np.add.at(times, back, self.times[at] * np.repeat(many, n))
-        return both >> 32, both & 0xFFFFFFFF, times
+            first = self.learn(new)
+            self.index.update(zip(new, range(first, first + len(new))))
+        numbers = [map(self.index.__getitem__, parts) for parts in cut]
+        sizes = np.array([len(parts) for parts in cut], np.int64)
+        for i in whole:  # not met again
+            numbers[i], sizes[i] = [self.learn([given[i]], whole=True)], 1
+        parts = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
+        (a, n_a), (b, n_b) = (self.tokens(i, parts, sizes) for i in range(2))
+        raw = [(" " + text).encode() if text else b"" for text in given]
+        size = np.array([len(r) for r in raw], np.int64)
+        ok = (summed(self.raw_a.sizes[a], n_a) == size) & (summed(self.raw_b.sizes[b], n_b) == size)
+        a, b, ok = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)], ok
+        whole = np.frombuffer(b"".join(r for r, same in zip(raw, ok) if same), np.uint8)
+        differ = (self.raw_a.bytes_of(a) != whole) | (self.raw_b.bytes_of(b) != whole)
+        n_a, n_b, size = n_a * ok, n_b * ok, size * ok
+        if differ.any():
+            bad = _per(differ, size) > 0
+            a, b = a[~np.repeat(bad, n_a)], b[~np.repeat(bad, n_b)]
+            n_a, n_b = n_a * ~bad, n_b * ~bad
+        return Aligned(a, b, np.cumsum(self.raw_a.sizes[a]), np.cumsum(self.raw_b.sizes[b]), n_a, n_b)
 
 
 @lru_cache(maxsize=2)
@@ -209,7 +250,7 @@ def counted(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(old[0]), task), pa.int64()), *map(pa.array, old)], ["part", "key", "n"])
 
         for batch in pieces_of(batches):
-            held.append(own.pairs(*own.documents(batch.column(0).to_pylist()))[1])
+            held.append(own.documents(batch.column(0).to_pylist()).pairs()[1])
             if sum(map(len, held)) > HELD:
                 old = tidy()
                 if len(old[0]) > HELD:
@@ -301,21 +342,14 @@ def highest(found: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def digest(groups: list[str]) -> str:
-    return sha256(";".join(groups).encode()).hexdigest() if groups else ""
-
-
 def aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str,
-            further: Callable[[Aligner, np.ndarray, np.ndarray], list[pa.Array]]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 of (doc_id, text), and ``further`` columns."""
+            further: Callable[[np.ndarray, np.ndarray, np.ndarray, int], list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 of (doc_id, text), and ``further`` columns made of the pairs."""
     own = aligner(path_a, path_b)
     for batch in pieces_of(batches):
-        found, sizes = own.documents(batch.column(1).to_pylist())
-        numbers = summed(own.numbers[found, :4], sizes)
-        groups = list(map(own.groups.__getitem__, found.tolist()))
-        ends = np.cumsum(sizes).tolist()
-        digests = [digest(groups[e - n:e]) for e, n in zip(ends, sizes.tolist())]
-        columns = [batch.column(0), *(pa.array(numbers[:, i]) for i in range(4)), pa.array(digests, pa.string()), *further(own, found, sizes)]
+        found = own.documents(batch.column(1).to_pylist())
+        columns = [batch.column(0), *map(pa.array, (found.n_a, found.n_b, found.groups, found.links)),
+                   pa.array(found.digests(own.shown), pa.string()), *further(*found.pairs(), batch.num_rows)]
         yield pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])
 
 
@@ -341,20 +375,12 @@ def _sent(rows: DataFrame, found: DataFrame, slices: int, most: np.ndarray, path
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(*shared.value)
-        told: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        size = 0
-
-        def further(own: Aligner, found: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
-            nonlocal size
-            if len(own.groups) < size:  # it has forgotten its parts
-                told[:], size = [told[0][:0]], 0
-            if len(own.groups) > size:
-                n, best = counts.of(own.keys[own.start[size]:])
-                times = own.times[own.start[size]:]
-                told[:] = [np.concatenate([told[0], summed(np.stack([best * times, n * times], axis=1), np.diff(own.start[size:]))])]
-                size = len(own.groups)
-            both = summed(told[0][found], sizes)
-            return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+        def further(doc: np.ndarray, keys: np.ndarray, times: np.ndarray, rows: int) -> list[pa.Array]:
+            each, back = np.unique(keys, return_inverse=True)
+            n, best = (found[back] for found in counts.of(each))
+            sizes = np.bincount(doc, minlength=rows)
+            return [pa.array(summed(best * times, sizes)), pa.array(summed(n * times, sizes))]
 
         yield from aligned(batches, path_a, path_b, further)
 
@@ -366,9 +392,8 @@ def _fetched(rows: DataFrame, found: DataFrame, slices: int, most: np.ndarray, p
     highest_of = rows.sparkSession.sparkContext.broadcast(most)  # one number for each entry of A's vocabulary
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def further(own: Aligner, found: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
-            doc, keys, times = own.pairs(found, sizes)
-            ends = pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)), pa.int32())
+        def further(doc: np.ndarray, keys: np.ndarray, times: np.ndarray, rows: int) -> list[pa.Array]:
+            ends = pa.array(np.searchsorted(doc, np.arange(rows + 1)), pa.int32())
             return [pa.ListArray.from_arrays(ends, pa.array(keys)), pa.ListArray.from_arrays(ends, pa.array(times))]
 
         yield from aligned(batches, path_a, path_b, further)
