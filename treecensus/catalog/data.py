@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treecensus import constants as C, workspace
 from treecensus.functions import paths
+from treecensus.operators import changelog
 
 AS_OF = "2002-01-01T00:00:00"
 
@@ -21,6 +22,8 @@ SNAPSHOTS = (
     (5, "2001-06-01", "africa_5", "/AFRICA"),
     (0, "2002-01-01", "live", "/"),
 )
+#: Snapshots of the same root, oldest first.
+DAILY = (1, 2, 4)
 ATTRIBUTE_STEPS = {
     "read_only": 2, "hidden": 3, "system": 5, "archive": 7, "temporary": 11,
     "compressed": 17, "not_content_indexed": 19, "sparse_file": 10, "offline": 23,
@@ -42,12 +45,15 @@ class Data:
 
     def stored(self, name: str, write: Callable[[str], None]) -> DataFrame:
         """A table that is written once per application and folder, like an ingested export."""
+        return self.spark.read.parquet(self.stored_at(name, write))
+
+    def stored_at(self, name: str, write: Callable[[str], None]) -> str:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _STORED:
             where = workspace.folder(self.spark, name)
             write(where)
             _STORED[key] = where
-        return self.spark.read.parquet(_STORED[key])
+        return _STORED[key]
 
     def _base(self) -> DataFrame:
         """One row per order with the numbers all other columns are made from."""
@@ -228,6 +234,14 @@ class Data:
         rows = self.snap_entries if directories else self.snap_files
         return rows.where(F.col("snapshot_id") == number)
 
+    @cached_property
+    def daily(self) -> tuple[DataFrame, DataFrame]:
+        """The oldest of the daily snapshots, and the stored log of changes from each one to the next."""
+        base = self.snapshot(DAILY[0]).drop("snapshot_id")
+        where = self.stored_at("changes", lambda where: changelog.write(
+            {n: self.snapshot(n).drop("snapshot_id") for n in DAILY}, where))
+        return base, changelog.read(self.spark, where, base)
+
     @cached_property
     def identities(self) -> DataFrame:
         k = F.col("c_custkey")

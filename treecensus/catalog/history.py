@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from treecensus import workspace
-from treecensus.catalog.data import AS_OF, Data
+from treecensus import constants as C, workspace
+from treecensus.catalog.data import AS_OF, DAILY, Data
 from treecensus.catalog.registry import query
 from treecensus.functions import patterns, paths
-from treecensus.operators import snapshots as S
+from treecensus.operators import changelog, snapshots as S
+from treecensus.operators.search import Search
 from treecensus.sources.tables import scan_snapshot
 
-DAILY = (1, 2, 4)
-
 
 def _sized(d: Data, rows: DataFrame) -> DataFrame:
     """Snapshots with the number and bytes of the files they hold."""
@@ -102,40 +101,18 @@ def changed_only(d: Data) -> DataFrame:
     return S.tree_diff(d.snapshot(2), d.snapshot(4), collapse=False).where("op <> 'MODIFY'")
 
 
-def _steps(d: Data) -> tuple[DataFrame, DataFrame]:
-    """Consecutive diffs of the daily snapshots and the rows they bring."""
-    changes, rows = None, None
-    for older, newer in zip(DAILY, DAILY[1:]):
-        now = d.snapshot(newer, directories=False)
-        diff = S.tree_diff(d.snapshot(older, directories=False), now, collapse=False).withColumn("seq", F.lit(newer))
-        # at most one change per path: no key is hot
-        fresh = now.join(diff.where("op <> 'DELETE'").select("path", "seq"), "path")
-        changes = diff if changes is None else changes.unionByName(diff)
-        rows = fresh if rows is None else rows.unionByName(fresh)
-    return changes, rows
-
-
 @query("incremental_search", r"""
 SELECT snapshot_id AS seq, path, size FROM fx_snap WHERE snapshot_id IN (1, 2, 4) AND size > 15000000
   AND regexp_matches(path, '\.(docx|log)$')""")
 def incremental_search(d: Data) -> DataFrame:
-    changes, rows = _steps(d)
-    base = d.snapshot(DAILY[0], directories=False).withColumn("seq", F.lit(DAILY[0]))
-    moments = d.snapshots.where(F.col("id").isin(*DAILY)).select(F.col("id").alias("seq"))
-    test = (F.col("size") > 15_000_000) & patterns.match_any(paths.basename(F.col("path")), ["*.docx", "*.log"])
-    return S.incremental_search(base, changes, rows, moments, test).select("seq", "path", "size")
+    base, log = d.daily
+    found = changelog.search(base, log, DAILY[0], DAILY, Search(
+        file_only=True, names=["*.docx", "*.log"], larger_than=15_000_000, case_sensitive=True))
+    return found.select("seq", "path", "size")
 
 
 @query("asof_version", """
 SELECT path, snapshot_id AS seq, size FROM fx_snap WHERE snapshot_id IN (2, 4)""")
 def asof_version(d: Data) -> DataFrame:
-    changes, rows = _steps(d)
-    base = d.snapshot(DAILY[0], directories=False).select(
-        "path", F.lit(DAILY[0]).alias("seq"), F.lit("CREATE").alias("op"), F.struct("size").alias("version"))
-    fresh = rows.select("path", "seq", F.lit("MODIFY").alias("op"), F.struct("size").alias("version"))
-    gone = changes.where("op = 'DELETE'").select(
-        "path", "seq", "op", F.lit(None).cast("struct<size:bigint>").alias("version"))
-    moments = d.snapshots.where("id IN (2, 4)").select(F.col("id").alias("seq"))
-    return S.asof_versions(base.unionByName(fresh).unionByName(gone), moments).select("path", "seq", "version.size")
-
-
+    base, log = d.daily
+    return changelog.find(base, log, DAILY[0], (2, 4), F.col("type") != C.DIRECTORY).select("path", "seq", "size")
