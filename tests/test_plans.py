@@ -101,6 +101,18 @@ def test_modes(spark):
     assert column(acl.set_mode(rows, "644", kind="file")) == ["/d/f"]
 
 
+@pytest.mark.parametrize("saved,root", [
+    (["/a/x", "/a/y", "/b"], "/"), (["/a/x", "/a/y"], "/a"), (["/a/x"], "/a/x"), (["/a", "/a/x", "/a/y/z"], "/a"),
+    (["/ab", "/a/x"], "/"), (["/d/ab", "/d/a", "/d/a/c", "/d/a!"], "/d"), (["/", "/q"], "/"), (["/d/a/1", "/d/a/2", None], "/d/a")])
+def test_a_backup_is_restored_elsewhere(spark, saved, root):
+    none = "struct<control:array<string>,posix_special:array<string>,aces:array<struct<type:string,trustee:string,flags:array<string>,rights:array<string>>>>"
+    rows = spark.createDataFrame([(p, "1", None) for p in saved], f"path string, file_id string, acl {none}")
+    live = spark.createDataFrame([], f"path string, id string, acl {none}")
+    got = [r.path for r in acl.restore(rows, live, target="/t/").collect()]
+    bare = root.rstrip("/")
+    assert sorted(got) == sorted("/t" if p == root else "/t" + p[len(bare):] for p in saved if p)
+
+
 def test_restore_guards_the_file_id(spark):
     rows = objects(spark, ("/a", ace("Allow::x:r")), ("/b", ace("Allow::x:r")))
     saved = spark.createDataFrame([("/a", "id/a", ([], [], [ace("Allow::y:r")])), ("/b", "other", ([], [], [])),

@@ -215,6 +215,19 @@ def acl_restore(d: Data) -> DataFrame:
     return _shown(acl.restore(_saved(d), live))
 
 
+# no saved path lies above the others; nothing is there yet
+@query("acl_restore_target", f"""
+WITH b AS (SELECT path, acl FROM ({_BACKUP}) WHERE starts_with(path, '/AFRICA/') AND path LIKE '%1.___'),
+p AS (SELECT string_split(min(path), '/') AS lo, string_split(max(path), '/') AS hi FROM b),
+r AS (SELECT coalesce(min(i) - 1, len(lo)) AS n, any_value(lo) AS lo FROM p LEFT JOIN LATERAL
+  (SELECT unnest(range(1, len(lo) + 1)) AS i) u ON lo[i] IS DISTINCT FROM hi[i] GROUP BY lo),
+m AS (SELECT '/elsewhere' || substring(path, length(array_to_string(lo[:n], '/')) + 1) AS path, acl FROM b, r)
+SELECT path, 'missing' AS action, acl AS after FROM m""")
+def acl_restore_target(d: Data) -> DataFrame:
+    some = F.col("path").startswith("/AFRICA/") & F.col("path").like("%1.___")
+    return _shown(acl.restore(_saved(d).where(some), d.objects, target="/elsewhere"))
+
+
 @query("acl_restore_join", f"""
 SELECT path, CASE WHEN CAST(file_id AS BIGINT) % 3 = 0 THEN 'refused' ELSE 'unchanged' END AS action, acl AS after FROM ({_BACKUP})""")
 def acl_restore_join(d: Data) -> DataFrame:

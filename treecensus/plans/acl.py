@@ -155,17 +155,29 @@ def backup(plan: DataFrame, objects: DataFrame, stamp: str) -> DataFrame:
         "path", "file_id", "acl", F.lit(stamp).alias("timestamp"))
 
 
+def common_root(path: Column) -> Column:
+    """The deepest path that is, or lies above, all paths of a group: what its first and last one share."""
+    first, last = (F.split(paths.clean(end), "/") for end in (F.min(path), F.max(path)))
+    n = F.least(F.size(first), F.size(last))
+    # in the order of texts all others lie between the first and the last, and begin with what these two share
+    unlike = F.filter(F.sequence(F.lit(1), n), lambda i: ~F.element_at(first, i).eqNullSafe(F.element_at(last, i)))
+    shared = F.when(F.size(unlike) > 0, F.array_min(unlike) - 1).otherwise(n)
+    text = F.array_join(F.slice(first, F.lit(1), shared), "/")
+    return F.when(text == "", F.lit("/")).otherwise(text)
+
+
 def restore(saved: DataFrame, objects: DataFrame, force: bool = False, target: str | None = None) -> DataFrame:
     """Put saved lists back where the file id still is the same, or anywhere when forced.
 
-    With a ``target`` the saved tree is put there: its root (the first path of
-    the backup) goes to the target, and what lies below it goes below the target.
+    With a ``target`` the saved tree is put there: its root goes to the target, and what lies below it goes
+    below the target.  The root is the deepest path that is, or lies above, every path of the backup; a
+    single object is its own root.  Rows without a path are left out.
     """
     if target is not None:
-        root, to = saved.agg(F.min("path")).scalar(), paths.root_text(target).rstrip("/")
-        below = F.col("path").startswith(F.concat(F.col("_root"), F.lit("/"))) | (F.col("_root") == "/")
+        saved = saved.where("path IS NOT NULL")
+        root, to = saved.agg(common_root(F.col("path"))).scalar(), paths.root_text(target).rstrip("/")
         rest = F.expr("substr(path, length(rtrim('/', _root)) + 1)")
-        moved = F.when(F.col("path") == F.col("_root"), F.lit(to or "/")).when(below, F.concat(F.lit(to), rest))
+        moved = F.when(F.col("path") == F.col("_root"), F.lit(to or "/")).otherwise(F.concat(F.lit(to), rest))
         saved = saved.withColumn("_root", root).withColumn("path", moved).drop("_root")
     live = objects.select("path", F.col("id").alias("live_id"), F.col("acl").alias("before"))
     rows = saved.select("path", "file_id", F.col("acl").alias("after")).join(live, "path", "left")
