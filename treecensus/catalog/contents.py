@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from treecensus.catalog.data import Data
 from treecensus.catalog.registry import query
-from treecensus.operators import regions, similarity
+from treecensus.operators import chunks, regions, similarity
 
 SAMPLE = 256
 CHUNK = 256
@@ -15,10 +15,10 @@ CHUNK = 256
 @query("scan_file_content", """
 SELECT path, size, sha256(substring(content, 101, 50)) AS range_hash, sha256(content) AS content_hash FROM fx_content""")
 def scan_file_content(d: Data) -> DataFrame:
-    from treecensus.sources.tables import read_range
-
-    return d.content.select("path", "size", F.sha2(read_range(F.col("content"), 100, 50), 256).alias("range_hash"),
-                            F.sha2("content", 256).alias("content_hash"))
+    # the range from the chunks that it touches; the whole only where all of it is hashed
+    ranges = chunks.read_range(d.chunks("content", CHUNK), 100, 50, CHUNK).select("path", F.sha2("data", 256).alias("range_hash"))
+    whole = d.content.select("path", "size", F.sha2("content", 256).alias("content_hash"))
+    return whole.join(ranges, "path").select("path", "size", "range_hash", "content_hash")
 
 
 @query("similar_by_size", """
@@ -88,12 +88,12 @@ UNION ALL SELECT path, 'truncate', g, l - g FROM p WHERE g < l"""
 
 @query("byte_diff", _diff_sql("content_old", "content"))
 def byte_diff(d: Data) -> DataFrame:
-    return regions.byte_diff(d.content, "content_old", "content", CHUNK, 1000)
+    return chunks.byte_diff(d.chunks("content_old", CHUNK), d.chunks("content", CHUNK), CHUNK, 1000)
 
 
 @query("byte_diff_forward", _diff_sql("content", "content_old"))
 def byte_diff_forward(d: Data) -> DataFrame:
-    return regions.byte_diff(d.content, "content", "content_old", CHUNK, 1000)
+    return chunks.byte_diff(d.chunks("content", CHUNK), d.chunks("content_old", CHUNK), CHUNK, 1000)
 
 
 @query("merge_regions", f"""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from treecensus import constants as C, workspace
 from treecensus.functions import paths
-from treecensus.operators import changelog
+from treecensus.operators import changelog, chunks
 
 AS_OF = "2002-01-01T00:00:00"
 
@@ -350,6 +350,10 @@ class Data:
             F.ceil(F.col("n_chars") / F.lit(4096.0)).cast("bigint").alias("datablocks"),
             text.alias("content"), old.alias("content_old"))
 
+    def chunks(self, column: str, chunk: int) -> DataFrame:
+        """A version of the contents as stored chunks."""
+        return self.stored(f"chunks-{column}-{chunk}", lambda where: chunks.write(chunks.cut(self.content, column, chunk), where))
+
     @cached_property
     def change_feed(self) -> DataFrame:
         kind = F.col("event_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from treecensus import constants as C
@@ -170,6 +172,43 @@ def scan_file_content(spark: SparkSession, path: str) -> DataFrame:
             .select("path", F.col("length").alias("size"), "content"))
 
 
+#: Tasks that read ranges of files, at most; with more ranges a task reads several.
+MOST_TASKS = 50_000
+
+
+def scan_chunks(spark: SparkSession, path: str, chunk: int = C.CHUNK, span: int = 64 << 20) -> DataFrame:
+    """Files of any size as rows (path, chunk, size, data), see ``operators.chunks``.
+
+    Only names and lengths are listed; every task then opens the ranges of ``span`` bytes dealt to it, so
+    one large file is read by many tasks.  This is the one reader with Python tasks: Spark's own one takes
+    a file as a single value.  Spark does not list empty files, so they have no rows.
+    """
+    each = max(1, span // chunk)
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+              .select("path", F.col("length").alias("size")))
+    last = F.ceil(F.col("size") / chunk) - 1
+    spans = listed.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / each).cast("bigint"))).alias("span"))
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, name = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", row["path"]))
+                with store.open_input_file(name) as file:
+                    for i in range(row["span"] * each, min((row["span"] + 1) * each, -(-row["size"] // chunk))):
+                        data = file.read_at(min(chunk, row["size"] - i * chunk), i * chunk)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([row["path"]]), pa.array([i]), pa.array([row["size"]]), pa.array([data], pa.binary())],
+                            ["path", "chunk", "size", "data"])
+
+    # a row stands for much work: a stated number of partitions keeps Spark from joining the small-looking ones
+    tasks = min(MOST_TASKS, max(1, spans.count()))
+    return (spans.repartition(tasks, "path", "span")
+            .mapInArrow(read, "path string, chunk bigint, size bigint, data binary"))
+
+
 def read_range(content: Column, offset: int | Column, length: int | Column) -> Column:
     """A zero-based range of a content column."""
     start = offset if isinstance(offset, Column) else F.lit(offset)
