@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from treecensus.operators import chunks, regions
-from treecensus.sources.tables import scan_chunks
+from treecensus.operators import chunks, regions, similarity
+from treecensus.sources.tables import read_ranges, scan_chunks
 
 
 def versions(count, seed=2):
@@ -92,3 +92,44 @@ def test_two_scanned_folders_are_compared(spark, tmp_path):
             for n in ("good", "live")]
     found = chunks.byte_diff(*both, chunk=1000, threshold=0).collect()
     assert sorted((r.kind, r.offset, r.bytes) for r in found) == [("data", 12_000, 1000), ("truncate", 50_000, 4)]
+
+
+def copies(tmp_path):
+    """Files of some sizes, with copies and near copies; the sample size below is 16, with 3 samples a file."""
+    draw = random.Random(5)
+    out = {}
+    for i, size in enumerate([5, 5, 48, 48, 49, 49, 49, 700, 700, 700, 33, 2000]):
+        out[f"f{i}"] = draw.randbytes(size)
+    out |= {"c1": out["f0"], "c2": out["f2"], "c3": out["f4"], "c4": out["f7"]}
+    middle = bytearray(out["f8"])
+    middle[100] ^= 1  # between the samples
+    out["near"] = bytes(middle)
+    for name, data in out.items():
+        (tmp_path / name).write_bytes(data)
+    return out
+
+
+def test_only_the_samples_are_read(spark, tmp_path):
+    parts = copies(tmp_path)
+    listed = (spark.read.format("binaryFile").load(str(tmp_path))
+              .selectExpr("path", "length AS size", "CAST('FS_FILE_TYPE_FILE' AS string) AS type", "CAST(1 AS bigint) AS datablocks"))
+    ranges = similarity.sample_ranges(listed, 16, 3)
+    pieces = read_ranges(ranges, 10)
+    told = similarity.estimate(listed, 16, 3).first()
+    assert pieces.selectExpr("sum(length(data))").first()[0] == told.bytes_to_read < sum(map(len, parts.values()))
+    assert ranges.select("path").distinct().count() == told.files
+    groups = {}
+    for r in similarity.sampled_ranges(listed, pieces).collect():
+        groups.setdefault(r.group_id, set()).add(r.path.rsplit("/", 1)[1])
+    assert sorted(map(sorted, groups.values())) == [["c1", "f0"], ["c2", "f2"], ["c3", "f4"], ["c4", "f7"], ["f8", "near"]]
+
+
+@pytest.mark.parametrize("kind", ["string", "binary"])
+def test_samples_from_chunks_equal_samples_of_whole_contents(spark, tmp_path, kind):
+    rows = [(f"/{n}", len(d), "FS_FILE_TYPE_FILE", 1, d.hex()[:len(d)] if kind == "string" else d) for n, d in copies(tmp_path).items()]
+    files = spark.createDataFrame(rows, f"path string, size bigint, type string, datablocks bigint, content {kind}")
+    want = similarity.sampled(files, 16, 3).select("path", "group_id", "files")
+    for chunk in (7, 16, 64):
+        found = similarity.sampled_ranges(files.drop("content"), chunks.pick(
+            chunks.cut(files, "content", chunk), similarity.sample_ranges(files.drop("content"), 16, 3), chunk))
+        assert sorted(map(tuple, found.select("path", "group_id", "files").collect())) == sorted(map(tuple, want.collect()))

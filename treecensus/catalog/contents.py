@@ -40,7 +40,9 @@ QUALIFY count(*) OVER (PARTITION BY size, fingerprint) > 1"""
 
 
 def _similar(d: Data) -> DataFrame:
-    return similarity.sampled(d.content.drop("content_old"), sample=SAMPLE)
+    files = d.content.drop("content", "content_old")
+    ranges = similarity.sample_ranges(files, SAMPLE)
+    return similarity.sampled_ranges(files, chunks.pick(d.chunks("content", CHUNK), ranges, CHUNK))
 
 
 @query("similar_sampled", f"SELECT path, size, group_id, files FROM ({_GROUPS})")

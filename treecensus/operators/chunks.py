@@ -50,6 +50,19 @@ def read_range(chunks: DataFrame, offset: int, length: int, chunk: int = C.CHUNK
     return touched.groupBy("path", "size").agg((F.unhex(joined) if binary else joined).alias("data"))
 
 
+def pick(chunks: DataFrame, ranges: DataFrame, chunk: int = C.CHUNK) -> DataFrame:
+    """The data of listed ranges (path, size, no, offset, bytes): rows (path, size, no, part, data).
+
+    A range has a part for each chunk that it touches; the list is joined by (path, chunk).
+    """
+    first, last = F.floor(F.col("offset") / chunk), F.floor((F.col("offset") + F.greatest("bytes", F.lit(1)) - 1) / chunk)
+    wanted = (ranges.where("bytes > 0").select("*", F.explode(F.sequence(first, last)).alias("chunk")))
+    start = F.greatest(F.lit(0), F.col("offset") - F.col("chunk") * chunk)
+    end = F.least(F.lit(chunk), F.col("offset") + F.col("bytes") - F.col("chunk") * chunk)
+    return wanted.join(chunks.select(*KEY, "data"), KEY).select(
+        "path", "size", "no", F.col("chunk").alias("part"), F.substring("data", (start + 1).cast("int"), (end - start).cast("int")).alias("data"))
+
+
 def _facts(chunks: DataFrame, name: str) -> DataFrame:
     """What is compared: lengths and hashes instead of the data itself."""
     return chunks.select(*KEY, F.length("data").alias(f"{name}_n"), F.sha2("data", 256).alias(f"{name}_hash"))

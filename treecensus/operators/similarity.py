@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treecensus import constants as C
-from treecensus.operators.joins import fits_broadcast, spread_join
+from treecensus.operators.joins import fits_broadcast, lookup_join, spread_join
 from treecensus.workspace import folder, settle
 
 
@@ -83,6 +83,36 @@ def sampled(files: DataFrame, sample: int = C.SAMPLE_BYTES, points: int | None =
     return members(settle(hashes, "fingerprints"))
 
 
+def sample_ranges(files: DataFrame, sample: int = C.SAMPLE_BYTES, points: int | None = None) -> DataFrame:
+    """(path, size, no, offset, bytes): what must be read of files that share their size, and nothing else.
+
+    Small files have one range, the whole; others one for each sample.  Their bytes add up to ``estimate``.
+    """
+    files = candidates(files)
+    shared = files.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select(F.col("size").alias("_size"))
+    listed = lookup_join(files.select("path", "size"), settle(shared, "sizes"), F.col("size"), "_size", "semi")
+    n, size = sample_points(F.col("size"), points), F.col("size")
+    several = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        i.alias("no"), F.floor(i * (size - sample) / (n - 1)).cast("bigint").alias("offset"), F.lit(sample).cast("bigint").alias("bytes")))
+    whole = F.array(F.struct(F.lit(0).alias("no"), F.lit(0).cast("bigint").alias("offset"), size.cast("bigint").alias("bytes")))
+    ranges = F.when(size <= n * sample, whole).otherwise(several)
+    return listed.select("path", "size", F.explode(ranges).alias("r")).select("path", "size", "r.*")
+
+
+def sampled_ranges(files: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``sampled`` from the data of the ranges: rows (path, size, no, part, data), the parts of a range in order.
+
+    A file has a bounded number of samples, which meet in one row.
+    """
+    binary = pieces.schema["data"].dataType.typeName() == "binary"
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("no", "part", "data"))), lambda p: F.hex(p["data"]) if binary else p["data"])
+    joined = F.array_join(parts, "")
+    printed = (pieces.groupBy("path", "size").agg(F.sha2(F.unhex(joined) if binary else joined, 256).alias("fingerprint"))
+               .select("path", "fingerprint", _key("size", "fingerprint").alias("group_id")))
+    # a file has one row on either side
+    return members(settle(candidates(files).join(printed, "path"), "fingerprints"))
+
+
 def estimate(files: DataFrame, sample: int = C.SAMPLE_BYTES, points: int | None = None) -> DataFrame:
     """Bytes that sampling would read; nothing is read."""
     per_size = (candidates(files).groupBy("size").agg(F.count("*").alias("files")).where("files > 1"))

@@ -176,19 +176,13 @@ def scan_file_content(spark: SparkSession, path: str) -> DataFrame:
 MOST_TASKS = 50_000
 
 
-def scan_chunks(spark: SparkSession, path: str, chunk: int = C.CHUNK, span: int = 64 << 20) -> DataFrame:
-    """Files of any size as rows (path, chunk, size, data), see ``operators.chunks``.
+def read_ranges(ranges: DataFrame, piece: int = 1 << 20, tasks: int | None = None) -> DataFrame:
+    """The bytes of listed ranges of files (path, size, no, offset, bytes) as rows (path, size, no, part, data).
 
-    Only names and lengths are listed; every task then opens the ranges of ``span`` bytes dealt to it, so
-    one large file is read by many tasks.  This is the one reader with Python tasks: Spark's own one takes
-    a file as a single value.  Spark does not list empty files, so they have no rows.
+    Nothing but the ranges is read, each in parts of ``piece`` bytes.  This is the one reader with Python tasks:
+    Spark's own one takes a file as a single value.  A row stands for much work, so the number of tasks is
+    stated, else Spark would join the small-looking partitions.
     """
-    each = max(1, span // chunk)
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-              .select("path", F.col("length").alias("size")))
-    last = F.ceil(F.col("size") / chunk) - 1
-    spans = listed.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / each).cast("bigint"))).alias("span"))
-
     def read(batches):
         import pyarrow as pa
         from pyarrow import fs
@@ -197,16 +191,31 @@ def scan_chunks(spark: SparkSession, path: str, chunk: int = C.CHUNK, span: int
             for row in batch.to_pylist():
                 store, name = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", row["path"]))
                 with store.open_input_file(name) as file:
-                    for i in range(row["span"] * each, min((row["span"] + 1) * each, -(-row["size"] // chunk))):
-                        data = file.read_at(min(chunk, row["size"] - i * chunk), i * chunk)
+                    for i, start in enumerate(range(0, row["bytes"], piece)):
+                        data = file.read_at(min(piece, row["bytes"] - start), row["offset"] + start)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([row["path"]]), pa.array([i]), pa.array([row["size"]]), pa.array([data], pa.binary())],
-                            ["path", "chunk", "size", "data"])
+                            [pa.array([row["path"]]), *(pa.array([v], pa.int64()) for v in (row["size"], row["no"], i)),
+                             pa.array([data], pa.binary())], ["path", "size", "no", "part", "data"])
+
+    tasks = min(MOST_TASKS, max(1, ranges.count() if tasks is None else tasks))
+    return (ranges.select("path", *(F.col(c).cast("bigint").alias(c) for c in ("size", "no", "offset", "bytes")))
+            .repartition(tasks, "path", "no").mapInArrow(read, "path string, size bigint, no bigint, part bigint, data binary"))
+
 
-    # a row stands for much work: a stated number of partitions keeps Spark from joining the small-looking ones
-    tasks = min(MOST_TASKS, max(1, spans.count()))
-    return (spans.repartition(tasks, "path", "span")
-            .mapInArrow(read, "path string, chunk bigint, size bigint, data binary"))
+def scan_chunks(spark: SparkSession, path: str, chunk: int = C.CHUNK, span: int = 64 << 20) -> DataFrame:
+    """Files of any size as rows (path, chunk, size, data), see ``operators.chunks``.
+
+    Only names and lengths are listed; every task then opens the spans (of about ``span`` bytes) dealt to it, so
+    one large file is read by many tasks.  Spark does not list empty files, so they have no rows.
+    """
+    each = max(1, span // chunk)
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+              .select("path", F.col("length").alias("size")))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / (each * chunk)).cast("bigint"))
+    offset = F.col("no") * each * chunk
+    spans = (listed.select("path", "size", F.explode(numbers).alias("no"))
+             .select("*", offset.alias("offset"), F.least(F.lit(each * chunk), F.col("size") - offset).alias("bytes")))
+    return read_ranges(spans, chunk).select("path", (F.col("no") * each + F.col("part")).alias("chunk"), "size", "data")
 
 
 def read_range(content: Column, offset: int | Column, length: int | Column) -> Column:
