@@ -50,6 +50,9 @@ def test_totals_filter_and_limit(spark, make, tmp_path):
     per = jobs.latest_state(spark, jobs.directory_totals(found, "/r"), ["path"], "t")
     batch = per_directory(rows.where("type = 'FS_FILE_TYPE_FILE'"), "/r", every_level=True).where("depth > 0")
     assert pairs(per, "path", "files", "capacity") == pairs(batch, "path", "files", "capacity")
+    homes = jobs.latest_state(spark, jobs.home_totals(found, "/r"), ["home"], "t")
+    assert homes.count() == 3  # a row for each directory with matches of its own
+    assert pairs(jobs.rolled_up(homes, "/r"), "path", "files", "capacity") == pairs(batch, "path", "files", "capacity")
     some = jobs.limited(spark, found.select("path"), 7)
     assert some.count() == 7 and set(column(some)) <= set(column(rows))
     assert jobs.limited(spark, found.select("path"), 100).count() == 20
@@ -89,6 +92,48 @@ def test_aggregates_and_limits_go_on_where_they_ended(spark, make, tmp_path):
     assert set("/" + c for c in "abc") <= set(column(some()))
 
 
+def test_a_run_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    where, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    (tmp_path / "in").mkdir()
+    want, seq = {}, 0
+
+    def run(changes):
+        nonlocal seq
+        rows = []
+        for path in changes:
+            seq += 1
+            want[path] = seq
+            rows.append((seq, "MODIFY", path))
+        (tmp_path / "in" / f"s{seq}.json").write_text("\n".join(
+            json.dumps({"seq": s, "op": o, "path": p, "ts": "2001-01-01T00:00:00Z"}) for s, o, p in rows))
+        stream = spark.readStream.schema(FEED).json(where)
+        found = jobs.latest_state(spark, jobs.latest_change(stream), ["path"], "t", out, mark)
+        assert pairs(found, "path", "seq") == set(want.items())
+        return found
+
+    def held():
+        notes = spark.read.schema("bucket array<int>, run array<bigint>, batch int").parquet(out + "/notes").collect()
+        last = max((n for n in notes if n.bucket), key=lambda n: n.batch)
+        return dict(zip(last.bucket, last.run)), len(notes)
+
+    run([f"/d/{i}" for i in range(600)])
+    first, _ = held()
+    assert len(first) == jobs.BUCKETS and len(set(first.values())) == 1
+    second_result = run([f"/d/{i}" for i in range(595, 605)])  # half of them new
+    second, _ = held()
+    touched = {b for b in second if second[b] != first[b]}
+    assert 0 < len(touched) <= 10
+    assert second_result.count() == 605
+    run(["/d/1"])
+    third, notes = held()
+    assert len({b for b in third if third[b] != second[b]}) == 1 and notes == 2
+    # what only the first note referred to is gone, what is still held is not
+    kept = {(int(p.parent.name[4:]), int(p.name[8:])) for p in (tmp_path / "out" / "state").glob("run=*/_bucket=*")}
+    assert kept == {(r, b) for b, r in second.items()} | {(r, b) for b, r in third.items()}
+    assert second_result.count() == 605  # the result of the run before can still be read
+    assert run([]).count() == 605
+
+
 def test_the_shared_folder_is_the_sessions(spark):
     base = workspace.base(spark)
     assert workspace.folder(spark, "x").startswith(base + "/treecensus/x-") and base == workspace.base(spark)

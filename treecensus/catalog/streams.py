@@ -62,7 +62,7 @@ def stream_owner_report(d: Data) -> DataFrame:
 SELECT path, count(*) AS files, CAST(sum(capacity) AS BIGINT) AS capacity FROM fx_up WHERE type = 'FS_FILE_TYPE_FILE' GROUP BY path""")
 def stream_dir_matches(d: Data) -> DataFrame:
     found = jobs.filtered(_pages(d), Search(type="file"))
-    return jobs.latest_state(d.spark, jobs.directory_totals(found), ["path"], "directories")
+    return jobs.rolled_up(jobs.latest_state(d.spark, jobs.home_totals(found), ["home"], "directories"))
 
 
 def _feed(d: Data) -> DataFrame:

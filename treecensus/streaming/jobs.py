@@ -19,7 +19,14 @@ from treecensus.operators.hierarchy import capacity
 from treecensus.operators.joins import above
 from treecensus.operators.reports import owned_bytes
 from treecensus.operators.search import Search, owner_column, predicate
-from treecensus.workspace import folder
+from treecensus.workspace import folder, remove
+
+
+#: Buckets of a stored state; more for states whose buckets would be large.
+BUCKETS = 64
+#: Which run holds each bucket.
+NOTE = (T.StructType().add("bucket", T.ArrayType(T.IntegerType())).add("run", T.ArrayType(T.LongType()))
+        .add("buckets", T.IntegerType()))
 
 
 def run_append(stream: DataFrame, target: str, checkpoint: str, kind: str = "parquet") -> None:
@@ -45,15 +52,22 @@ def _stored(spark: SparkSession, schema: T.StructType, where: str) -> DataFrame:
 
 
 def latest_state(spark: SparkSession, stream: DataFrame, keys: list[str], label: str,
-                 target: str | None = None, checkpoint: str | None = None) -> DataFrame:
+                 target: str | None = None, checkpoint: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Run an update-mode aggregate until the available input is read, and return its rows.
 
     With the same ``target`` and ``checkpoint`` a later run goes on where this
     one ended; without them the run is on its own.  Each batch is written under
     its number, so a repeated batch replaces itself; the last batch that
-    mentions a key holds its result.  A run ends by folding the state into one
-    table, noted as good once it is written, so the next run reads that and the
-    batches after it.  Without any input the result is empty.
+    mentions a key holds its result.
+
+    The state lies in buckets by a hash of the key.  A run ends by merging its
+    batches into the buckets that they touch, and by a note that says for every
+    bucket which run holds it; all other buckets stay as they are.  The note is
+    written last, so a run that is lost before it changes nothing.  Batches and
+    buckets that neither this note nor the one before refers to are removed
+    then; a result that is read later than two runs on has to be kept by its
+    reader.  The number of buckets is that of a target's first run.  Without
+    any input the result is empty.
     """
     where = target or folder(spark, label)
 
@@ -61,22 +75,42 @@ def latest_state(spark: SparkSession, stream: DataFrame, keys: list[str], label:
         batch.write.mode("overwrite").parquet(f"{where}/batches/batch={number}")
 
     run_batches(stream, checkpoint or folder(spark, label + "-state"), write)
-    values = [c for c in stream.columns if c not in keys]
-    notes = _stored(spark, T.StructType().add("folded", "string"), f"{where}/notes")
-    note = notes.orderBy(F.desc("batch")).first()  # the newest of a few rows
-    rows = _stored(spark, stream.schema, f"{where}/batches")
-    if note is not None:
-        whole = spark.read.schema(stream.schema).parquet(note.folded).withColumn("batch", F.lit(note.batch))
-        rows = rows.where(F.col("batch") > note.batch).unionByName(whole)
+    notes = sorted(_stored(spark, NOTE, f"{where}/notes").collect(), key=lambda n: n.batch)  # the last one and the one before
+    last = notes[-1] if notes else None
+    held = {b: run for b, run in zip(last.bucket, last.run)} if last else {}
+    buckets = last.buckets if last else buckets
+    rows = _stored(spark, stream.schema, f"{where}/batches").where(F.col("batch") > (last.batch if last else -1))
     newest = rows.agg(F.max("batch")).first()[0]
-    if newest is not None and (note is None or newest > note.batch):
-        last = F.max_by(F.struct(*values), "batch").alias("_v")
-        found = (rows.groupBy(*keys).agg(last) if keys else rows.agg(last)).select(*keys, "_v.*")
-        folded = folder(spark, label + "-folded")
-        found.write.parquet(folded)
-        spark.createDataFrame([(folded,)], "folded string").write.mode("overwrite").parquet(f"{where}/notes/batch={newest}")
-        return spark.read.schema(stream.schema).parquet(folded)
-    return rows.drop("batch")
+    if newest is None:
+        return _state(spark, stream.schema, where, held)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
+    rows = rows.withColumn("_bucket", bucket)
+    touched = [r[0] for r in rows.select("_bucket").distinct().collect()]
+    old = _state(spark, stream.schema, where, {b: run for b, run in held.items() if b in set(touched)})
+    every = rows.unionByName(old.withColumn("batch", F.lit(-1).cast("bigint")).withColumn("_bucket", bucket))
+    values = [c for c in stream.columns if c not in keys]
+    found = every.groupBy("_bucket", *keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select("_bucket", *keys, "_v.*")
+    found.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{where}/state/run={newest}")
+    now = held | dict.fromkeys(touched, newest)
+    note = [([*now], [*now.values()], buckets)]
+    spark.createDataFrame(note, NOTE).write.mode("overwrite").parquet(f"{where}/notes/batch={newest}")
+    merged = [r[0] for r in _stored(spark, stream.schema, f"{where}/batches").where(
+        F.col("batch").between(0, last.batch if last else -1)).select("batch").distinct().collect()]  # those of one run
+    for number in merged:
+        remove(spark, f"{where}/batches/batch={number}")
+    for note in notes[:-1]:
+        for b, run in {*zip(note.bucket, note.run)} - {*held.items(), *now.items()}:
+            remove(spark, f"{where}/state/run={run}/_bucket={b}")
+        remove(spark, f"{where}/notes/batch={note.batch}")
+    return _state(spark, stream.schema, where, now)
+
+
+def _state(spark: SparkSession, schema: T.StructType, where: str, held: dict[int, int]) -> DataFrame:
+    """The rows of buckets, each from the run that holds it."""
+    if not held:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema).option("basePath", f"{where}/state")
+            .parquet(*(f"{where}/state/run={run}/_bucket={b}" for b, run in held.items())).select(*schema.names))
 
 
 def filtered(stream: DataFrame, opts: Search) -> DataFrame:
@@ -97,13 +131,30 @@ def owner_totals(stream: DataFrame) -> DataFrame:
 
 
 def directory_totals(stream: DataFrame, root: str = "/") -> DataFrame:
-    """Running totals of every directory that contains a match."""
+    """Running totals of every directory that contains a match, as one stream; objects are repeated for their ancestors.
+
+    ``home_totals`` and ``rolled_up`` give the same with less state and fewer rows.
+    """
     root = paths.root_text(root)
     return (stream.where(paths.below(F.col("path"), root))
             .select(F.explode(paths.ancestors(F.col("path"), root)).alias("path"), capacity().alias("_cap"))
             .groupBy("path").agg(F.count("*").alias("files"), F.sum("_cap").alias("capacity")))
 
 
+def home_totals(stream: DataFrame, root: str = "/") -> DataFrame:
+    """Running totals of the directories that contain matches themselves: the state has a row for each, not for each ancestor."""
+    root = paths.root_text(root)
+    return (stream.where(paths.below(F.col("path"), root)).groupBy(paths.parent(F.col("path")).alias("home"))
+            .agg(F.count("*").alias("files"), F.sum(capacity()).alias("capacity")))
+
+
+def rolled_up(homes: DataFrame, root: str = "/") -> DataFrame:
+    """Totals of every directory from those of ``home_totals``: their sums are repeated for the ancestors, objects are not."""
+    chain = paths.ancestors_or_self(F.col("home"), paths.root_text(root))
+    return (homes.select(F.explode(chain).alias("path"), "files", "capacity")
+            .groupBy("path").agg(F.sum("files").alias("files"), F.sum("capacity").alias("capacity")))
+
+
 def latest_change(changes: DataFrame) -> DataFrame:
     """The change in force per path: the highest sequence number wins, late ones are ignored."""
     return changes.groupBy("path").agg(

@@ -34,3 +34,9 @@ def settle(rows: DataFrame, label: str) -> DataFrame:
     where = folder(rows.sparkSession, label)
     rows.write.parquet(where)
     return rows.sparkSession.read.schema(rows.schema).parquet(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written folder wherever the session's file systems have it; one that is not there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
