@@ -23,7 +23,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +152,8 @@ class Aligner:
         #: The ids of all parts after each other, and where the parts begin.
         self.flat = [np.zeros(0, np.uint16), np.zeros(0, np.uint16)]
         self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        #: Whether a part's ids give other bytes than its own.
+        self.broken = np.zeros(0, bool)
 
     def ids_a(self, text: str) -> bytes:
         if PLAIN.fullmatch(text):
@@ -167,6 +169,16 @@ class Aligner:
         right = [ids[1:] if b else ids for ids, b in zip(self.b.encode(parts, num_threads=1), bare)]
         sizes = [len(ids) // 4 for ids in left], [len(ids) for ids in right]
         added = np.frombuffer(b"".join(left), "<u4"), np.fromiter(chain.from_iterable(right), np.uint16, sum(sizes[1]))
+        raw = [(part if b else " " + part).encode() for part, b in zip(parts, bare)]
+        size, whole_bytes = np.array([len(r) for r in raw], np.int64), np.frombuffer(b"".join(raw), np.uint8)
+        broken = np.zeros(len(parts), bool)
+        for table, ids, n in ((self.raw_a, added[0], sizes[0]), (self.raw_b, added[1], sizes[1])):
+            n = np.array(n, np.int64)
+            same = summed(table.sizes[ids], n) == size
+            differ = table.bytes_of(ids[np.repeat(same, n)]) != whole_bytes[np.repeat(same, size)]
+            same[same] = _per(differ, size[same]) == 0
+            broken |= ~same
+        self.broken = np.concatenate([self.broken, broken])
         for i in range(2):
             self.flat[i] = np.concatenate([self.flat[i], added[i].astype(np.uint16)])
             self.starts[i] = np.concatenate([self.starts[i], self.starts[i][-1] + np.cumsum(sizes[i], dtype=np.int64)])
@@ -185,27 +197,26 @@ class Aligner:
         given = [text or "" for text in texts]
         whole = {i for i, text in enumerate(given) if text and odd(text)}
         cut = [[] if not text or i in whole else text.replace("\n", " \n").split(" ") for i, text in enumerate(given)]
-        new = list(set(chain.from_iterable(cut)) - self.index.keys())
-        if new:
+        sizes = np.array([len(parts) for parts in cut], np.int64)
+        parts = np.fromiter(map(self.index.get, chain.from_iterable(cut), repeat(-1)), np.int64, int(sizes.sum()))
+        missing = np.flatnonzero(parts < 0)
+        if len(missing):
+            unknown = np.zeros(len(parts), bool)
+            unknown[missing] = True
+            unmet = list(compress(chain.from_iterable(cut), unknown.tolist()))
+            new = list(set(unmet))
             first = self.learn(new)
             self.index.update(zip(new, range(first, first + len(new))))
-        numbers = [map(self.index.__getitem__, parts) for parts in cut]
-        sizes = np.array([len(parts) for parts in cut], np.int64)
-        for i in whole:  # not met again
-            numbers[i], sizes[i] = [self.learn([given[i]], whole=True)], 1
-        parts = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
+            parts[missing] = np.fromiter(map(self.index.__getitem__, unmet), np.int64, len(unmet))
+        if whole:  # not met again
+            told = np.split(parts, np.cumsum(sizes)[:-1])
+            for i in whole:
+                told[i], sizes[i] = np.array([self.learn([given[i]], whole=True)]), 1
+            parts = np.concatenate(told)
+        bad = _per(self.broken[parts], sizes) > 0
+        if bad.any():
+            parts, sizes = parts[~np.repeat(bad, sizes)], sizes * ~bad
         (a, n_a), (b, n_b) = (self.tokens(i, parts, sizes) for i in range(2))
-        raw = [(" " + text).encode() if text else b"" for text in given]
-        size = np.array([len(r) for r in raw], np.int64)
-        ok = (summed(self.raw_a.sizes[a], n_a) == size) & (summed(self.raw_b.sizes[b], n_b) == size)
-        a, b, ok = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)], ok
-        whole = np.frombuffer(b"".join(r for r, same in zip(raw, ok) if same), np.uint8)
-        differ = (self.raw_a.bytes_of(a) != whole) | (self.raw_b.bytes_of(b) != whole)
-        n_a, n_b, size = n_a * ok, n_b * ok, size * ok
-        if differ.any():
-            bad = _per(differ, size) > 0
-            a, b = a[~np.repeat(bad, n_a)], b[~np.repeat(bad, n_b)]
-            n_a, n_b = n_a * ~bad, n_b * ~bad
         return Aligned(a, b, np.cumsum(self.raw_a.sizes[a]), np.cumsum(self.raw_b.sizes[b]), n_a, n_b)
 
 
