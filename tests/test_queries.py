@@ -14,7 +14,8 @@ from treecensus.catalog import registry  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 # a cross product, a nested loop, or Python in the plan
-UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "FlatMapGroupsInPandas")
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "MapInArrow",
+            "FlatMapGroupsInPandas", "FlatMapGroupsInArrow", "FlatMapCoGroupsIn")
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="the test tables are not here")
 

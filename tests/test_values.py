@@ -115,3 +115,11 @@ def test_option_texts():
                 lambda: O.attributes("nothing"), lambda: O.duration("5w")):
         with pytest.raises(O.OptionError):
             bad()
+
+
+def test_places_follow_the_order_over_partitions(spark):
+    from treecensus.operators import reports
+
+    rows = spark.range(1000).selectExpr("id * 7 % 1000 AS v", "concat('/', id) AS path").repartition(6)
+    assert all(r.place == r.v + 1 for r in reports.placed(rows.orderBy("v")).collect())
+    assert reports.placed(rows.limit(0).orderBy("v")).count() == 0

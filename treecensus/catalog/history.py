@@ -10,6 +10,7 @@ from treecensus.catalog.registry import query
 from treecensus.functions import patterns, paths
 from treecensus.operators import changelog, snapshots as S
 from treecensus.operators.search import Search
+from treecensus.sources import tables
 from treecensus.sources.tables import scan_snapshot
 
 
@@ -27,7 +28,8 @@ FROM fx_snapshots s JOIN fx_snap f ON f.snapshot_id = s.id WHERE {test} GROUP BY
 
 @query("scan_snapshots", _SIZED.format(test="true"))
 def scan_snapshots(d: Data) -> DataFrame:
-    return _sized(d, d.snapshots)
+    where = d.stored_at("snapshot-list", lambda where: d.snapshots.write.parquet(where))
+    return _sized(d, tables.scan_snapshots(d.spark, where))
 
 
 @query("list_snapshots", _SIZED.format(test="s.name NOT LIKE 'replication_%'"))

@@ -214,10 +214,11 @@ def stale_alert(d: Data) -> DataFrame:
 
 
 @query("sort_report", """
-SELECT path, count(*) AS files, CAST(sum(capacity) AS BIGINT) AS capacity FROM fx_up GROUP BY path""")
+SELECT path, files, capacity, row_number() OVER (ORDER BY files DESC, path) AS place FROM (
+  SELECT path, count(*) AS files, CAST(sum(capacity) AS BIGINT) AS capacity FROM fx_up GROUP BY path)""")
 def sort_report(d: Data) -> DataFrame:
     per = hierarchy.per_directory(d.files, every_level=True).where("depth > 0")
-    return reports.sort_report(per, "count").select("path", "files", "capacity")
+    return reports.placed(reports.sort_report(per, "count").select("path", "files", "capacity"))
 
 
 @query("limit_matches", "SELECT path, size FROM fx_files WHERE type = 'FS_FILE_TYPE_FILE' ORDER BY path LIMIT 100")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treecensus import constants as C
 from treecensus.functions import aces as A, paths, sizes, times
@@ -13,6 +13,7 @@ from treecensus.functions.fields import pick
 from treecensus.operators.hierarchy import capacity, directory_aggregates
 from treecensus.operators.identity import display_names
 from treecensus.operators.search import Search, omitted, owner_column
+from treecensus.workspace import settle
 
 
 def _sum(column: Column | str) -> Column:
@@ -198,6 +199,21 @@ def sort_report(rows: DataFrame, by: str = "size") -> DataFrame:
     return rows.orderBy(F.desc(chosen), "path") if chosen else rows.orderBy("path")
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """Rows of an ordered result with their ``place`` in it, from 1.
+
+    The rows are written as they come; a place is that in the own partition plus the rows of the partitions
+    before, so only one count per partition meets in a single task.
+    """
+    stored = settle(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", "_first", before.alias("_before"))
+    return (stored.join(F.broadcast(starts), part == F.col("_part"))  # a row for each partition
+            .withColumn("place", F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*ordered.columns, "place"))
+
+
 def limit_matches(matches: DataFrame, n: int, fast: bool = False) -> DataFrame:
     """N matches: the first by path, or any when fast."""
     return matches.limit(n) if fast else matches.orderBy("path").limit(n)
