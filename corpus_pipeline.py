@@ -15,6 +15,8 @@ from treecensus.llm.common import folder, importable, settle, table
 
 #: Documents whose most likely language is less likely than this are rejected, as are those without a letter.
 LEAST_LIKELY = 0.3
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+CARRIED = "_carried"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,12 +72,28 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _ready(stage):
+    """A stage that leaves all but the columns of ``documents`` alone: they are carried as one struct.
+
+    So no name of an extra column can meet a working name of an operator, in whatever case it is written.
+    """
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         importable(spark)
-        return stage(spark, docs, sf_dir)
+        extra = [c for c in docs.columns if c not in COLUMNS]
+        if not extra:
+            return stage(spark, docs, sf_dir)
+        # names inside the struct are numbers, since an operator may write its type as text
+        held = F.struct(*(F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate(extra))).alias(CARRIED)
+        done = stage(spark, docs.select(*(c for c in docs.columns if c in COLUMNS), held), sf_dir)
+        if CARRIED not in done.columns:
+            return done
+        return done.select(*(F.col(CARRIED)[f"c{extra.index(c)}"].alias(c) if c in extra else F.col(c) for c in docs.columns))
     return run_stage
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 STAGES = [("language_id", _ready(language_id)), ("near_dedup", _ready(near_dedup)), ("decontaminate", _ready(decontaminate)),
           ("remove_pii", _ready(remove_pii)), ("pack", _ready(pack))]
 
