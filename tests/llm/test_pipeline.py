@@ -55,3 +55,25 @@ def test_near_dedup_keeps_each_text_of_a_repeated_id_and_one_of_copies_without_i
     assert runs[0] == runs[1]
     want = [(1, say("a")), (1, say("b")), (3, None), (None, say("c"))]
     assert sorted(((r[0], r[1]) for r in runs[0]), key=repr) == sorted(want, key=repr)
+
+
+# working names of the stages and operators, in both cases, and names that have to be quoted
+CLASHING = ["_row", "lang_pred", "Score", "_key", "_HASH", "spans", "_m0", "_G1", "_s2", "component_id", "kept", "least", "idx",
+            "_carried", "c0", "piece", "start", "ids", "a b.c", "tick`s"]
+
+
+def test_extra_columns_of_any_name_come_through_every_stage(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    wide = docs.select(F.struct(F.col("doc_id")).alias("spread"), *docs.columns, *(
+        F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in CLASHING)).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        plain = stage(spark, docs, FOLDER)
+        got = stage(spark, wide, FOLDER)
+        if name == "pack":
+            assert got.columns == plain.columns and got.count() == plain.count()
+            continue
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in plain.collect())
+        for r in rows:
+            assert r["spread"]["doc_id"] == r["doc_id"] and all(r[c] == f"{c}:{r['doc_id']}" for c in CLASHING)
