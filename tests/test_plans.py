@@ -230,17 +230,51 @@ def trustees(plan):
     return {r.path: [(a.type, a.trustee) for a in r.after.aces] for r in plan.collect()}
 
 
-@pytest.mark.parametrize("extra", [0, 1500])
-def test_migration_has_one_plan_for_mappings_of_any_size(spark, extra):
-    objects = listed(spark, {"/a": [("Allow", "a"), ("Deny", "b"), ("Allow", "x")]})
-    more = [(f"s{i}", f"t{i}") for i in range(extra)]
+@pytest.mark.parametrize("extra,most", [(0, 5000), (1500, 5000), (1500, 100), (1500, 1)])
+def test_migration_is_the_same_for_mappings_of_any_size(spark, monkeypatch, extra, most):
+    monkeypatch.setattr(acl, "MOST_MAPPED", most)  # in the row; in the row once unused sources are gone; joined
+    objects = listed(spark, {"/a": [("Allow", "a"), ("Deny", "b"), ("Allow", "x"), ("Allow", None), ("Deny", "a")], "/none": [],
+                             "/p": [("Allow", "ü\"\\,'")]}).repartition(3)
+    odd = [("ü\"\\,'", "{é}\n")]
+    more = [(f"s{i}", f"t{i}") for i in range(extra)] + odd
     table = spark.createDataFrame([("a", "b"), ("b", "c"), (None, "z"), ("x", None), ("a", "b"), *more], "source string, target string")
-    assert trustees(acl.migrate_trustees(objects, table)) == {"/a": [("Allow", "b"), ("Deny", "c"), ("Allow", "x")]}
+    plan = acl.migrate_trustees(objects, table)
+    assert trustees(plan) == {
+        "/a": [("Allow", "b"), ("Deny", "c"), ("Allow", "x"), ("Allow", None), ("Deny", "b")], "/none": [], "/p": [("Allow", "{é}\n")]}
+    assert pairs(plan, "path", "action") == {("/a", "change"), ("/none", "unchanged"), ("/p", "change")}
+    shuffles = plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert (shuffles == 0) == (most > 1)  # no object moves for a mapping in the row
     twice = spark.createDataFrame([("a", "b"), ("a", "c"), *more], "source string, target string")
     with pytest.raises(Exception, match="two targets"):
         acl.migrate_trustees(objects, twice).collect()
 
 
+def test_a_missing_list_stays_missing_in_a_migration(spark, monkeypatch):
+    table = spark.createDataFrame([("a", "b"), ("q", "r")], "source string, target string")
+    rows = listed(spark, {"/a": [("Allow", "a"), ("Deny", "q")]}).unionByName(
+        listed(spark, {"/n": []}).withColumn("acl", F.lit(None).cast(listed(spark, {"/n": []}).schema["acl"].dataType)))
+    for most in (5000, 1):
+        monkeypatch.setattr(acl, "MOST_MAPPED", most)
+        got = {r.path: (r.action, r.after) for r in acl.migrate_trustees(rows, table).collect()}
+        assert got["/n"] == ("unchanged", None) and got["/a"][0] == "change"
+
+
+@pytest.mark.parametrize("sync", [False, True])
+def test_cloning_is_the_same_for_mappings_of_any_size(spark, monkeypatch, sync):
+    held = {"/a": [("Allow", "a"), ("Deny", "b"), ("Allow", "a")], "/b": [("Allow", "z")], "/none": []}
+    objects = listed(spark, held).repartition(3)
+    table = spark.createDataFrame([("a", "n1"), ("a", "n2"), ("b", "n1"), ("a", "n1"), (None, "q"), ("a", None),
+                                   *((f"s{i}", "t") for i in range(50))], "source string, target string")
+    seen = []
+    for most in (5000, 10, 1):  # in the row, in the row once unused sources are gone, joined
+        monkeypatch.setattr(acl, "MOST_MAPPED", most)
+        seen.append(trustees(acl.clone_from_map(objects, table, sync)))
+    assert seen[0] == seen[1] == seen[2] and seen[0]["/b"] == held["/b"] and seen[0]["/none"] == []
+    assert {who for _, who in seen[0]["/a"]} == {"a", "b", "n1", "n2"}
+    nothing = acl.clone_from_map(objects, table.limit(0), sync)
+    assert {r.action for r in nothing.collect()} == {"unchanged"}
+
+
 def test_cloning_never_chains(spark):
     objects = listed(spark, {"/a": [("Allow", "a"), ("Deny", "b")]})
     table = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")

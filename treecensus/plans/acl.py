@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -108,43 +109,108 @@ def _mapping(table: DataFrame) -> DataFrame:
     return found.select("source", F.when(F.col("target") == F.col("_other"), F.col("target")).otherwise(twice).alias("target"))
 
 
+#: Rows of a mapping that may stand in the plan as one value.
+MOST_MAPPED = 5_000
+#: Entries that share a slot of such a value; a map is searched one by one.
+IN_A_SLOT = 4
+
+
+def _used(mapping: DataFrame, objects: DataFrame) -> DataFrame:
+    """The rows of a long mapping whose source is a trustee of some object, found per distinct trustee."""
+    trustees = objects.select(F.explode("acl.aces.trustee").alias("source")).distinct()
+    return mapping.join(trustees, "source", "left_semi")
+
+
+def _in_the_row(mapping: DataFrame, target: str) -> Callable[[Column], Column] | None:
+    """A lookup of ``target`` by source as one constant of the plan; None if the mapping has too many rows.
+
+    At most ``MOST_MAPPED`` rows and one come to the driver.  The constant is a list of small maps, and the
+    hash of a source says which of them has it, so a lookup costs the same for any mapping that fits.
+    """
+    kind = mapping.schema[target].dataType.simpleString()
+    rows = mapping.limit(MOST_MAPPED + 1)
+    n = rows.count()
+    if n > MOST_MAPPED:
+        return None
+    slots = max(1, n // IN_A_SLOT)
+
+    def slot(source: Column) -> Column:
+        return F.pmod(F.xxhash64(source), F.lit(slots)).cast("int")
+
+    held = [{} for _ in range(slots)]
+    for source, value, at in rows.select("source", target, slot(F.col("source"))).collect():
+        held[at][source] = value
+    whole = F.from_json(F.lit(json.dumps(held)), f"array<map<string,{kind}>>")
+    return lambda source: F.try_element_at(F.get(whole, slot(source)), source)
+
+
+def _short(mapping: DataFrame, objects: DataFrame, target: str) -> tuple[Callable[[Column], Column] | None, DataFrame]:
+    """A lookup in the row, if the mapping or what the objects use of it is short enough, and the rows it needs."""
+    found = _in_the_row(mapping, target)
+    if found is None:
+        mapping = settle(_used(mapping, objects), "used")
+        found = _in_the_row(mapping, target)
+    return found, mapping
+
+
 def migrate_trustees(objects: DataFrame, mapping: DataFrame) -> DataFrame:
     """Replace trustees in place; type, flags, rights and order of entries stay.
 
-    A mapping of any size is joined per entry, and the entries are put back in
-    their order; a list is bounded, so the regrouping is as well.  Mapping rows
-    without a source or a target map nothing.
+    A short mapping is a constant that each row looks up, and no object moves.
+    Of a long one only the sources in use count.  If these are too many as well,
+    the entries are joined with them and put back in their order; a list is
+    bounded, so the regrouping is as well.  Mapping rows without a source or a
+    target map nothing.  Paths are unique.
     """
     acl = F.col("acl")
-    entries = objects.select("path", F.posexplode("acl.aces").alias("pos", "ace"))
-    renamed = lookup_join(entries, settle(_mapping(mapping), "mapping"), F.col("ace.trustee"), "source")
-    aces = (renamed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(
-        "pos", F.col("ace").withField("trustee", F.coalesce("target", F.col("ace.trustee"))).alias("ace"))))
-        .alias("_all")).select("path", F.transform("_all", lambda x: x["ace"]).alias("_aces")))
-    rows = objects.join(aces, "path", "left")
-    return _plan(rows, F.when(F.col("_aces").isNotNull(), acl.withField("aces", F.col("_aces"))).otherwise(acl))
+    found, table = _short(settle(_mapping(mapping), "mapping"), objects, "target")
+    if found is not None:
+        aces = F.transform(acl["aces"], lambda a: a.withField("trustee", F.coalesce(found(a["trustee"]), a["trustee"])))
+        return _plan(objects, F.when(F.size(acl["aces"]) > 0, acl.withField("aces", aces)).otherwise(acl))
+    entries = objects.select("path", "acl", F.posexplode_outer("acl.aces").alias("pos", "ace"))
+    renamed = lookup_join(entries, table, F.col("ace.trustee"), "source")
+    entry = F.struct("pos", F.col("ace").withField("trustee", F.coalesce("target", F.col("ace.trustee"))).alias("ace"))
+    # objects without entries have one row without a position, which is not collected
+    rows = renamed.groupBy("path").agg(F.any_value("acl").alias("acl"), F.array_sort(F.collect_list(
+        F.when(F.col("pos").isNotNull(), entry))).alias("_all"))
+    done = acl.withField("aces", F.transform("_all", lambda x: x["ace"]))
+    return _plan(rows, F.when(F.size("_all") > 0, done).otherwise(acl))
+
+
+_PAIRS = "array<struct<source:string,target:string>>"
 
 
 def clone_from_map(objects: DataFrame, mapping: DataFrame, sync: bool = False) -> DataFrame:
     """Bulk form of cloning: every (source, target) row whose source has an entry.
 
-    The rows that matter for an object are found by joining its entries with the
-    mapping.  Copies are taken from the list as it was, so mappings are never
-    chained; a type that a target has by then is left alone.
+    The rows that matter for an object are looked up in the row where the mapping,
+    or what the objects use of it, is short, and are joined with its entries
+    otherwise.  Copies are taken from the list as it was, so mappings are never
+    chained; a type that a target has by then is left alone.  Mapping rows
+    without a source or a target map nothing.
     """
-    entries = objects.select("path", F.explode(F.array_distinct(
-        F.transform("acl.aces", lambda a: a["trustee"]))).alias("trustee"))
-    targets = mapping.groupBy("source").agg(F.collect_set("target").alias("_targets"))
-    pairs = (lookup_join(entries, targets, F.col("trustee"), "source", "inner")
-             .select("path", F.col("trustee").alias("source"), F.explode("_targets").alias("target"))
-             .groupBy("path").agg(F.array_sort(F.collect_list(F.struct("source", "target"))).alias("_pairs")))
-    rows = objects.join(pairs, "path", "left")
+    trustees = F.array_distinct(F.transform("acl.aces", lambda a: a["trustee"]))
+    pairs = settle(mapping.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct(), "mapping")
+    found = None
+    if not pairs.isEmpty():
+        if pairs.limit(MOST_MAPPED + 1).count() > MOST_MAPPED:
+            pairs = settle(_used(pairs, objects), "used")
+        if pairs.limit(MOST_MAPPED + 1).count() <= MOST_MAPPED:
+            found = _in_the_row(pairs.groupBy("source").agg(F.collect_list("target").alias("targets")), "targets")
+    if found is not None:
+        none = F.array().cast(_PAIRS)
+        each = F.transform(trustees, lambda t: F.coalesce(F.transform(
+            found(t), lambda x: F.struct(t.alias("source"), x.alias("target"))), none))
+        rows = objects.withColumn("_pairs", F.array_sort(F.flatten(each)))
+    else:
+        entries = objects.select("path", F.explode(trustees).alias("trustee"))
+        joined = (lookup_join(entries, pairs, F.col("trustee"), "source", "inner")
+                  .groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("trustee").alias("source"), "target"))).alias("_pairs")))
+        rows = objects.join(joined, "path", "left")
     aces = F.aggregate(
-        F.coalesce("_pairs", F.array().cast("array<struct<source:string,target:string>>")),
-        F.col("acl.aces"),
+        F.col("_pairs"), F.col("acl.aces"),
         lambda done, pair: A.clone(pair["source"], pair["target"], sync)(done, F.col("acl.aces")))
-    after = F.when(F.col("_pairs").isNull(), F.col("acl")).otherwise(
-        F.col("acl").withField("aces", A.canonical(aces)))
+    after = F.when(F.coalesce(F.size("_pairs"), F.lit(0)) > 0, F.col("acl").withField("aces", A.canonical(aces))).otherwise(F.col("acl"))
     return _plan(rows, after)
 
 
