@@ -80,3 +80,15 @@ def test_latest_per_path_falls_back_to_older_snapshots(spark):
     rows = [("/a", 1, datetime(2001, 1, 1), 10), ("/a", 2, datetime(2001, 2, 1), 20), ("/b", 1, datetime(2001, 1, 1), 30)]
     found = spark.createDataFrame(rows, "path string, snapshot_id int, snapshot_time timestamp, size bigint")
     assert pairs(S.latest_per_path(found), "path", "size") == {("/a", 20), ("/b", 30)}
+
+
+def test_coverage_is_found_per_directory(spark):
+    objects = ["/a", "/a/b", "/a/b/f", "/a/bc", "/a/bc/g", "/x/y/z", "/top", None]
+    rows = spark.createDataFrame([(p,) for p in objects], "path string")
+    taken = [("/", 1), ("/a", 2), ("/a/", 3), ("/a/b", 4), ("/a/b/f", 5), ("/x/y/z/deeper", 6), ("/a/b", 4), (None, 7), ("/to", 8)]
+    found = S.coverage(rows, spark.createDataFrame(taken, "source string, id long"))
+    want = sorted((p, i) for p in objects if p for s, i in taken if s and (
+        s == "/" or p == s.rstrip("/") or p.startswith(s.rstrip("/") + "/")))
+    assert sorted(map(tuple, found.collect())) == want
+    assert S.coverage(rows, spark.createDataFrame([], "source string, id long")).count() == 0
+    assert S.coverage(rows.limit(0), spark.createDataFrame(taken, "source string, id long")).count() == 0
