@@ -52,6 +52,20 @@ def test_matching_equals_python(spark, mode, case):
             assert row[f"c{i}"] == bool(regex.search(row["n"])), (pattern, row["n"])
 
 
+@pytest.mark.parametrize("mode", [P.AUTO, P.GLOB])
+def test_names_looked_for_in_one_pass_equal_single_tests(spark, mode):
+    names = spark.createDataFrame([(n,) for n in [*NAMES, "\x01", "a.log\x01", "ſ.LOG", "a,b", None]], "n string")
+    globs = [p for p in PATTERNS if mode == P.GLOB or p != "[z-a]x"]
+    sets = [globs[i:i + 3] for i in range(0, len(globs), 2)] + [[g] for g in globs] + [[]]  # overlapping, and over 9 groups
+    shared = P.SharedNames(F.col("n"))
+    one = [shared.matches(s, mode, case).alias(f"x{case:d}_{i}") for case in (True, False) for i, s in enumerate(sets)]
+    each = [P.match_any(F.col("n"), s, mode, case).alias(f"y{case:d}_{i}") for case in (True, False) for i, s in enumerate(sets)]
+    for row in names.withColumns(shared.columns(F.lit(True))).select("n", *one, *each).collect():
+        for c in (0, 1):
+            for i, s in enumerate(sets):
+                assert row[f"x{c}_{i}"] == row[f"y{c}_{i}"], (row["n"], s)
+
+
 @given(st.text(alphabet="ab*?[]!-.x^\\", max_size=8))
 @settings(max_examples=300, deadline=None)
 def test_glob_body_equals_fnmatch(glob):

@@ -1,12 +1,14 @@
 """Filters: null rules, thresholds, scope and pruning."""
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import DIR, LINK, column
+from conftest import DIR, LINK, column, pairs
 from pyspark.sql import functions as F
 
-from treecensus.operators import reports, search as S
+from treecensus.functions import patterns
+from treecensus.operators import presets, reports, search as S
 from treecensus.operators.hierarchy import directory_aggregates, per_directory
 from treecensus.operators.search import Search
 from treecensus.options import OptionError
@@ -137,3 +139,21 @@ def test_filters_reach_the_scan(spark, make, tmp_path):
                  "LessThan(modification_time", "owner"):
         assert test in scan, test
     assert "symlink" not in scan and "ReadSchema: struct<path:string,type:string,size:bigint,owner:string,modification_time:timestamp>" in scan
+
+
+def test_named_searches_equal_one_search_each(spark, make):
+    recent, old = datetime(2025, 12, 30), datetime(2015, 1, 1)
+    names = ["core.1", "x.core", "a.LOG", "b.log", "a.log.1", "README", "~x", "v.mov", "cache.tmp", "proxy_small", "q.exe", "d/", "plain"]
+    rows = make(*((f"/{when.year}{size}/{n}", {"size": size, "access_time": when, "modification_time": when, "creation_time": when})
+                  for n in names for when in (recent, old) for size in (10, 2_000_000_000)))
+    own = {"but": Search(names=("*.log", "^core"), names_not=("*README*", "x*"), names_all=("*o*", "*.*")),
+           "exact": Search(names=("*.log",), case_sensitive=True), "regex": Search(names=(r"\.(log|tmp)$",)),
+           "no_names": Search(type="directory"), "not_only": Search(names_not=("*.*",), type="file")}
+    chosen = presets.PRESETS | own
+    as_of = "2026-01-01T00:00:00Z"
+    found = presets.named_searches(rows, as_of, chosen)
+    want = {(r.path, name) for name, opts in chosen.items() for r in S.search(rows, replace(opts, as_of=as_of)).collect()}
+    assert pairs(found, "path", "category") == want and {c for _, c in want} >= {"core_dumps", "old_logs", *own}
+    plan = presets.named_searches(rows, as_of)._jdf.queryExecution().executedPlan().toString()
+    globs = [p for o in presets.PRESETS.values() for p in o.names if not patterns.reads_as_regex(p, o.pattern_mode)]
+    assert len(globs) > 30 and plan.count("regexp_replace(") <= 1

@@ -144,3 +144,44 @@ def match_any(name: Column, patterns, mode: str = AUTO, case_sensitive: bool = F
     for pattern in patterns:
         hits = hits | match_name(name, pattern, mode, case_sensitive)
     return hits
+
+
+class SharedNames:
+    """Tests of one name by many searches, whose globs are all looked for in one pass.
+
+    ``matches`` stands for ``match_any``.  It refers to columns that ``columns`` makes afterwards, one for
+    globs that mind case and one for those that do not.  A regular expression may count and name its own
+    groups, so it stays a test of its own.
+    """
+
+    #: Put behind a name; a group catches it if the globs of a set match all that stands before.
+    END = "\x01"
+
+    def __init__(self, name: Column, prefix: str = "_names"):
+        self.name, self.prefix = name, prefix
+        self.sets: dict[bool, dict[tuple[str, ...], int]] = {False: {}, True: {}}
+
+    def matches(self, patterns, mode: str = AUTO, case_sensitive: bool = False) -> Column:
+        """Does the name match one of the patterns?"""
+        globs = tuple(dict.fromkeys(p for p in patterns if not reads_as_regex(p, mode)))
+        hit = match_any(self.name, [p for p in patterns if reads_as_regex(p, mode)], mode, case_sensitive)
+        if globs:
+            sets = self.sets[case_sensitive]
+            hit = hit | (F.get(self._column(case_sensitive), F.lit(sets.setdefault(globs, len(sets)))) != "")
+        return hit
+
+    def _column(self, case_sensitive: bool) -> Column:
+        return F.col(f"{self.prefix}_{'exact' if case_sensitive else 'folded'}")
+
+    def columns(self, needed: Column) -> dict[str, Column]:
+        """The columns that the tests made so far refer to; null where no name is needed."""
+        made = {}
+        for case_sensitive, sets in self.sets.items():
+            if not sets:
+                continue
+            end = f"({quote(self.END)})\\z"
+            each = "".join(f"(?=(?:{'|'.join(map(glob_body, globs))}){end}|)" for globs in sets)
+            found = F.regexp_replace(F.concat(self.name, F.lit(self.END)), f"(?s{'' if case_sensitive else 'iu'})\\A{each}.*\\z",
+                                     ",".join(f"${i + 1}" for i in range(len(sets))))
+            made[f"{self.prefix}_{'exact' if case_sensitive else 'folded'}"] = F.when(needed, F.split(found, ","))
+        return made

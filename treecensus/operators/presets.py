@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from treecensus.functions.patterns import GLOB
+from treecensus.functions import paths
+from treecensus.functions.patterns import GLOB, SharedNames
 from treecensus.operators.reports import categories
 from treecensus.operators.search import Search, predicate
 
@@ -40,6 +41,16 @@ PRESETS = {
 
 
 def named_searches(entries: DataFrame, as_of, presets=PRESETS) -> DataFrame:
-    """(path, category) for every preset an object matches, in one scan."""
-    return categories(entries, {
-        name: predicate(entries, replace(opts, as_of=as_of)) for name, opts in presets.items()})
+    """(path, category) for every preset an object matches, in one scan.
+
+    The globs of all presets are one pass over a name, and only over names of
+    objects that some preset with names would take for all its other tests.
+    """
+    names = SharedNames(paths.basename(F.col("path")))
+    searches = {name: replace(opts, as_of=as_of) for name, opts in presets.items()}
+    tests = {name: predicate(entries, opts, names.matches) for name, opts in searches.items()}
+    needed = F.lit(False)
+    for opts in searches.values():
+        if opts.names or opts.names_not or opts.names_all:
+            needed = needed | predicate(entries, replace(opts, names=(), names_not=(), names_all=()))
+    return categories(entries.withColumns(names.columns(needed)), tests)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -56,14 +57,15 @@ def _all(parts: list[Column]) -> Column:
     return kept
 
 
-def name_test(opts: Search, name: Column) -> list[Column]:
+def name_test(opts: Search, name: Column, match: Callable[..., Column] | None = None) -> list[Column]:
+    match = match or partial(patterns.match_any, name)
     mode, case = opts.pattern_mode, opts.case_sensitive
     tests = []
     if opts.names_not:
-        tests.append(~patterns.match_any(name, opts.names_not, mode, case))
+        tests.append(~match(opts.names_not, mode, case))
     if opts.names:
-        tests.append(patterns.match_any(name, opts.names, mode, case))
-    tests += [patterns.match_name(name, p, mode, case) for p in opts.names_all]
+        tests.append(match(opts.names, mode, case))
+    tests += [match((p,), mode, case) for p in opts.names_all]
     return tests
 
 
@@ -115,8 +117,8 @@ def omitted(opts: Search, path: Column, kind: Column) -> list[Column]:
     return tests
 
 
-def predicate(entries: DataFrame, opts: Search) -> Column:
-    """The search as one expression over an inventory table."""
+def predicate(entries: DataFrame, opts: Search, match: Callable[..., Column] | None = None) -> Column:
+    """The search as one expression over an inventory table; ``match`` may test names in another way than one by one."""
     path, kind = F.col("path"), F.col("type")
     # one moment for all ages of a search: now, if none is given
     as_of = times.utc(opts.as_of or datetime.now(timezone.utc))
@@ -131,7 +133,7 @@ def predicate(entries: DataFrame, opts: Search) -> Column:
         tests.append(kind == C.TYPE_WORDS[opts.type])
     if opts.file_only:
         tests.append(kind != C.DIRECTORY)
-    tests += name_test(opts, paths.basename(path))
+    tests += name_test(opts, paths.basename(path), match)
     tests += size_test(opts, F.col("size"), pick(entries, "metablocks"))
     if opts.older_than or opts.newer_than:
         tests += age_test(F.col(opts.time_field), as_of, opts.older_than, opts.newer_than)
