@@ -1,6 +1,7 @@
 """Streams end with the result of the batch form."""
 
 import json
+from datetime import datetime, timedelta
 
 from conftest import ENTRY, column, pairs
 
@@ -137,3 +138,38 @@ def test_a_run_rewrites_only_the_buckets_it_touches(spark, tmp_path):
 def test_the_shared_folder_is_the_sessions(spark):
     base = workspace.base(spark)
     assert workspace.folder(spark, "x").startswith(base + "/treecensus/x-") and base == workspace.base(spark)
+
+
+def test_rows_after_their_window_closed_are_kept_aside(spark, make, tmp_path):
+    where, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    day = lambda n: datetime(1970, 1, 1) + timedelta(days=n)
+    # windows of 10 days, and 5 days' grace; each list is one batch
+    batches = [[("/a", 1), ("/b", 12)], [("/c", 9), ("/d", 26)], [("/e", 3), ("/f", 14), ("/g", 27)], [("/h", 19), ("/i", None), ("/j", 20)]]
+    want, late, seen = {}, set(), None
+    for n, batch in enumerate(batches):
+        rows = make(*((p, {"creation_time": None if at is None else day(at), "size": n + 1}) for p, at in batch))
+        rows.coalesce(1).write.mode("append").parquet(where)
+        stream = spark.readStream.schema(ENTRY).parquet(where)
+        found = jobs.growth_with_late(spark, stream, days=10, late=5, target=out, checkpoint=mark)
+        for p, at in batch:
+            begin = None if at is None else at // 10 * 10
+            if at is None or (seen is not None and begin + 10 <= seen - 5):
+                late.add(p)
+            else:
+                files, size = want.get(begin, (0, 0))
+                want[begin] = (files + 1, size + n + 1)
+        seen = max([seen or 0, *(at for _, at in batch if at is not None)])
+        got = {r.window_start // 86400: (r.files, r.bytes) for r in found.windows.collect()}
+        assert got == want and set(column(found.late)) == late
+        closed = {r.window_start // 86400 for r in found.windows.where("closed").collect()}
+        assert closed == {b for b in want if b + 10 <= seen - 5}
+    assert late == {"/e", "/f", "/h", "/i"} and closed == {0, 10}
+    again = jobs.growth_with_late(spark, spark.readStream.schema(ENTRY).parquet(where), days=10, late=5, target=out, checkpoint=mark)
+    assert {r.window_start // 86400: (r.files, r.bytes) for r in again.windows.collect()} == want
+
+
+def test_growth_of_nothing(spark, tmp_path):
+    where = str(tmp_path / "in")
+    spark.createDataFrame([], ENTRY).write.parquet(where)
+    found = jobs.growth_with_late(spark, spark.readStream.schema(ENTRY).parquet(where))
+    assert found.windows.count() == 0 and found.late.count() == 0

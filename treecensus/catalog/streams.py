@@ -113,6 +113,18 @@ def stream_growth(d: Data) -> DataFrame:
     return jobs.latest_state(d.spark, jobs.growth(files, late="4000 days"), ["window_start"], "growth")
 
 
+@query("stream_growth_late", """
+SELECT CAST(floor(epoch(creation_time) / 2592000) AS BIGINT) * 2592000 AS window_start, count(*) AS files,
+  CAST(sum(size) AS BIGINT) AS bytes FROM fx_files GROUP BY 1""")
+def stream_growth_late(d: Data) -> DataFrame:
+    # what is late depends on the order of the pages; windows and late rows together are all rows
+    found = jobs.growth_with_late(d.spark, jobs.filtered(_pages(d), Search(file_only=True)), late=60)
+    late = found.late.select((F.floor(F.unix_seconds("creation_time") / 2592000) * 2592000).cast("bigint").alias("window_start"),
+                             F.lit(1).cast("bigint").alias("files"), "size")
+    rows = found.windows.select("window_start", "files", "bytes").unionByName(late.withColumnRenamed("size", "bytes"))
+    return rows.groupBy("window_start").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+
+
 @query("custom_sink", _PER_TOP.format(rows="fx_files"))
 def custom_sink(d: Data) -> DataFrame:
     # the caller's own sink: a function that gets every batch

@@ -8,8 +8,10 @@ both are new folders below the shared one.
 
 from __future__ import annotations
 
+import math
 import threading
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -212,3 +214,52 @@ def growth(stream: DataFrame, days: int = 30, late: str = "30 days", time: str =
     return (stream.withWatermark(time, late).groupBy(F.window(time, f"{days} days").alias("_w"))
             .agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
             .select(F.unix_seconds("_w.start").alias("window_start"), "files", "bytes"))
+
+
+class Growth(NamedTuple):
+    """Windows with their sums and whether they are closed; the rows that came after their window was closed."""
+    windows: DataFrame
+    late: DataFrame
+
+
+#: Sums of one batch; ``seen`` is the latest moment among the rows, in microseconds.
+SUMS = (T.StructType().add("window_start", T.LongType()).add("is_late", T.BooleanType()).add("files", T.LongType())
+        .add("bytes", T.LongType()).add("seen", T.LongType()))
+
+
+def growth_with_late(spark: SparkSession, stream: DataFrame, days: int = 30, late: float = 30, time: str = "creation_time",
+                     target: str | None = None, checkpoint: str | None = None) -> Growth:
+    """Objects and bytes per window as in ``growth``, with the rows that Spark would drop as a table of their own.
+
+    The watermark of a batch is the latest moment of all batches before it,
+    less ``late`` days.  A window is closed once its end is not after the
+    watermark; its sums never change again, and a row that comes for it later
+    goes to the side table.  So do rows without a time.  The watermark follows
+    from the stored sums of earlier batches alone, so a batch that is repeated
+    after a loss is split as it was.  With the same ``target`` and
+    ``checkpoint`` a later run goes on where this one ended.
+    """
+    where, span = target or folder(spark, "growth"), days * 86400
+    start = (F.floor(F.unix_seconds(time) / span) * span).cast("bigint")
+    schema = stream.schema
+
+    def closes_at(before: int | None) -> int | None:
+        """Seconds up to which windows are closed by the batches before one, or by all."""
+        sums = _stored(spark, SUMS, f"{where}/sums")
+        seen = (sums if before is None else sums.where(F.col("batch") < before)).agg(F.max("seen")).first()[0]
+        return None if seen is None else math.floor(seen / 1e6 - late * 86400)
+
+    def write(batch: DataFrame, number: int) -> None:
+        closed = F.coalesce(start + span <= F.lit(closes_at(number)).cast("bigint"), F.lit(False)) | F.col(time).isNull()
+        (batch.groupBy(start.alias("window_start"), closed.alias("is_late"))
+         .agg(F.count("*").alias("files"), F.sum("size").cast("bigint").alias("bytes"), F.max(F.unix_micros(time)).alias("seen"))
+         .write.mode("overwrite").parquet(f"{where}/sums/batch={number}"))
+        # written even if it has no rows, so that a repeated batch replaces what it left
+        batch.where(closed).write.mode("overwrite").parquet(f"{where}/late/batch={number}")
+
+    run_batches(stream, checkpoint or folder(spark, "growth-state"), write, mode="append")
+    end = F.lit(closes_at(None)).cast("bigint")
+    windows = (_stored(spark, SUMS, f"{where}/sums").where("NOT is_late").groupBy("window_start")
+               .agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+               .withColumn("closed", F.coalesce(F.col("window_start") + span <= end, F.lit(False))))
+    return Growth(windows, _stored(spark, schema, f"{where}/late").drop("batch"))
