@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from conftest import column, pairs
 from pyspark.sql import functions as F
 
-from treecensus.operators import snapshots as S
+from treecensus.operators import joins, snapshots as S
 
 ROWS = "path string, type string, size bigint"
 DIMENSION = "id int, ts timestamp, name string, source string, in_deletion boolean"
@@ -82,7 +83,10 @@ def test_latest_per_path_falls_back_to_older_snapshots(spark):
     assert pairs(S.latest_per_path(found), "path", "size") == {("/a", 20), ("/b", 30)}
 
 
-def test_coverage_is_found_per_directory(spark):
+@pytest.mark.parametrize("most", [500_000, 1])
+def test_coverage_in_place_and_per_directory(spark, monkeypatch, most):
+    for module in (joins, S):
+        monkeypatch.setattr(module, "fits_broadcast", lambda table: most > 1)
     objects = ["/a", "/a/b", "/a/b/f", "/a/bc", "/a/bc/g", "/x/y/z", "/top", None]
     rows = spark.createDataFrame([(p,) for p in objects], "path string")
     taken = [("/", 1), ("/a", 2), ("/a/", 3), ("/a/b", 4), ("/a/b/f", 5), ("/x/y/z/deeper", 6), ("/a/b", 4), (None, 7), ("/to", 8)]

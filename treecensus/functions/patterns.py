@@ -146,6 +146,13 @@ def match_any(name: Column, patterns, mode: str = AUTO, case_sensitive: bool = F
     return hits
 
 
+def _any_of(globs) -> str:
+    """Java regex for any of some globs; those that begin with a star share it, so a name is gone through once for them."""
+    bodies = [glob_body(g) for g in globs]
+    open_, rest = [b[2:] for b in bodies if b.startswith(".*")], [b for b in bodies if not b.startswith(".*")]
+    return "|".join([*rest, *([f".*(?:{'|'.join(open_)})"] if open_ else [])])
+
+
 class SharedNames:
     """Tests of one name by many searches, whose globs are all looked for in one pass.
 
@@ -180,7 +187,7 @@ class SharedNames:
             if not sets:
                 continue
             end = f"({quote(self.END)})\\z"
-            each = "".join(f"(?=(?:{'|'.join(map(glob_body, globs))}){end}|)" for globs in sets)
+            each = "".join(f"(?=(?:{_any_of(globs)}){end}|)" for globs in sets)
             found = F.regexp_replace(F.concat(self.name, F.lit(self.END)), f"(?s{'' if case_sensitive else 'iu'})\\A{each}.*\\z",
                                      ",".join(f"${i + 1}" for i in range(len(sets))))
             made[f"{self.prefix}_{'exact' if case_sensitive else 'folded'}"] = F.when(needed, F.split(found, ","))

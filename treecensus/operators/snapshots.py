@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from treecensus import constants as C
 from treecensus.functions import paths, times
-from treecensus.operators.joins import above, lookup_join, nearest_above
+from treecensus.operators.joins import above, fits_broadcast, lookup_join, nearest_above
 from treecensus.options import duration
 from treecensus.workspace import settle
 
@@ -45,17 +45,24 @@ def covers(source: Column, path: str) -> Column:
 def coverage(objects: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(path, snapshot_id): the snapshots each path can be searched or restored from.
 
-    The sources above an object are those above its directory, which are found
-    once for each directory, and the object itself where it is a source.  So
-    objects are never repeated for ancestors that no snapshot was taken of.
-    Trailing slashes of a source do not matter; rows without a path or a source
-    are covered by nothing.
+    While the snapshots fit into a broadcast, each object looks its ancestors up
+    where it is, and nothing is shuffled.  Beyond that the sources above an
+    object are found once for each directory, and the object itself is looked
+    up, so objects are never shuffled for ancestors that no snapshot was taken
+    of.  Trailing slashes of a source do not matter; rows without a path or a
+    source are covered by nothing.
     """
     bare = paths.clean(F.col("source"))
     dimension = settle(snapshots.where("source IS NOT NULL").select(
         F.when(bare == "", F.lit("/")).otherwise(bare).alias("source"), F.col("id").alias("snapshot_id")), "sources")
+    objects = objects.where("path IS NOT NULL").select("path")
+    if fits_broadcast(dimension):
+        chain = objects.select("path", F.explode(
+            F.concat(F.array(F.lit("/")), paths.ancestors_or_self(F.col("path")))).alias("_over"))
+        small = F.broadcast(dimension)
+        return chain.join(small, F.col("_over") == F.col("source")).select("path", "snapshot_id")
     sources = settle(dimension.select("source", F.col("source").alias("_own")).distinct(), "distinct-sources")
-    rows = above(objects.where("path IS NOT NULL").select("path"), sources, "source", F.collect_list("_own"), "_over")
+    rows = above(objects, sources, "source", F.collect_list("_own"), "_over")
     own = lookup_join(rows, sources, paths.clean(F.col("path")), "source")
     over = F.concat(F.coalesce("_over", F.array().cast("array<string>")), F.array_compact(F.array("_own")))
     chain = own.select("path", F.explode(over).alias("_source"))
