@@ -108,10 +108,16 @@ def _bare(directories: DataFrame, key: str) -> DataFrame:
     return directories.select(F.when(F.length(bare) > 0, bare).otherwise(F.lit("/")).alias("_wanted")).distinct()
 
 
+def mark_beneath(rows: DataFrame, directories: DataFrame, name: str, key: str = "path",
+                 path: str = "path", home: Column | None = None) -> DataFrame:
+    """All rows, with a column that is true below one of the directories and null elsewhere."""
+    return above(rows, _bare(directories, key), "_wanted", F.lit(True), name, path, home)
+
+
 def beneath(rows: DataFrame, directories: DataFrame, key: str = "path", how: str = "semi",
             path: str = "path", home: Column | None = None) -> DataFrame:
     """Rows that lie below one of the directories (semi) or below none (anti)."""
-    marked = above(rows, _bare(directories, key), "_wanted", F.lit(True), "_below", path, home)
+    marked = mark_beneath(rows, directories, "_below", key, path, home)
     hit = F.col("_below").isNotNull()
     return marked.where(hit if how == "semi" else ~hit).drop("_below")
 

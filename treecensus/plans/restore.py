@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from treecensus import constants as C
 from treecensus.functions import paths
-from treecensus.operators.joins import beneath
+from treecensus.operators.joins import mark_beneath
 from treecensus.functions.rename import with_suffix
 
 
@@ -26,8 +26,7 @@ def restore_plan(saved: DataFrame, live: DataFrame, on_conflict: str = "skip", s
     conflict = {"skip": "skip_exists", "clobber": "overwrite", "rename": "rename_on_conflict"}[on_conflict]
     blocked = (saved.where(folder).select("path")
                .join(live.where(F.col("type") != C.DIRECTORY).select("path"), "path", "left_semi"))
-    inside = beneath(joined, blocked, "path").select("path", F.lit(True).alias("_inside"))
-    joined = joined.join(inside, "path", "left")
+    joined = mark_beneath(joined, blocked, "_inside")
     stuck = F.col("_inside").isNotNull() | (folder & exists & (F.col("_live") != C.DIRECTORY))
     action = (F.when(stuck, "conflict").when(~exists, "recreate").when(folder, "merge")
               .when((F.col("_live") == C.DIRECTORY) & F.lit(on_conflict == "clobber"), "skip_exists")
