@@ -348,18 +348,79 @@ def test_quality(spark, documents, none):
     assert quality.fit(none, marks) is None and quality.score(none, None).count() == 0
 
 
-def test_quality_learns_from_ids_and_not_from_their_copies(spark, monkeypatch):
+def test_quality_learns_from_ids_and_not_from_their_copies(spark):
     importable(spark)
     rows = [(i, f"text {i}", "en", "s", 6) for i in range(40)] + [(0, f"copy {i % 3}", "en", "s", 6) for i in range(500)]
     rows += [(None, "no id", "en", "s", 5)] * 30
     table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
     marks = spark.createDataFrame([(i, int(i % 4 > 1)) for i in range(20)], "doc_id bigint, quality int")
-    taken = []
-    monkeypatch.setattr(quality, "co_train", lambda *parts: taken.append(parts))
-    for labelled, pool in ((20, 20), (16, 7), (16, 7)):
-        quality.fit(table, marks, labelled, pool)
-        assert (len(taken[-1][0]), len(taken[-1][3])) == (labelled, pool)
-    assert all(np.array_equal(a, b) for a, b in zip(*taken[-2:]))
+    seen = settle(quality.views(table), "views")
+    for labelled in (20, 16):
+        taken = []
+        for again in range(2):
+            sample, rest = quality.split(seen, marks, labelled)
+            got = sample.toPandas()
+            assert len(got) == got.doc_id.nunique() == labelled
+            taken.append(got.sort_values("doc_id")[["doc_id", "h"]].values.tolist())
+            # rows outside the sample, equal ones once: other ids, the row without one, and copies under 0 unless 0 is in the sample
+            assert rest.count() == 40 - labelled + 1 + (0 if 0 in set(got.doc_id) else 3)
+        assert taken[0] == taken[1]
+
+
+def quality_pages(count, labelled, seed=3):
+    """Pages whose words tell their quality, half of the bad ones from a source of their own; a part is labelled."""
+    draw, rows = random.Random(seed), []
+    for i in range(count):
+        good = draw.random() < 0.8
+        words = draw.choices([f"good{k}" for k in range(60)] if good else [f"bad{k}" for k in range(60)], k=12)
+        words += draw.choices([f"word{k}" for k in range(200)], k=20)
+        rows.append((i, " ".join(words) + ("." if good else "\n" * 9), "en", "farm" if not good and draw.random() < 0.5 else "web", 200))
+    return rows, [(i, int("good" in rows[i][1])) for i in range(0, count, count // labelled)]
+
+
+def test_quality_on_rows_it_has_not_learnt_from(spark):
+    rows, labels = quality_pages(1500, 100)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = quality.judge(table, spark.createDataFrame(labels, "doc_id bigint, quality int")).toPandas()
+    new = got[~got.doc_id.isin([i for i, _ in labels])]
+    truth = np.array(["good" in rows[i][1] for i in new.doc_id])
+    right = {c: ((new[c] >= 0.5) == truth).mean() for c in ("p_text", "p_meta", "score")}
+    assert len(got) == 1500 and right["score"] >= max(right["p_text"], right["p_meta"]) - 0.005 and right["score"] > 0.98
+    assert ((new.score >= 0.5) == truth)[~truth].mean() > 0.95
+
+
+def test_pseudo_labels_come_from_all_rows_and_equal_plain_sums(spark):
+    rows, labels = quality_pages(700, 70)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    seen = settle(quality.views(table), "views")
+    sample, rest = quality.split(seen, spark.createDataFrame(labels, "doc_id bigint, quality int"))
+    known, pool = sample.orderBy("doc_id").toArrow(), settle(rest, "pool")
+    good = np.array(known["quality"].to_pylist())
+    models = [quality.ratio(quality.summed(known, good, v), 0, np.bincount(good), np.zeros(2)) for v in ("text", "meta")]
+    plain = pool.toArrow().combine_chunks().to_batches()[0]
+    steps = [quality.stepped(o) for o in quality.odds_of(plain, *models)]
+    counts = quality.steps_of(pool, *models)
+    assert counts == [dict(zip(*map(np.ndarray.tolist, np.unique(s, return_counts=True)))) for s in steps]
+    limits = [quality.thresholds(c, 0.4, 0.8) for c in counts]
+    n = plain.num_rows
+    reached = [((s <= low).sum(), (s >= high).sum(), (s < 0).sum(), (s > 0).sum()) for s, (low, high) in zip(steps, limits)]
+    for low, high, below, above in reached:
+        assert n > 600 and low >= min(0.08 * n, below) and high >= min(0.32 * n, above), reached
+    for told, view, by in zip(quality.told_by(pool, *models, limits), ("text", "meta"), (1, 0)):
+        up, sure = (steps[by] >= limits[by][1]).astype(int), (steps[by] <= limits[by][0]) | (steps[by] >= limits[by][1])
+        assert told.rows.tolist() == np.bincount(up[sure], minlength=2).tolist()
+        expected = np.zeros_like(getattr(told, view))
+        for row, u, s in zip(plain.to_pylist(), up, sure):
+            for k, at in enumerate(row[f"{view}_at"] if s else ()):
+                expected[u, at] += row["text_value"][k] if view == "text" else quality.UNIT
+        assert np.array_equal(getattr(told, view), expected)
+
+
+def test_thresholds():
+    assert quality.thresholds({-5: 2, -3: 2, -1: 6, 2: 6, 4: 4}, 0.5, 0.5) == (-1, 2)
+    assert quality.thresholds({-5: 2, -3: 2, -1: 6, 2: 6, 4: 4}, 0.2, 0.5) == (-5, 4)
+    edge = quality.REACH * quality.STEP + 1
+    assert quality.thresholds({}, 0.5, 0.5) == (-edge, edge) and quality.thresholds({0: 9}, 0.5, 0.5) == (-edge, edge)
 
 
 def test_quality_sees_every_character_of_a_text_without_spaces():

@@ -1,19 +1,30 @@
 """Operator 4, quality by co-training: two views of a page teach each other.
 
 The text view sees what a document says (hashed words, word shapes, repetition); the metadata
-view sees what is known about the page (source, language, length, lines).  Each starts from the
-labelled rows.  In every round a classifier of each view marks the unlabelled rows it is surest
-of, and those pseudo-labels go to the other view.  Then both are calibrated on labelled rows that
-neither has learnt from (a logistic scale for each), and their log-odds are combined by a logistic
-regression on the same rows.
-
-Fitting uses a bounded sample, taken by hash: ``labelled`` labelled and ``pool`` unlabelled ids, and
-of the rows of a repeated id the one with the smallest hash.
-Every document is scored, on its whole text.
+view sees what is known about the page (source, language, length, layout of its lines).  Each starts
+from the labelled rows.  In every round a classifier of each view scores all other rows; those it
+is surest of become pseudo-labels for the other view, a share of all rows that grows by ``share`` a
+round.  Then both are calibrated on labelled rows that neither has learnt from (a logistic scale for
+each), and combined by whichever explains those rows best across folds: a logistic regression on
+both log-odds, or one view alone.
+
+A classifier is the log ratio of its features' smoothed shares in both classes, so all it needs of
+the rows are sums, and Spark makes these: views are computed once and written, a round reads them
+twice (counts of rounded log-odds, from which the thresholds follow, and sums of features beyond the
+thresholds).  No pseudo-labelled row reaches the driver, and sums are of integers, so their order
+does not matter.  The sums of pseudo-labelled rows weigh at most as much as those of labelled ones,
+whatever the size of the table.
+
+Only the labelled sample is bounded: ``labelled`` ids, taken by hash, and of the rows of a repeated id
+the one with the smallest hash.  All rows outside it are unlabelled, without or with a doc_id, and
+those with equal views count once, so copies teach no more than one row.  Every document is scored,
+on its whole text; nulls in any column are facts of their own, and a null text is an empty one.
+Without labels of both kinds there is no model: scores are null and everything is kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,12 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from treecensus.llm.common import pieces_of
+from treecensus.llm.common import pieces_of, settle
 
-LABELLED, POOL = 4000, 4000
+LABELLED = 4000
 TEXT, META = 2048, 512
 LONG, GRAM = 32, 3
 ROUNDS, SHARE = 4, 0.05
+UNIT = 4096  # a feature of weight 1
+STEP, REACH = 64, 64  # log-odds are counted in steps of 1/64 up to 64
+SMOOTH = 0.1
 SHAPE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "A" * 26 + "a" * 26 + "0" * 10)
 
 
@@ -67,9 +81,14 @@ def text_view(text: str | None) -> dict[int, float]:
 
 def meta_view(source: str | None, lang: str | None, n_chars: int | None, text: str | None) -> dict[int, float]:
     """What is known about a page: where it is from, its language, how long it is and how it is laid out."""
-    lines, size = (text or "").count("\n") + 1, max(n_chars or 0, 0)
+    text = text or ""
+    rows, size = text.split("\n"), max(n_chars or 0, 0)
+    lines, filled = len(rows), [r.rstrip() for r in rows if r.strip()]
+    ended = sum(r[-1] in ".!?\u3002" for r in filled)
     facts = (f"source {source}", f"lang {lang}", f"size {int(4 * np.log2(size + 1))}", f"lines {int(2 * np.log2(lines))}",
-             f"line {int(2 * np.log2(size / lines + 1))}", f"lang {lang} size {int(np.log2(size + 1))}")
+             f"line {int(2 * np.log2(size / lines + 1))}", f"lang {lang} size {int(np.log2(size + 1))}",
+             f"ended {round(5 * ended / max(len(filled), 1))}", f"blank {round(5 * (lines - len(filled)) / lines)}",
+             f"spaces {round(25 * sum(map(text.count, ' \t')) / max(len(text), 1))}")
     return {place(fact, META): 1.0 for fact in facts}
 
 
@@ -115,101 +134,239 @@ class Model:
     mix: Linear
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated probabilities of the text view, of the metadata view, and of both together."""
-        odds = np.stack([s.odds(v.odds(x)[:, None]) for s, v, x in zip(self.scales, (self.text, self.meta), (text, meta))], axis=1)
-        p = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return p(odds[:, 0]), p(odds[:, 1]), p(self.mix.odds(odds))
+        """Calibrated probabilities of the text view, of the metadata view, and of both together, from both log-odds."""
+        odds = np.stack([s.odds(v[:, None]) for s, v in zip(self.scales, (text, meta))], axis=1)
+        return likely(odds[:, 0]), likely(odds[:, 1]), likely(self.mix.odds(odds))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
-             rounds: int = ROUNDS, share: float = SHARE) -> Model:
+def likely(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+@dataclass
+class Sums:
+    """Rows of both classes (bad, good) and, of each view, the sums of their features."""
+    rows: np.ndarray
+    text: np.ndarray
+    meta: np.ndarray
+
+    @classmethod
+    def none(cls) -> Sums:
+        return cls(np.zeros(2), np.zeros((2, TEXT)), np.zeros((2, META)))
+
+
+def ratio(own: np.ndarray, told: np.ndarray, own_rows: np.ndarray, told_rows: np.ndarray) -> Linear:
+    """The log ratio of features' shares in good and bad rows; told rows of a class weigh at most as much as its own."""
+    weigh = np.minimum(1, own_rows / np.maximum(told_rows, 1))[:, None]
+    both = (own + told * weigh) / UNIT + SMOOTH
+    shares = np.log(both / both.sum(axis=1, keepdims=True))
+    return Linear(shares[1] - shares[0], 0.0)
+
+
+def thresholds(counts: dict[int, int], share: float, good: float) -> tuple[int, int]:
+    """Steps up to which a row is surely bad, and from which it is surely good, for ``share`` of all rows."""
+    total, low, high = sum(counts.values()), -REACH * STEP - 1, REACH * STEP + 1
+    for wanted, steps, side in ((share * (1 - good), sorted(k for k in counts if k < 0), 0),
+                                (share * good, sorted((k for k in counts if k > 0), reverse=True), 1)):
+        taken = 0
+        for k in steps:
+            if taken >= wanted * total:
+                break
+            taken += counts[k]  # rows of one step go together
+            low, high = (k, high) if side == 0 else (low, k)
+    return low, high
+
+
+def best_mix(odds: np.ndarray, y: np.ndarray, folds: int = 5) -> Linear:
+    """Both views by logistic regression, or one alone: whichever has the least log-loss on rows it was not fitted on."""
+    part = np.arange(len(y)) % folds
+    loss = lambda m, x, t: float(-np.log(np.where(t, likely(m.odds(x)), 1 - likely(m.odds(x)))).sum())
+    fitted = lambda x, t: logistic(x, t, decay=1e-4, even=False, steps=400)
+    alone = [Linear(np.array(w), 0.0) for w in ((1.0, 0.0), (0.0, 1.0))]
+    tried = [(loss(m, odds, y), m) for m in alone]
+    together = sum(loss(fitted(odds[part != k], y[part != k]), odds[part == k], y[part == k]) for k in set(part.tolist()))
+    return min([*tried, (together, fitted(odds, y))], key=lambda found: found[0])[1]
+
+
+def weighed(at: pa.Array, weights: np.ndarray, value: pa.Array | None = None) -> np.ndarray:
+    """For each row of a list column, the sum of its features' weights (times their values)."""
+    each = weights[at.flatten().to_numpy()]
+    if value is not None:
+        each = each * (value.flatten().to_numpy() / UNIT)
+    return np.bincount(np.repeat(np.arange(len(at)), at.value_lengths().to_numpy()), each, len(at))
+
+
+def odds_of(batch: pa.RecordBatch, text: Linear, meta: Linear) -> tuple[np.ndarray, np.ndarray]:
+    return (weighed(batch.column("text_at"), text.weights, batch.column("text_value")),
+            weighed(batch.column("meta_at"), meta.weights))
+
+
+def stepped(odds: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(odds * STEP), -REACH * STEP, REACH * STEP).astype(np.int64)
+
+
+def summed(rows: pa.RecordBatch | pa.Table, good: np.ndarray, view: str, chosen: np.ndarray | None = None) -> np.ndarray:
+    """Sums of a view's features over rows of both classes (of the chosen rows)."""
+    size = TEXT if view == "text" else META
+    at = rows.column(f"{view}_at")
+    at = at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at
+    lengths, flat = at.value_lengths().to_numpy(), at.flatten().to_numpy().astype(np.int64)
+    value = np.full(len(flat), UNIT)
+    if view == "text":
+        held = rows.column("text_value")
+        value = (held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held).flatten().to_numpy()
+    use = np.repeat(np.ones(len(at), bool) if chosen is None else chosen, lengths)
+    places = flat[use] + size * np.repeat(good, lengths)[use]
+    return np.bincount(places, value[use], 2 * size).reshape(2, size)
+
+
+def steps_of(pool: DataFrame, text: Linear, meta: Linear) -> list[dict[int, int]]:
+    """Of each view, how many rows of the pool have which rounded log-odds."""
+    shared = pool.sparkSession.sparkContext.broadcast((text, meta))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for own, odds in zip(found, odds_of(batch, *shared.value)):
+                own.update(dict(zip(*(a.tolist() for a in np.unique(stepped(odds), return_counts=True)))))
+        rows = [(view, step, n) for view, own in enumerate(found) for step, n in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (
+            pa.int32(), pa.int32(), pa.int64()))], ["view", "step", "n"])
+
+    counts = pool.mapInArrow(count, "view int, step int, n bigint").groupBy("view", "step").agg(F.sum("n").alias("n"))
+    out: list[dict[int, int]] = [{}, {}]
+    for view, step, n in counts.collect():  # two views of 2 * REACH * STEP + 1 steps at most
+        out[view][step] = n
+    return out
+
+
+def told_by(pool: DataFrame, text: Linear, meta: Linear, limits: list[tuple[int, int]]) -> tuple[Sums, Sums]:
+    """What each view tells the other: sums of the other view's features over the rows beyond its thresholds.
+
+    The first result is for the text view (told by the metadata view), the second for the metadata view.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast((text, meta, limits))
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *models, bounds = shared.value
+        totals = {"text": np.zeros(2 * TEXT + 2), "meta": np.zeros(2 * META + 2)}
+        for batch in batches:
+            odds = odds_of(batch, *models)
+            for view, by in (("text", 1), ("meta", 0)):
+                step, (low, high) = stepped(odds[by]), bounds[by]
+                good = (step >= high).astype(np.int64)
+                sure = (step <= low) | (step >= high)
+                totals[view] += np.concatenate([summed(batch, good, view, sure).ravel(), np.bincount(good[sure], minlength=2)])
+        for view, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([view] * len(at), pa.string()), pa.array(at, pa.int32()),
+                                              pa.array(total[at].astype(np.int64))], ["view", "place", "n"])
+
+    sums = pool.mapInArrow(collect, "view string, place int, n bigint").groupBy("view", "place").agg(F.sum("n").alias("n"))
+    flat = {"text": np.zeros(2 * TEXT + 2), "meta": np.zeros(2 * META + 2)}
+    for view, at, n in sums.collect():  # 2 * (TEXT + META) + 4 rows at most
+        flat[view][at] = n
+    out = Sums.none(), Sums.none()
+    for told, view, size in ((out[0], "text", TEXT), (out[1], "meta", META)):
+        told.rows[:] = flat[view][2 * size:]
+        getattr(told, view)[:] = flat[view][:2 * size].reshape(2, size)
+    return out
+
+
+def co_train(known: pa.Table, y: np.ndarray, pool: DataFrame, rounds: int = ROUNDS, share: float = SHARE) -> Model:
     """Both views over some rounds of exchanged pseudo-labels; every fourth labelled row is for calibration."""
     aside = np.arange(len(y)) % 4 == 3
-    views, pools = (text[~aside], meta[~aside]), (pool_text, pool_meta)
-    given: list[dict[int, bool]] = [{}, {}]  # what each view was told about the pool by the other
-    fitted: list[Linear] = []
+    learnt, good = known.filter(pa.array(~aside)), y[~aside].astype(np.int64)
+    own = Sums(np.bincount(good, minlength=2).astype(float), summed(learnt, good, "text"), summed(learnt, good, "meta"))
+    told = Sums.none(), Sums.none()
     for turn in range(rounds + 1):
-        fitted = []
-        for k in (0, 1):
-            told = sorted(given[k])
-            x = np.concatenate([views[k], pools[k][told]]) if told else views[k]
-            known = np.concatenate([y[~aside], [given[k][i] for i in told]]).astype(bool)
-            fitted.append(logistic(x, known))
-        if turn == rounds or not len(pool_text):
+        text = ratio(own.text, told[0].text, own.rows, told[0].rows)
+        meta = ratio(own.meta, told[1].meta, own.rows, told[1].rows)
+        if turn == rounds:
             break
-        base = float(y[~aside].mean())
-        for k in (0, 1):
-            odds, free = fitted[k].odds(pools[k]), [i for i in range(len(pool_text)) if i not in given[1 - k]]
-            order, n = sorted(free, key=lambda i: odds[i]), int(share * len(pool_text))
-            low, high = int(n * (1 - base)), int(n * base)
-            given[1 - k] |= {i: False for i in order[:low] if odds[i] < 0}
-            given[1 - k] |= {i: True for i in order[len(order) - high:] if odds[i] > 0}
-    odds = [fitted[0].odds(text[aside]), fitted[1].odds(meta[aside])]
+        limits = [thresholds(c, (turn + 1) * share, float(good.mean())) for c in steps_of(pool, text, meta)]
+        told = told_by(pool, text, meta, limits)
+    odds = odds_of(known.filter(pa.array(aside)).combine_chunks().to_batches()[0], text, meta)
     scales = [logistic(o[:, None], y[aside], decay=1e-4, even=False, steps=400) for o in odds]
     both = np.stack([s.odds(o[:, None]) for s, o in zip(scales, odds)], axis=1)
-    return Model(*fitted, scales, logistic(both, y[aside], decay=1e-4, even=False, steps=400))
+    return Model(text, meta, scales, best_mix(both, y[aside]))
 
 
-def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """A model from bounded samples; None if there are not labels of both kinds."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    ids = (documents.where("doc_id IS NOT NULL").select("doc_id").distinct().join(known, "doc_id", "left")
-           .withColumn("h", F.xxhash64("doc_id")))
-    first = lambda rows, n: rows.orderBy("h", "doc_id").limit(n).select("doc_id", "quality")
-    chosen = first(ids.where("quality IS NOT NULL"), labelled).unionByName(first(ids.where("quality IS NULL"), pool))
-    page = ("text", "source", "lang", "n_chars")
-    rows = (documents.select("doc_id", *page)
-            .join(F.broadcast(chosen), "doc_id")  # labelled and pool rows at most
-            .groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64(*page).alias("h"), *page)).alias("r"))
-            .select("doc_id", "quality", *(f"r.{c}" for c in page))
-            .mapInArrow(_views, "quality int, h bigint, text_at array<int>, text_value array<float>, meta_at array<int>"))
-    table = rows.orderBy("h").toArrow().to_pylist()
-    text = dense([dict(zip(r["text_at"], r["text_value"])) for r in table], TEXT)
-    meta = dense([dict.fromkeys(r["meta_at"], 1.0) for r in table], META)
-    has = np.array([r["quality"] is not None for r in table], bool)
-    y = np.array([r["quality"] == 1 for r in table], bool)[has]
-    if len(y) < 8 or y[np.arange(len(y)) % 4 != 3].all() or not y.any() or y[3::4].all() or not y[3::4].any():
-        return None
-    return co_train(text[has], meta[has], y, text[~has], meta[~has])
+def views(documents: DataFrame) -> DataFrame:
+    """doc_id, a hash of both views, and the views, for every row of documents."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(
+        _views, f"doc_id {kind}, h bigint, text_at array<smallint>, text_value array<smallint>, meta_at array<smallint>")
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    small = pa.list_(pa.int16())
     for batch in pieces_of(batches):
         rows = batch.to_pylist()
         text = [text_view(r["text"]) for r in rows]
-        meta = [meta_view(r["source"], r["lang"], r["n_chars"], r["text"]) for r in rows]
+        meta = [sorted(meta_view(r["source"], r["lang"], r["n_chars"], r["text"])) for r in rows]
+        at = [sorted(v) for v in text]
+        value = [[round(UNIT * v[k]) for k in places] for v, places in zip(text, at)]
+        h = [int.from_bytes(hashlib.blake2b(repr(v).encode(), digest_size=8).digest(), "little", signed=True)
+             for v in zip(at, value, meta)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r["quality"] for r in rows], pa.int32()),
-             pa.array([zlib.crc32(str(r["doc_id"]).encode()) for r in rows], pa.int64()),
-             pa.array([list(v) for v in text], pa.list_(pa.int32())),
-             pa.array([list(v.values()) for v in text], pa.list_(pa.float32())),
-             pa.array([list(v) for v in meta], pa.list_(pa.int32()))],
-            ["quality", "h", "text_at", "text_value", "meta_at"])
+            [batch.column("doc_id"), pa.array(h, pa.int64()), pa.array(at, small), pa.array(value, small), pa.array(meta, small)],
+            ["doc_id", "h", "text_at", "text_value", "meta_at"])
 
 
-def score(documents: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """doc_id, p_text, p_meta, score, kept for every row of documents.
+def split(seen: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[DataFrame, DataFrame]:
+    """Written views in two: the labelled sample, one row an id, and all rows outside it, equal ones once."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    ids = seen.where("doc_id IS NOT NULL").select("doc_id").distinct().join(known, "doc_id")
+    chosen = settle(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "labelled-sample")
+    of = ("h", "text_at", "text_value", "meta_at")
+    sample = (seen.join(F.broadcast(chosen), "doc_id")  # ``labelled`` rows at most
+              .groupBy("doc_id", "quality").agg(F.min(F.struct(*of)).alias("r"))
+              .select("doc_id", "quality", *(f"r.{c}" for c in of)))
+    rest = seen.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    return sample, rest.select(*of).dropDuplicates(["h"]).drop("h")
+
+
+def learn(seen: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
+    """A model from written views and labels; None if there are not labels of both kinds."""
+    sample, rest = split(seen, labels, labelled)
+    known = sample.orderBy(F.xxhash64(F.xxhash64("doc_id")), "doc_id").toArrow()
+    y = np.array([q == 1 for q in known["quality"].to_pylist()], bool)
+    if len(y) < 8 or y[np.arange(len(y)) % 4 != 3].all() or not y[np.arange(len(y)) % 4 != 3].any() or y[3::4].all() or not y[3::4].any():
+        return None
+    return co_train(known, y, settle(rest, "pool"), rounds)
 
-    Nulls in any column are facts of their own to the views, and a null text is an empty one.
-    Without a model (no labels of both kinds) scores are null and everything is kept.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+def fit(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model | None:
+    return learn(settle(views(documents), "views"), labels, labelled)
+
+
+def score_views(seen: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """doc_id, p_text, p_meta, score, kept for every row of the views."""
+    shared = seen.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in pieces_of(batches):
-            rows = batch.to_pylist()
+        for batch in batches:
             if known is None:
-                found = [pa.nulls(len(rows), pa.float64())] * 3
-                kept = [True] * len(rows)
+                found = [pa.nulls(batch.num_rows, pa.float64())] * 3
+                kept = [True] * batch.num_rows
             else:
-                text = dense([text_view(r["text"]) for r in rows], TEXT)
-                meta = dense([meta_view(r["source"], r["lang"], r["n_chars"], r["text"]) for r in rows], META)
-                found = [pa.array(p.astype(float)) for p in known.score(text, meta)]
-                kept = [p >= least for p in found[2].to_pylist()]
+                scores = known.score(*odds_of(batch, known.text, known.meta))
+                found, kept = [pa.array(p) for p in scores], scores[2] >= least
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found, pa.array(kept, pa.bool_())],
                                              ["doc_id", "p_text", "p_meta", "score", "kept"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(
-        judge, f"doc_id {kind}, p_text double, p_meta double, score double, kept boolean")
+    kind = seen.schema["doc_id"].dataType.simpleString()
+    return seen.drop("h").mapInArrow(judge, f"doc_id {kind}, p_text double, p_meta double, score double, kept boolean")
+
+
+def score(documents: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """doc_id, p_text, p_meta, score, kept for every row of documents."""
+    return score_views(views(documents), model, least)
+
+
+def judge(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """Scores of all documents by a model learnt from them and their labels; texts are read once."""
+    seen = settle(views(documents), "views")
+    return score_views(seen, learn(seen, labels, labelled))

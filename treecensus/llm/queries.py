@@ -47,8 +47,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def packed(documents: DataFrame) -> DataFrame:
