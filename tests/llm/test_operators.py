@@ -167,6 +167,39 @@ def test_language(spark, documents, none):
     assert language.predict(none, net).count() == 0 and language.fit(none, F.lit(True)) is None
 
 
+def test_strangeness_equals_a_plain_count(spark):
+    draw = np.random.default_rng(5)
+    windows = draw.choice(np.frombuffer(b"abc de\n", np.uint8), (40, 32))
+    labels = np.arange(40) % 2
+    pairs = language.Pairs(windows, labels, 2)
+    texts = [b"abc", b"", b"x", "Жук ab".encode(), b"12 34", b"a1b2", b"ABC de abc"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = pairs.strangeness(data, offsets, np.array([[0, 1]] * len(texts)))
+    letter = lambda b: 97 <= b <= 122 or b >= 128
+    for text, found in zip(texts, got):
+        low = text.lower()
+        counted = [(a, b) for a, b in zip(low, low[1:]) if letter(a) and letter(b) or letter(a) and b in b" \n" or letter(b) and a in b" \n"]
+        least = 0.0
+        if counted:
+            n = len(counted)
+            least = min(sum(float(pairs.surprise[k][a * 256 + b]) for a, b in counted) / n
+                        / (pairs.limit[k] + pairs.ROOM * pairs.spread[k] / n ** 0.5) for k in (0, 1))
+        assert abs(found - least) < 1e-4
+
+
+def test_sample_is_bounded_and_teaches_a_repeated_row_once(spark):
+    rows = [(i, f"text number {i}", "aa") for i in range(3000)] + [(1, "same text", "aa")] * 2000 + [(9, "other words", "bb"), (8, "x", "cc")] * 3
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    names, windows, labels = language.sample_windows(table, F.lit(True), 100, 32)
+    again = language.sample_windows(table, F.lit(True), 100, 32)
+    assert names == ["aa", "bb", "cc"] and np.bincount(labels).tolist() == [100, 1, 1]
+    assert np.array_equal(windows, again[1]) and len({w.tobytes() for w in windows[labels == 0]}) > 95
+    ordered = sorted({(r.h, r.text) for r in table.where("lang = 'aa'").select(F.xxhash64("text", "doc_id").alias("h"), "text").collect()},
+                     key=lambda r: r[0] % (1 << 64))[:100]
+    assert len(ordered) == 100  # candidates lie in one range of hashes, so ranks do not depend on partitions
+    assert language.sample_windows(table, F.lit(True), 100, 32, most=1)[0] == ["aa"]
+
+
 def test_a_text_is_pooled_alike_alone_and_in_company():
     net = language.Network(["a", "b", "c"])
     texts = [b"x", b"hello world" * 40, b"q" * 128, b"ab" * 100]
