@@ -59,7 +59,7 @@ def in_words(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class Pairs:
     """How surprising a language's byte pairs are, and how surprising a text of it may be."""
 
-    USUAL, BESIDE = 0.98, 1.15  # a share of windows, and the room beside the strangest of these
+    USUAL, BESIDE = 0.98, 1.3  # a share of windows, and the room beside the strangest of these
     ROOM = 4.0  # standard errors of a text's own mean
 
     def __init__(self, windows: np.ndarray, labels: np.ndarray, languages: int):
