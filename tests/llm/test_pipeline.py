@@ -77,3 +77,19 @@ def test_extra_columns_of_any_name_come_through_every_stage(spark):
         assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted((r["doc_id"], r["text"]) for r in plain.collect())
         for r in rows:
             assert r["spread"]["doc_id"] == r["doc_id"] and all(r[c] == f"{c}:{r['doc_id']}" for c in CLASHING)
+
+
+def test_language_id_rejects_an_unlearnt_language_and_keeps_the_others(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    unlabelled = docs.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang")))
+    cyrillic = docs.where("doc_id % 5 = 0").select(
+        (F.col("doc_id") + 10**9).alias("doc_id"), F.translate(
+            F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшхызы").alias("text"),
+        F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    kept = {r.doc_id for r in stage(spark, unlabelled.unionByName(cyrillic), "").select("doc_id").collect()}
+    rows = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").collect()
+    share = lambda ids: sum(i in kept for i in ids) / len(ids)
+    assert share([r.doc_id for r in rows if r.lang != "es"]) >= 0.99
+    assert share([r.doc_id for r in rows if r.lang == "es"]) <= 0.1
+    assert share([r.doc_id for r in cyrillic.select("doc_id").collect()]) <= 0.1
