@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from treecensus.llm import decontamination, language, near_duplicates, packing, pii
 from treecensus.llm.common import folder, importable, settle, table
 
-#: Documents whose most likely language is less likely than this are rejected, as are those without a letter.
-LEAST_LIKELY = 0.3
+#: Documents stranger than this to all learnt languages are rejected, as are those without a letter.
+STRANGEST = 1.0
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CARRIED = "_carried"
 
@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     columns = [f"`{c}`" for c in docs.columns]
     found = language.predict(docs.select(*columns, F.lit(0).alias("_row")), network)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LIKELY)).select(*columns)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("strangeness") <= STRANGEST)).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
