@@ -27,12 +27,22 @@ def _shown(rows: DataFrame) -> DataFrame:
                        F.col("extended_attributes.hidden").alias("hidden"))
 
 
+#: Rows of a raw page at least, and how many pages of that size a table has at most.
+PAGE_ROWS, MOST_PAGES = 1000, 384
+
+
+def page_rows(entries: DataFrame) -> int:
+    """Rows of a page: larger tables have larger pages, not more of them."""
+    return max(PAGE_ROWS, -(-entries.count() // MOST_PAGES))
+
+
 def raw_pages(d: Data) -> str:
-    """The raw NDJSON rendering of all entries, a thousand rows a file."""
-    where = workspace.folder(d.spark, "ndjson")
-    (wire(d.entries, (*C.EXPORT_COLUMNS, "symlink_target")).write.option("maxRecordsPerFile", 1000)
-     .option("ignoreNullFields", "false").json(where))
-    return where
+    """The raw NDJSON rendering of all entries in compressed pages, written once per application like an ingested export."""
+    def write(where: str) -> None:
+        (wire(d.entries, (*C.EXPORT_COLUMNS, "symlink_target")).write.option("maxRecordsPerFile", page_rows(d.entries))
+         .option("ignoreNullFields", "false").option("compression", "gzip").json(where))
+
+    return d.stored_at("ndjson", write)
 
 
 @query("scan_inventory", _SELECT)
