@@ -125,3 +125,13 @@ def test_a_perfect_hash_has_no_gaps():
             assert sorted(each.find(keys).tolist()) == list(range(len(keys)))
     dense = np.arange(5000) << 16
     assert sorted(hashing.PerfectHash.of(dense).find(dense).tolist()) == list(range(5000))
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    importable(spark)
+    where = str(tmp_path / "documents")
+    spark.createDataFrame([(i, BASE + str(i)) for i in range(4)], "doc_id bigint, text string").write.parquet(where)
+    for known in (alignment.KNOWN, 0):
+        found = alignment.align(spark.read.parquet(where), A, B, known)
+        assert found.count() == 4
+        assert not any("/documents/part-" in f and str(tmp_path) in f for f in found.inputFiles())

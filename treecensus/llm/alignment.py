@@ -1,11 +1,11 @@
 """Operator 11, alignment of two tokenizers: how often each pair of their token ids is linked over all documents.
 
 Byte offsets where tokens of both end cut them into groups; every token of A in a group is linked to
-every token of B in it.  The first pass aligns the documents and counts, for each id pair, the
-documents that hold it linked.  The distinct pairs get a minimal perfect hash (``hashing``), in slices
+every token of B in it.  One pass over the texts aligns the documents and writes their distinct pairs;
+these are counted: for each id pair, the documents that hold it linked.  The distinct pairs get a minimal perfect hash (``hashing``), in slices
 of bounded size; counts are dense vectors, one number for each place of a slice.  Every task's counts
 become such vectors, which are summed in a tree.  The keys are stored by place as well, so a lookup is
-verified.  The second pass aligns the documents again and looks their pairs up.
+verified.  At last the written pairs are looked up, so no text is encoded twice.
 
 B takes most time where it encodes what it has met before.  Texts without odd white space are cut for
 it before spaces and line ends, which no piece crosses, and each distinct part is encoded once by a
@@ -20,7 +20,7 @@ table has no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain, compress, repeat
@@ -48,6 +48,7 @@ _ODD = [x + y for x in " \n" for y in " \n\t\r\xa0"]
 #: A group with more links than these is counted by its distinct tokens.
 LARGE = 4096
 RESULT = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+BASE = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 
 
 class Table:
@@ -245,10 +246,27 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return each, out
 
 
-def counted(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The first pass: (part, key, n), the documents of a task's stretch that hold the pair linked."""
+def spelt(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """The one pass over texts: what is known of a document without counts, and its distinct pairs with how often each is linked."""
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = aligner(path_a, path_b)
+        for batch in pieces_of(batches):
+            found = own.documents(batch.column(1).to_pylist())
+            doc, keys, times = found.pairs()
+            ends = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
+            columns = [batch.column(0), *map(pa.array, (found.n_a, found.n_b, found.groups, found.links)),
+                       pa.array(found.digests(own.shown), pa.string()), pa.ListArray.from_arrays(ends, pa.array(keys)),
+                       pa.ListArray.from_arrays(ends, pa.array(times))]
+            yield pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])
+
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(spell, f"{BASE}, keys array<bigint>, times array<bigint>")
+
+
+def counted(known: DataFrame) -> DataFrame:
+    """(part, key, n) of written pairs: the documents of a task's stretch that hold the pair linked."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, task = aligner(path_a, path_b), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         old: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -261,7 +279,7 @@ def counted(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(old[0]), task), pa.int64()), *map(pa.array, old)], ["part", "key", "n"])
 
         for batch in pieces_of(batches):
-            held.append(own.documents(batch.column(0).to_pylist()).pairs()[1])
+            held.append(batch.column(0).flatten().to_numpy())
             if sum(map(len, held)) > HELD:
                 old = tidy()
                 if len(old[0]) > HELD:
@@ -270,7 +288,7 @@ def counted(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
         old = tidy()
         yield given()
 
-    return documents.select("text").mapInArrow(count, "part bigint, key bigint, n bigint")
+    return known.select("keys").mapInArrow(count, "part bigint, key bigint, n bigint")
 
 
 VECTOR = "slice bigint, branch bigint, hash array<binary>, keys binary, counts binary"
@@ -353,66 +371,42 @@ def highest(found: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str,
-            further: Callable[[np.ndarray, np.ndarray, np.ndarray, int], list[pa.Array]]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 of (doc_id, text), and ``further`` columns made of the pairs."""
-    own = aligner(path_a, path_b)
-    for batch in pieces_of(batches):
-        found = own.documents(batch.column(1).to_pylist())
-        columns = [batch.column(0), *map(pa.array, (found.n_a, found.n_b, found.groups, found.links)),
-                   pa.array(found.digests(own.shown), pa.string()), *further(*found.pairs(), batch.num_rows)]
-        yield pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])
-
-
 def align(documents: DataFrame, path_a: str, path_b: str, known: int = KNOWN) -> DataFrame:
     """For each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    partial = settle(counted(documents, path_a, path_b), "pair-counts")
+    rows = settle(spelt(documents, path_a, path_b), "spelt")
+    partial = settle(counted(rows), "pair-counts")
     pairs = settle(partial.select("key").distinct(), "pairs")
     many = pairs.count()
     found = vectors(partial, pairs, many)
     slices = max(1, -(-many // SLICE))
     most = highest(found, 1 << 16)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
-    if many <= known:
-        return _sent(rows, found, slices, most, path_a, path_b, base)
-    return _fetched(rows, found, slices, most, path_a, path_b, base)
+    return (_sent if many <= known else _fetched)(rows, found, slices, most)
 
 
-def _sent(rows: DataFrame, found: DataFrame, slices: int, most: np.ndarray, path_a: str, path_b: str, base: str) -> DataFrame:
+def _sent(rows: DataFrame, found: DataFrame, slices: int, most: np.ndarray) -> DataFrame:
     """All counts, ``known`` at most, are sent to every worker."""
     shared = rows.sparkSession.sparkContext.broadcast((
         [(r["slice"], [bytes(b) for b in r["hash"]], bytes(r["keys"]), bytes(r["counts"])) for r in found.collect()], slices, most))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(*shared.value)
-
-        def further(doc: np.ndarray, keys: np.ndarray, times: np.ndarray, rows: int) -> list[pa.Array]:
-            each, back = np.unique(keys, return_inverse=True)
+        for batch in pieces_of(batches):
+            *facts, keys, times = batch.columns
+            sizes, times = keys.value_lengths().to_numpy(), times.flatten().to_numpy()
+            each, back = np.unique(keys.flatten().to_numpy(), return_inverse=True)
             n, best = (found[back] for found in counts.of(each))
-            sizes = np.bincount(doc, minlength=rows)
-            return [pa.array(summed(best * times, sizes)), pa.array(summed(n * times, sizes))]
-
-        yield from aligned(batches, path_a, path_b, further)
+            columns = [*facts, pa.array(summed(best * times, sizes)), pa.array(summed(n * times, sizes))]
+            yield pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])
 
-    return rows.mapInArrow(look, f"{base}, n_best bigint, count_sum bigint").select(*RESULT)
+    return rows.mapInArrow(look, f"{BASE}, n_best bigint, count_sum bigint").select(*RESULT)
 
 
-def _fetched(rows: DataFrame, found: DataFrame, slices: int, most: np.ndarray, path_a: str, path_b: str, base: str) -> DataFrame:
+def _fetched(rows: DataFrame, found: DataFrame, slices: int, most: np.ndarray) -> DataFrame:
     """Documents' pairs are sent to the slices, a hot slice in several copies, and the answers summed per document."""
     highest_of = rows.sparkSession.sparkContext.broadcast(most)  # one number for each entry of A's vocabulary
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def further(doc: np.ndarray, keys: np.ndarray, times: np.ndarray, rows: int) -> list[pa.Array]:
-            ends = pa.array(np.searchsorted(doc, np.arange(rows + 1)), pa.int32())
-            return [pa.ListArray.from_arrays(ends, pa.array(keys)), pa.ListArray.from_arrays(ends, pa.array(times))]
-
-        yield from aligned(batches, path_a, path_b, further)
-
-    spelt = settle(rows.mapInArrow(spell, f"{base}, keys array<bigint>, times array<bigint>"), "spelt")
     own = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     # rows of one doc_id and digest have the same result: looked up once
-    first = settle(spelt.groupBy(*own).agg(F.first("keys").alias("keys"), F.first("times").alias("times"), F.count("*").alias("copies")), "documents")
+    first = settle(rows.groupBy(*own).agg(F.first("keys").alias("keys"), F.first("times").alias("times"), F.count("*").alias("copies")), "documents")
     each = (first.select("doc_id", "groups_sha256", F.explode(F.arrays_zip("keys", "times")).alias("pair"))
             .select("doc_id", "groups_sha256", F.col("pair.keys").alias("key"), F.col("pair.times").alias("times"),
                     slice_of(F.col("pair.keys"), slices).alias("slice")))
