@@ -188,29 +188,22 @@ class Data:
         rows = ", ".join(f"({i}, timestamp'{t}', '{n}', '{s}', false)" for i, t, n, s in SNAPSHOTS)
         return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, ts, name, source, in_deletion)")
 
-    def _snap_files(self) -> DataFrame:
-        """Files of every snapshot; each file is repeated for the snapshots that hold it."""
+    def _snap_files(self, moment: str, source: str) -> DataFrame:
+        """Files of one snapshot."""
         k, path = F.col("k"), F.col("path")
         born, changed = F.col("creation_time"), F.col("modification_time")
-        versions = []
-        for number, moment, _, source in SNAPSHOTS:
-            ts = F.lit(moment).cast("timestamp")
-            held = (born <= ts) & ((k % 6 != 0) | (ts < F.date_add(changed.cast("date"), 200).cast("timestamp")))
-            if source != "/":
-                held = held & path.startswith(source + "/")
-            versions.append(F.when(held, F.struct(
-                F.lit(number).alias("snapshot_id"),
-                (F.col("size") + F.when(changed <= ts, 4096).otherwise(0)).alias("size"),
-                F.when(changed <= ts, changed).otherwise(born).alias("modification_time"))))
-        kept = F.filter(F.array(*versions), lambda v: v.isNotNull())
-        return self.files_k.select(
-            "path", "type", "id", "owner", "creation_time", F.explode(kept).alias("v")).select(
-            "v.snapshot_id", "path", "type", "id", "owner", "v.size", "creation_time", "v.modification_time")
+        ts = F.lit(moment).cast("timestamp")
+        held = (born <= ts) & ((k % 6 != 0) | (ts < F.date_add(changed.cast("date"), 200).cast("timestamp")))
+        if source != "/":
+            held = held & path.startswith(source + "/")
+        return self.files_k.where(held).select(
+            "path", "type", "id", "owner", (F.col("size") + F.when(changed <= ts, 4096).otherwise(0)).alias("size"),
+            "creation_time", F.when(changed <= ts, changed).otherwise(born).alias("modification_time"))
 
     def _write_snapshots(self, where: str) -> None:
-        """One partition a snapshot; the inventory is in path order already, so nothing is shuffled."""
-        rows = self._snap_files().sortWithinPartitions("snapshot_id", "path")
-        rows.write.partitionBy("snapshot_id").parquet(where)
+        """One partition a snapshot; the inventory is in path order already, so nothing is shuffled or sorted."""
+        for number, moment, _, source in SNAPSHOTS:
+            self._snap_files(moment, source).write.parquet(f"{where}/snapshot_id={number}")
         homes = self.spark.read.parquet(where).select(
             "snapshot_id", paths.parent(F.col("path")).alias("home")).distinct()
         dirs = homes.select("snapshot_id", F.explode(paths.ancestors_or_self(F.col("home"))).alias("path")).distinct()
