@@ -30,6 +30,9 @@ ATTRIBUTE_STEPS = {
 }
 
 
+#: Rows of a range of paths that one task sorts and writes: larger tables have more ranges, not larger ones.
+RANGE_ROWS = 50_000
+
 # where the derived inventories of this application were written
 _STORED: dict[tuple[str, str, str], str] = {}
 
@@ -76,10 +79,7 @@ class Data:
             F.coalesce(F.col("m").cast("timestamp"), created).alias("modification_time"))
 
     def _files(self) -> DataFrame:
-        """Files and symlinks with their access-control list and tags, in path order.
-
-        The narrow rows are brought into order before the wide columns are made.
-        """
+        """Files and symlinks in path order; the narrow rows are brought into order before the wide columns are made."""
         k, size, day = F.col("k"), F.col("size"), F.col("modification_time").cast("date")
         link = k % 50 == 0
         blocks = F.when(k % 10 == 0, F.lit(1)).otherwise(F.ceil(size / F.lit(4096.0))).cast("bigint")
@@ -93,7 +93,8 @@ class Data:
                  .when(who == 2, F.concat(F.lit("S-1-5-21-"), owner))
                  .when(who == 3, F.col("c_name")))
         group = F.concat(F.lit("g"), F.col("c_nationkey").cast("string"))
-        rows = self._base().repartitionByRange("path").sortWithinPartitions("path")
+        ranges = max(1, -(-self.table("orders").count() // RANGE_ROWS))
+        rows = self._base().repartitionByRange(ranges, "path").sortWithinPartitions("path")
         return rows.withColumns({
             "snapshot_id": F.lit(0),
             "type": F.when(link, C.SYMLINK).otherwise(C.FILE),
@@ -123,15 +124,12 @@ class Data:
 
     def _write_inventory(self, where: str) -> None:
         """Ingest: rows in path order, so that a search below a directory skips row groups."""
-        self._files().select(*self.COLUMNS, self._acl().alias("acl"), self._tags().alias("tags")).write.parquet(where)
-        files = self.spark.read.parquet(where)
-        self._dirs(files).select(*[
-            F.col(c) if c in self.COLUMNS else F.lit(None).cast(files.schema[c].dataType).alias(c)
-            for c in files.columns]).write.mode("append").parquet(where)
+        self._files().select(*self.COLUMNS).write.parquet(where)
+        self._dirs(self.spark.read.parquet(where)).select(*self.COLUMNS).write.mode("append").parquet(where)
 
     @cached_property
     def inventory(self) -> DataFrame:
-        """All objects with everything known about them."""
+        """All objects; lists and tags follow from these columns and are made where they are asked for."""
         return self.stored("inventory", self._write_inventory)
 
     @cached_property
@@ -297,22 +295,21 @@ class Data:
     @cached_property
     def objects(self) -> DataFrame:
         """Files with their access-control list."""
-        return self.inventory.where(F.col("type") != C.DIRECTORY).select(*self.COLUMNS, "acl")
+        return self.files_k.select(*self.COLUMNS, self._acl().alias("acl"))
 
     @staticmethod
     def _tags() -> Column:
-        k = F.col("k")
+        k, segment = F.col("k"), F.split_part("path", F.lit("/"), F.lit(4))
         pairs = F.array(
             F.when(k % 4 == 0, F.struct(F.lit("reviewed").alias("key"), F.lit("yes").alias("value")))
             .when(k % 4 == 1, F.struct(F.lit("reviewed").alias("key"), F.lit("no").alias("value"))),
-            F.when(k % 3 == 0, F.struct(F.lit("project").alias("key"), F.col("c_mktsegment").alias("value"))))
+            F.when(k % 3 == 0, F.struct(F.lit("project").alias("key"), segment.alias("value"))))
         return F.map_from_entries(F.filter(pairs, lambda p: p.isNotNull()))
 
     @cached_property
     def tagged(self) -> DataFrame:
         """Files with their tags."""
-        return self.inventory.where(F.col("type") != C.DIRECTORY).select(
-            "path", "type", "id", "size", "owner", "modification_time", "tags")
+        return self.files_k.select("path", "type", "id", "size", "owner", "modification_time", self._tags().alias("tags"))
 
     @cached_property
     def archive(self) -> DataFrame:
