@@ -259,6 +259,18 @@ def test_a_missing_list_stays_missing_in_a_migration(spark, monkeypatch):
         assert got["/n"] == ("unchanged", None) and got["/a"][0] == "change"
 
 
+def test_a_joined_migration_carries_each_list_once(spark, monkeypatch):
+    seen, kept = [], acl.lookup_join
+    monkeypatch.setattr(acl, "lookup_join", lambda rows, *a, **k: seen.append(rows) or kept(rows, *a, **k))
+    monkeypatch.setattr(acl, "MOST_MAPPED", 1)
+    rows = listed(spark, {"/a": [("Allow", "a"), ("Deny", "q"), ("Allow", "z")], "/b": [("Deny", "q")], "/none": []})
+    table = spark.createDataFrame([("a", "b"), ("q", "r"), ("z", "y")], "source string, target string")
+    plan = acl.migrate_trustees(rows, table)
+    assert trustees(plan) == {"/a": [("Allow", "b"), ("Deny", "r"), ("Allow", "y")], "/b": [("Deny", "r")], "/none": []}
+    assert seen[0].count() == 5 and seen[0].where("acl IS NOT NULL").count() == 3
+    assert {f.dataType.typeName() for f in seen[0].schema if f.name not in ("path", "acl")} == {"integer", "string"}
+
+
 @pytest.mark.parametrize("sync", [False, True])
 def test_cloning_is_the_same_for_mappings_of_any_size(spark, monkeypatch, sync):
     held = {"/a": [("Allow", "a"), ("Deny", "b"), ("Allow", "a")], "/b": [("Allow", "z")], "/none": []}

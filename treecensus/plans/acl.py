@@ -158,8 +158,8 @@ def migrate_trustees(objects: DataFrame, mapping: DataFrame) -> DataFrame:
 
     A short mapping is a constant that each row looks up, and no object moves.
     Of a long one only the sources in use count.  If these are too many as well,
-    the entries are joined with them and put back in their order; a list is
-    bounded, so the regrouping is as well.  Mapping rows without a source or a
+    their trustees are joined with them and looked up by position afterwards; a
+    list is bounded, so the regrouping is as well.  Mapping rows without a source or a
     target map nothing.  Paths are unique.
     """
     acl = F.col("acl")
@@ -167,13 +167,15 @@ def migrate_trustees(objects: DataFrame, mapping: DataFrame) -> DataFrame:
     if found is not None:
         aces = F.transform(acl["aces"], lambda a: a.withField("trustee", F.coalesce(found(a["trustee"]), a["trustee"])))
         return _plan(objects, F.when(F.size(acl["aces"]) > 0, acl.withField("aces", aces)).otherwise(acl))
-    entries = objects.select("path", "acl", F.posexplode_outer("acl.aces").alias("pos", "ace"))
-    renamed = lookup_join(entries, table, F.col("ace.trustee"), "source")
-    entry = F.struct("pos", F.col("ace").withField("trustee", F.coalesce("target", F.col("ace.trustee"))).alias("ace"))
+    # only the first entry carries the list, so it is shuffled once an object
+    entries = (objects.select("path", "acl", F.posexplode_outer("acl.aces.trustee").alias("pos", "trustee"))
+               .withColumn("acl", F.when(F.coalesce("pos", F.lit(0)) == 0, acl)))
+    renamed = lookup_join(entries, table, F.col("trustee"), "source")
     # objects without entries have one row without a position, which is not collected
-    rows = renamed.groupBy("path").agg(F.any_value("acl").alias("acl"), F.array_sort(F.collect_list(
-        F.when(F.col("pos").isNotNull(), entry))).alias("_all"))
-    done = acl.withField("aces", F.transform("_all", lambda x: x["ace"]))
+    rows = renamed.groupBy("path").agg(F.any_value("acl", True).alias("acl"), F.array_sort(F.collect_list(
+        F.when(F.col("pos").isNotNull(), F.struct("pos", "target")))).alias("_all"))
+    done = acl.withField("aces", F.transform(acl["aces"], lambda a, i: a.withField(
+        "trustee", F.coalesce(F.get("_all", i)["target"], a["trustee"]))))
     return _plan(rows, F.when(F.size("_all") > 0, done).otherwise(acl))
 
 
