@@ -4,6 +4,7 @@ import json
 from datetime import datetime, timedelta
 
 from conftest import ENTRY, column, pairs
+from pyspark.sql import functions as F
 
 from treecensus import workspace
 from treecensus.operators.hierarchy import per_directory
@@ -168,6 +169,24 @@ def test_rows_after_their_window_closed_are_kept_aside(spark, make, tmp_path):
     assert {r.window_start // 86400: (r.files, r.bytes) for r in again.windows.collect()} == want
 
 
+def test_a_batch_is_read_once_for_windows_and_late_rows(spark, make, tmp_path):
+    where = str(tmp_path / "in")
+    for day in (40, 1):  # the second batch is late
+        rows = make(*((f"/{day}/{i}", {"creation_time": datetime(1970, 1, 1) + timedelta(days=day)}) for i in range(5)))
+        rows.coalesce(1).write.mode("append").parquet(where)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(size):
+        read.add(1)
+        return size
+
+    stream = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).parquet(where)
+    stream = stream.withColumn("size", F.udf(seen, "bigint")("size"))
+    found = jobs.growth_with_late(spark, stream, days=10, late=5)
+    assert {r.window_start // 86400: r.files for r in found.windows.collect()} == {40: 5} and found.late.count() == 5
+    assert read.value == 10
+
+
 def test_growth_of_nothing(spark, tmp_path):
     where = str(tmp_path / "in")
     spark.createDataFrame([], ENTRY).write.parquet(where)

@@ -118,7 +118,8 @@ SELECT CAST(floor(epoch(creation_time) / 2592000) AS BIGINT) * 2592000 AS window
   CAST(sum(size) AS BIGINT) AS bytes FROM fx_files GROUP BY 1""")
 def stream_growth_late(d: Data) -> DataFrame:
     # what is late depends on the order of the pages; windows and late rows together are all rows
-    found = jobs.growth_with_late(d.spark, jobs.filtered(_pages(d), Search(file_only=True)), late=60)
+    files = jobs.filtered(_pages(d), Search(file_only=True)).select("path", "creation_time", "size")
+    found = jobs.growth_with_late(d.spark, files, late=60)
     late = found.late.select((F.floor(F.unix_seconds("creation_time") / 2592000) * 2592000).cast("bigint").alias("window_start"),
                              F.lit(1).cast("bigint").alias("files"), "size")
     rows = found.windows.select("window_start", "files", "bytes").unionByName(late.withColumnRenamed("size", "bytes"))

@@ -13,6 +13,7 @@ import threading
 from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from treecensus import constants as C
@@ -251,11 +252,15 @@ def growth_with_late(spark: SparkSession, stream: DataFrame, days: int = 30, lat
 
     def write(batch: DataFrame, number: int) -> None:
         closed = F.coalesce(start + span <= F.lit(closes_at(number)).cast("bigint"), F.lit(False)) | F.col(time).isNull()
-        (batch.groupBy(start.alias("window_start"), closed.alias("is_late"))
-         .agg(F.count("*").alias("files"), F.sum("size").cast("bigint").alias("bytes"), F.max(F.unix_micros(time)).alias("seen"))
-         .write.mode("overwrite").parquet(f"{where}/sums/batch={number}"))
-        # written even if it has no rows, so that a repeated batch replaces what it left
-        batch.where(closed).write.mode("overwrite").parquet(f"{where}/late/batch={number}")
+        batch.persist(StorageLevel.DISK_ONLY)  # its input is read once for both tables
+        try:
+            (batch.groupBy(start.alias("window_start"), closed.alias("is_late"))
+             .agg(F.count("*").alias("files"), F.sum("size").cast("bigint").alias("bytes"), F.max(F.unix_micros(time)).alias("seen"))
+             .write.mode("overwrite").parquet(f"{where}/sums/batch={number}"))
+            # written even if it has no rows, so that a repeated batch replaces what it left
+            batch.where(closed).write.mode("overwrite").parquet(f"{where}/late/batch={number}")
+        finally:
+            batch.unpersist()
 
     run_batches(stream, checkpoint or folder(spark, "growth-state"), write, mode="append")
     end = F.lit(closes_at(None)).cast("bigint")
