@@ -32,3 +32,17 @@ def test_lists_and_tags_follow_from_the_stored_columns(spark):
     project = d.tagged.select("path", F.col("tags")["project"].alias("p"))
     assert pairs(project, "path", "p") == pairs(base.select(
         "path", F.when(F.col("k") % 3 == 0, F.col("c_mktsegment")).alias("p")), "path", "p")
+
+
+def test_directories_are_derived_from_one_reading_of_the_files(spark):
+    files = Data(spark, "/root/testdata/sf0.001").files
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(path):
+        read.add(1)
+        return path
+
+    path = F.udf(seen)("path").alias("path")
+    dirs = Data._dirs(files.select(path, "creation_time", "modification_time"))
+    assert pairs(dirs, "path", "child_count") == pairs(Data(spark, "/root/testdata/sf0.001").dirs, "path", "child_count")
+    assert read.value == files.count() > 1000

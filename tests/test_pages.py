@@ -12,6 +12,7 @@ def test_the_number_of_pages_does_not_grow_with_the_table(spark, monkeypatch):
     where = exchange.raw_pages(d)
     pages = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(where).drop("content")
     assert d.entries.count() > 1000  # more than a page of the least size
+    assert all(r.path.endswith(".json.lz4") for r in pages.select("path").collect())  # a page costs little more than its text
     tasks = d.entries.rdd.getNumPartitions()
     assert pages.count() <= 4 + tasks
     # compressed: a row has about 900 characters as text

@@ -153,9 +153,9 @@ class Data:
     @staticmethod
     def _dirs(files: DataFrame) -> DataFrame:
         """All directories that contain a file, at every level."""
-        homes = files.groupBy(paths.parent(F.col("path")).alias("home")).agg(
+        homes = workspace.settle(files.groupBy(paths.parent(F.col("path")).alias("home")).agg(
             F.count("*").alias("n"), F.min("creation_time").alias("born"),
-            F.max("modification_time").alias("touched"))
+            F.max("modification_time").alias("touched")), "homes")  # read twice: for the totals and for the directories inside
         own = F.col("path") == F.col("home")
         rolled = (homes.select("*", F.explode(paths.ancestors_or_self(F.col("home"))).alias("path"))
                   .groupBy("path").agg(

@@ -40,7 +40,7 @@ def raw_pages(d: Data) -> str:
     """The raw NDJSON rendering of all entries in compressed pages, written once per application like an ingested export."""
     def write(where: str) -> None:
         (wire(d.entries, (*C.EXPORT_COLUMNS, "symlink_target")).write.option("maxRecordsPerFile", page_rows(d.entries))
-         .option("ignoreNullFields", "false").option("compression", "gzip").json(where))
+         .option("ignoreNullFields", "false").option("compression", "lz4").json(where))
 
     return d.stored_at("ndjson", write)
 
