@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from treecensus.llm.common import pieces_of
+from treecensus.llm.common import pieces_of, slim
 
 SAMPLE, MOST = 1000, 200
 HIDDEN = 8
@@ -308,7 +308,7 @@ def predict(documents: DataFrame, network: Network | None) -> DataFrame:
                 [*columns, "lang_pred", "score", "strangeness"])
 
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns)
-    return documents.select(*columns).mapInArrow(label, f"{schema}, lang_pred string, score double, strangeness double")
+    return documents.select(*columns).mapInArrow(slim(label), f"{schema}, lang_pred string, score double, strangeness double")
 
 
 def held_out(doc_id: Column, parts: int = 5) -> Column:

@@ -31,10 +31,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from treecensus.llm.common import pieces_of, settle
+from treecensus.llm.common import give_back, pieces_of, settle, slim
 from treecensus.operators.joins import fits_broadcast
 
 BLOCK = 512
+#: Bytes of a block from which its worker gives memory back after it.
+LARGE = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -59,11 +61,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Hashes of words that a task keeps (about 200 bytes each).
+MOST_WORDS = 200_000
+
+
 class Words(dict):
-    """Hashes of words; emptied when it holds a million."""
+    """Hashes of words; emptied when it holds ``MOST_WORDS``."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -134,7 +140,7 @@ def fingerprints(documents: DataFrame, set_: Settings = Settings(), full: bool =
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>, marks binary"
-    return documents.select("doc_id", "text").mapInArrow(scan, schema + ", shingles binary" * full)
+    return documents.select("doc_id", "text").mapInArrow(slim(scan), schema + ", shingles binary" * full)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,7 +184,7 @@ def compared(pairs: DataFrame, sets: DataFrame, set_: Settings) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(confirm, f"a {kind}, b {kind}")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(slim(confirm), f"a {kind}, b {kind}")
 
 
 def across(members: DataFrame, classes: DataFrame, sets: DataFrame, set_: Settings) -> DataFrame:
@@ -221,6 +227,8 @@ def across(members: DataFrame, classes: DataFrame, sets: DataFrame, set_: Settin
                 if kinds[j] not in joined and linked(own, np.frombuffer(full[int(j)].as_py(), np.uint64), set_.percent):
                     joined.add(kinds[j])
                     found.append((ids[i], ids[j]))
+        if group.nbytes > LARGE:
+            give_back()
         return pa.table({"a": pa.array([a for a, _ in found], group.schema.field("doc_id").type),
                          "b": pa.array([b for _, b in found], group.schema.field("doc_id").type)})
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from treecensus.llm.common import pieces_of, settle, slices_for
+from treecensus.llm.common import pieces_of, settle, slices_for, slim
 from treecensus.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -61,7 +61,7 @@ def cut(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return rows.mapInArrow(
-        tokenise, f"row bigint, doc_id {kind}, piece int, start bigint, length bigint, ids binary")
+        slim(tokenise), f"row bigint, doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
 def full_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
