@@ -192,3 +192,53 @@ def test_growth_of_nothing(spark, tmp_path):
     spark.createDataFrame([], ENTRY).write.parquet(where)
     found = jobs.growth_with_late(spark, spark.readStream.schema(ENTRY).parquet(where))
     assert found.windows.count() == 0 and found.late.count() == 0
+
+
+def test_folded_states_equal_the_batch_form_and_go_on(spark, make, tmp_path):
+    where, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    owned = lambda n: [(f"/r/d{i % 3}/f{i}", {"owner": f"o{i % 5}", "size": i}) for i in range(n)] + ["/r/x/"]
+    wants = {"owners": (jobs.owner_totals, ["owner"]), "homes": (jobs.home_totals, ["home"]), "all": (jobs.totals, [])}
+    for n in (20, 7):
+        make(*owned(n)).repartition(2).write.mode("append").parquet(where)
+        for name, (step, keys) in wants.items():
+            stream = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).parquet(where)
+            got = jobs.folded_state(spark, stream, step, keys, name, target=f"{out}-{name}", checkpoint=f"{mark}-{name}", buckets=4)
+            batch = step(spark.read.schema(ENTRY).parquet(where))
+            assert got.schema.simpleString() == batch.schema.simpleString()
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_folded_changes_equal_the_stateful_form(spark, tmp_path):
+    stream = feed(spark, tmp_path, [
+        [(1, "CREATE", "/d/a"), (2, "CREATE", "/d/b"), (9, "MODIFY", "/late")],
+        [(5, "DELETE", "/d/"), (4, "MODIFY", "/d/a"), (7, "MODIFY", "/late")], [(6, "CREATE", "/d/c")]])
+    folded = jobs.folded_state(spark, stream, jobs.latest_change, ["path"], "t", jobs.latest_change)
+    stateful = jobs.latest_state(spark, jobs.latest_change(stream), ["path"], "t")
+    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, stateful.collect()))
+
+
+def test_stream_queries_keep_no_aggregation_state(spark, monkeypatch):
+    # every state task reports on every partition of the state, so what the driver gets grows with the square of the partitions
+    from treecensus.catalog import registry
+    from treecensus.catalog import all_queries  # noqa: F401
+
+    plans, run = [], jobs.run_batches
+
+    def noted(stream, *args, **named):
+        plans.append(stream._jdf.queryExecution().logical().toString())
+        run(stream, *args, **named)
+
+    monkeypatch.setattr(jobs, "run_batches", noted)
+    names = ["stream_totals", "stream_owner_report", "stream_dir_matches", "stream_growth", "stream_growth_late", "stream_apply_changes"]
+    for name in names:
+        registry.bound(registry.QUERIES[name])(spark, "/root/testdata/sf0.001")
+    assert len(plans) == len(names) and not any("Aggregate" in p for p in plans)
+
+
+def test_late_rows_need_not_be_kept(spark, make, tmp_path):
+    where = str(tmp_path / "in")
+    for day in (40, 1):  # the second batch is late
+        make((f"/{day}", {"creation_time": datetime(1970, 1, 1) + timedelta(days=day)})).coalesce(1).write.mode("append").parquet(where)
+    stream = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", 1).parquet(where)
+    found = jobs.growth_with_late(spark, stream, days=10, late=5, keep=False)
+    assert {r.window_start // 86400: r.files for r in found.windows.collect()} == {40: 1} and found.late is None

@@ -48,21 +48,21 @@ def stream_filter(d: Data) -> DataFrame:
 
 @query("stream_totals", "SELECT count(*) AS total_files, CAST(sum(capacity) AS BIGINT) AS total_capacity FROM fx_entries")
 def stream_totals(d: Data) -> DataFrame:
-    return jobs.latest_state(d.spark, jobs.totals(_pages(d)), [], "totals")
+    return jobs.folded_state(d.spark, _pages(d), jobs.totals, [], "totals")
 
 
 @query("stream_owner_report", f"""
 SELECT owner, CAST(sum(held) AS BIGINT) AS bytes, count(*) FILTER (type <> 'FS_FILE_TYPE_DIRECTORY') AS files,
   count(*) FILTER (type = 'FS_FILE_TYPE_DIRECTORY') AS dirs FROM {_HELD} GROUP BY owner""")
 def stream_owner_report(d: Data) -> DataFrame:
-    return jobs.latest_state(d.spark, jobs.owner_totals(_pages(d)), ["owner"], "owners")
+    return jobs.folded_state(d.spark, _pages(d), jobs.owner_totals, ["owner"], "owners")
 
 
 @query("stream_dir_matches", """
 SELECT path, count(*) AS files, CAST(sum(capacity) AS BIGINT) AS capacity FROM fx_up WHERE type = 'FS_FILE_TYPE_FILE' GROUP BY path""")
 def stream_dir_matches(d: Data) -> DataFrame:
     found = jobs.filtered(_pages(d), Search(type="file"))
-    return jobs.rolled_up(jobs.latest_state(d.spark, jobs.home_totals(found), ["home"], "directories"))
+    return jobs.rolled_up(jobs.folded_state(d.spark, found, jobs.home_totals, ["home"], "directories"))
 
 
 def _feed(d: Data) -> DataFrame:
@@ -77,7 +77,7 @@ def _feed(d: Data) -> DataFrame:
 SELECT path, seq, op, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM (
   SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS place FROM fx_changes) WHERE place = 1 AND op <> 'DELETE'""")
 def stream_apply_changes(d: Data) -> DataFrame:
-    state = jobs.latest_state(d.spark, jobs.latest_change(_feed(d)), ["path"], "changes")
+    state = jobs.folded_state(d.spark, _feed(d), jobs.latest_change, ["path"], "changes", jobs.latest_change)
     return jobs.without_deleted(state).withColumn("ts", F.unix_seconds("ts"))
 
 
@@ -90,7 +90,7 @@ SELECT path, seq FROM s WHERE op <> 'DELETE' AND NOT EXISTS (
 def stream_apply_directory_deletes(d: Data) -> DataFrame:
     # an error deletes the whole directory of its user
     whole = F.when(F.col("op") == "DELETE", F.regexp_replace("path", "[^/]*$", "")).otherwise(F.col("path"))
-    state = jobs.latest_state(d.spark, jobs.latest_change(_feed(d).withColumn("path", whole)), ["path"], "changes")
+    state = jobs.folded_state(d.spark, _feed(d).withColumn("path", whole), jobs.latest_change, ["path"], "changes", jobs.latest_change)
     return jobs.without_deleted(state).select("path", "seq")
 
 
@@ -109,8 +109,8 @@ SELECT CAST(floor(epoch(creation_time) / 2592000) AS BIGINT) * 2592000 AS window
   CAST(sum(size) AS BIGINT) AS bytes FROM fx_files GROUP BY 1""")
 def stream_growth(d: Data) -> DataFrame:
     # pages are in path order, so the watermark must cover the whole span of creation times
-    files = jobs.filtered(_pages(d), Search(file_only=True))
-    return jobs.latest_state(d.spark, jobs.growth(files, late="4000 days"), ["window_start"], "growth")
+    files = jobs.filtered(_pages(d), Search(file_only=True)).select("creation_time", "size")
+    return jobs.growth_with_late(d.spark, files, late=4000, keep=False).windows.select("window_start", "files", "bytes")
 
 
 @query("stream_growth_late", """

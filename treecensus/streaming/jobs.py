@@ -78,26 +78,57 @@ def latest_state(spark: SparkSession, stream: DataFrame, keys: list[str], label:
         batch.write.mode("overwrite").parquet(f"{where}/batches/batch={number}")
 
     run_batches(stream, checkpoint or folder(spark, label + "-state"), write)
+    values = [c for c in stream.columns if c not in keys]
+    newest = lambda rows: rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
+    return _merged(spark, stream.schema, keys, where, buckets, newest)
+
+
+def folded_state(spark: SparkSession, stream: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], label: str,
+                 merge: Callable[[DataFrame], DataFrame] | None = None, target: str | None = None,
+                 checkpoint: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Run an aggregate that can be put together from parts until the available input is read, and return its rows.
+
+    ``step`` aggregates the rows of one batch by ``keys``; ``merge`` puts such parts together, by adding up every
+    other column if not given.  Batches are aggregated each on its own, and a run merges them into the stored
+    buckets when it ends, as in ``latest_state``.  So there is no aggregation state in Spark, whose tasks all load
+    and store it in every batch and report on each other's part of it.  A target of one form is no target of the other.
+    """
+    where, schema = target or folder(spark, label), step(stream).schema
+    values = [c for c in schema.names if c not in keys]
+
+    def write(batch: DataFrame, number: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{where}/batches/batch={number}")
+
+    def parts(rows: DataFrame) -> DataFrame:
+        found = merge(rows) if merge else rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in values))
+        return found.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+
+    run_batches(stream, checkpoint or folder(spark, label + "-state"), write, mode="append")
+    return _merged(spark, schema, keys, where, buckets, parts)
+
+
+def _merged(spark: SparkSession, schema: T.StructType, keys: list[str], where: str, buckets: int,
+            merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Merge the batches written since the last note into the buckets of their keys, note that, and return all rows."""
     notes = sorted(_stored(spark, NOTE, f"{where}/notes").collect(), key=lambda n: n.batch)  # the last one and the one before
     last = notes[-1] if notes else None
     held = {b: run for b, run in zip(last.bucket, last.run)} if last else {}
     buckets = last.buckets if last else buckets
-    rows = _stored(spark, stream.schema, f"{where}/batches").where(F.col("batch") > (last.batch if last else -1))
+    rows = _stored(spark, schema, f"{where}/batches").where(F.col("batch") > (last.batch if last else -1))
     newest = rows.agg(F.max("batch")).first()[0]
     if newest is None:
-        return _state(spark, stream.schema, where, held)
+        return _state(spark, schema, where, held)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int") if keys else F.lit(0)
     rows = rows.withColumn("_bucket", bucket)
     touched = [r[0] for r in rows.select("_bucket").distinct().collect()]
-    old = _state(spark, stream.schema, where, {b: run for b, run in held.items() if b in set(touched)})
-    every = rows.unionByName(old.withColumn("batch", F.lit(-1).cast("bigint")).withColumn("_bucket", bucket))
-    values = [c for c in stream.columns if c not in keys]
-    found = every.groupBy("_bucket", *keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select("_bucket", *keys, "_v.*")
+    old = _state(spark, schema, where, {b: run for b, run in held.items() if b in set(touched)})
+    every = rows.drop("_bucket").unionByName(old.withColumn("batch", F.lit(-1).cast("bigint")))
+    found = merge(every).withColumn("_bucket", bucket)
     found.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{where}/state/run={newest}")
     now = held | dict.fromkeys(touched, newest)
     note = [([*now], [*now.values()], buckets)]
     spark.createDataFrame(note, NOTE).write.mode("overwrite").parquet(f"{where}/notes/batch={newest}")
-    merged = [r[0] for r in _stored(spark, stream.schema, f"{where}/batches").where(
+    merged = [r[0] for r in _stored(spark, schema, f"{where}/batches").where(
         F.col("batch").between(0, last.batch if last else -1)).select("batch").distinct().collect()]  # those of one run
     for number in merged:
         remove(spark, f"{where}/batches/batch={number}")
@@ -105,7 +136,7 @@ def latest_state(spark: SparkSession, stream: DataFrame, keys: list[str], label:
         for b, run in {*zip(note.bucket, note.run)} - {*held.items(), *now.items()}:
             remove(spark, f"{where}/state/run={run}/_bucket={b}")
         remove(spark, f"{where}/notes/batch={note.batch}")
-    return _state(spark, stream.schema, where, now)
+    return _state(spark, schema, where, now)
 
 
 def _state(spark: SparkSession, schema: T.StructType, where: str, held: dict[int, int]) -> DataFrame:
@@ -218,9 +249,9 @@ def growth(stream: DataFrame, days: int = 30, late: str = "30 days", time: str =
 
 
 class Growth(NamedTuple):
-    """Windows with their sums and whether they are closed; the rows that came after their window was closed."""
+    """Windows with their sums and whether they are closed; the rows that came after their window was closed, if they are kept."""
     windows: DataFrame
-    late: DataFrame
+    late: DataFrame | None
 
 
 #: Sums of one batch; ``seen`` is the latest moment among the rows, in microseconds.
@@ -229,9 +260,11 @@ SUMS = (T.StructType().add("window_start", T.LongType()).add("is_late", T.Boolea
 
 
 def growth_with_late(spark: SparkSession, stream: DataFrame, days: int = 30, late: float = 30, time: str = "creation_time",
-                     target: str | None = None, checkpoint: str | None = None) -> Growth:
+                     target: str | None = None, checkpoint: str | None = None, keep: bool = True) -> Growth:
     """Objects and bytes per window as in ``growth``, with the rows that Spark would drop as a table of their own.
 
+    Without ``keep`` there is no such table, and only the sums of late rows are written, beside those of the windows.
+
     The watermark of a batch is the latest moment of all batches before it,
     less ``late`` days.  A window is closed once its end is not after the
     watermark; its sums never change again, and a row that comes for it later
@@ -252,19 +285,22 @@ def growth_with_late(spark: SparkSession, stream: DataFrame, days: int = 30, lat
 
     def write(batch: DataFrame, number: int) -> None:
         closed = F.coalesce(start + span <= F.lit(closes_at(number)).cast("bigint"), F.lit(False)) | F.col(time).isNull()
-        batch.persist(StorageLevel.DISK_ONLY)  # its input is read once for both tables
+        if keep:
+            batch.persist(StorageLevel.DISK_ONLY)  # its input is read once for both tables
         try:
             (batch.groupBy(start.alias("window_start"), closed.alias("is_late"))
              .agg(F.count("*").alias("files"), F.sum("size").cast("bigint").alias("bytes"), F.max(F.unix_micros(time)).alias("seen"))
              .write.mode("overwrite").parquet(f"{where}/sums/batch={number}"))
             # written even if it has no rows, so that a repeated batch replaces what it left
-            batch.where(closed).write.mode("overwrite").parquet(f"{where}/late/batch={number}")
+            if keep:
+                batch.where(closed).write.mode("overwrite").parquet(f"{where}/late/batch={number}")
         finally:
-            batch.unpersist()
+            if keep:
+                batch.unpersist()
 
     run_batches(stream, checkpoint or folder(spark, "growth-state"), write, mode="append")
     end = F.lit(closes_at(None)).cast("bigint")
     windows = (_stored(spark, SUMS, f"{where}/sums").where("NOT is_late").groupBy("window_start")
                .agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
                .withColumn("closed", F.coalesce(F.col("window_start") + span <= end, F.lit(False))))
-    return Growth(windows, _stored(spark, schema, f"{where}/late").drop("batch"))
+    return Growth(windows, _stored(spark, schema, f"{where}/late").drop("batch") if keep else None)
